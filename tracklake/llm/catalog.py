@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, repeats
 
-MODULES = [minhash]
+MODULES = [minhash, repeats]
 
 
 def queries() -> dict:
