@@ -148,9 +148,8 @@ def _verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, size: int, perc
     return written(links.mapInArrow(lambda x: _verify(x, size, percent), "a long, b long").distinct(), "links"), [near, texts]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(table: pa.Table) -> pa.Table:
     """Of one block of a bucket: pairs (outside, other) in different components whose signatures agree."""
-    table = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
     outside = table.column("outside").to_numpy().astype(bool)
     ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +67,14 @@ def runs(buf: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, ancho
     return row[change], low, high - low, at - low, bs.mix(hashes[at], 21), bs.run_hash(pre, low, high, 22)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], length: int, anchor: int, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for block in bs.blocks(batch.column(1), most_rows=1 << 14):
             pieces = [(block.buf, block.start, block.end, 0)]
-            if len(block) == 1 and len(block.buf) > PIECE:
-                cuts = range(0, len(block.buf) - length + 1, PIECE)
-                pieces = [(part := block.buf[c : c + PIECE + length - 1], np.zeros(1, np.int64), np.array([len(part)]), c) for c in cuts]
+            if len(block) == 1 and len(block.buf) > most:
+                cuts = range(0, len(block.buf) - length + 1, most)
+                pieces = [(part := block.buf[c : c + most + length - 1], np.zeros(1, np.int64), np.array([len(part)]), c) for c in cuts]
             for buf, start, end, skip in pieces:
                 row, low, size, at, a, c = runs(buf, start, end, length, anchor)
                 if len(row):
@@ -202,7 +203,7 @@ def _search(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iter
                     yield _intervals(table.slice(0, keep).combine_chunks(), length, anchor)
                 rest = table.slice(keep).combine_chunks()
                 held = rest.to_batches()
-                size = int(pa.compute.sum(pa.compute.binary_length(rest.column("context"))).as_py()) if keep else 0
+                size = int(pc.sum(pc.binary_length(rest.column("context"))).as_py()) if keep else 0
     if held:
         yield _intervals(pa.Table.from_batches(held).combine_chunks(), length, anchor)
 
@@ -212,7 +213,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets, _ = bs.arrow_bytes(batch.column("text"))
         want = batch.column("want")
-        row = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(want)))
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(want)))
         flat = want.flatten()
         low, size = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("low", "size"))
         start = offsets[row] + low
@@ -256,7 +257,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Rows (key, spans): for texts that hold repeated windows, the covered spans as start << 31 | length."""
     anchor = min(ANCHOR, length)
     texts = _keyed(docs, id_col, text_col).select("key", "text")
-    every = texts.mapInArrow(lambda b: _scan(b, length, anchor), "key long, low long, size int, at int, a long, c long")
+    most = PIECE
+    every = texts.mapInArrow(lambda b: _scan(b, length, anchor, most), "key long, low long, size int, at int, a long, c long")
     every = written(every, "runs")
     seen = every.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 1")
     found = written(every.join(seen.selectExpr("a", "c0 != c1 as mixed"), "a"), "found")
@@ -285,7 +287,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets, _ = bs.arrow_bytes(batch.column("text"))
         codes = batch.column("spans")
-        lists = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(codes), 0))
+        lists = np.asarray(pc.fill_null(pc.list_value_length(codes), 0))
         flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(lists)
         kept, starts, stops = [], [], []
