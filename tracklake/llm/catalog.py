@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash, repeats
+from . import minhash, repeats, toxicity
 
-MODULES = [minhash, repeats]
+MODULES = [minhash, repeats, toxicity]
 
 
 def queries() -> dict:
