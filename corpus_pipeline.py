@@ -1,4 +1,76 @@
-"""Corpus pipeline (stages follow)."""
+"""The corpus pipeline: each stage reads what the stage before kept, written as Parquet.
+
+Toxic documents go, one document of each near-duplicate group stays, documents that hold benchmark windows go, sources are
+mixed to target weights, and the rest is dealt into shards of near equal bytes.
+
+Extra columns pass through the stages; null ids and texts are rows like others, an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracklake.llm import decontaminate, minhash, mixing, resharding, toxicity
+from tracklake.llm.shared import new_path, written
+
+#: The mix takes this share of all tokens, at most once each.
+MIX_SHARE = 0.9
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.5; learned from the labels that are not held out."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return toxicity.scored(row, model).where("toxicity_score < 0.5").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with five-word shingles at 0.8: the one of the smallest id."""
+    found = minhash.near_duplicates(docs, size=5)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    rest = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    # rows that share the id of a kept document are copies of it only if they are equal in text
+    key = F.xxhash64("doc_id", "text")
+    repeated = rest.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
+    twice = rest.join(repeated, rest["doc_id"] == F.col("_twice"), "left_semi").withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    return rest.join(repeated, rest["doc_id"] == F.col("_twice"), "left_anti").unionByName(twice)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("n_hit = 0").select("row.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the target weights take, each once."""
+    levels = {"domain": mixing.domain(), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, levels, mixing.WEIGHTS, MIX_SHARE, epochs=1, seed=5).select("row.*")
+
+
+def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in 16 shard files of near equal bytes, read again, with their shard and slot."""
+    out = resharding.reshard(docs, resharding.old_layout(), new_path(spark, "pipeline-shards"))
+    names = {c.lower() for c in docs.columns}
+    place = [F.col(c).alias(c if c not in names else f"new_{c}") for c in ("shard", "slot")]
+    return out.select("row.*", *place)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", write_shards),
+]
 
-STAGES = []
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each stage's rows written before the next reads them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash, repeats, toxicity
+from . import archives, decontaminate, lines, minhash, mixing, neighbours, packing, repeats, resharding, toxicity
 
-MODULES = [minhash, repeats, toxicity]
+MODULES = [minhash, packing, decontaminate, archives, mixing, toxicity, neighbours, resharding, lines, repeats]
 
 
 def queries() -> dict:
