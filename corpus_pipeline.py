@@ -28,13 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with five-word shingles at 0.8: the one of the smallest id."""
     found = minhash.near_duplicates(docs, size=5)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    # rows that share the id of a kept document are copies of it only if they are equal in text
-    key = F.xxhash64("doc_id", "text")
-    repeated = rest.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    twice = rest.join(repeated, rest["doc_id"] == F.col("_twice"), "left_semi").withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
-    return rest.join(repeated, rest["doc_id"] == F.col("_twice"), "left_anti").unionByName(twice)
+    # written, so that the join to them is chosen by their real size
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    twice = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    twice = written(twice, "twice")
+    known = docs["doc_id"] == F.col("_id")
+    once = docs.join(gone.union(twice), known, "left_anti")
+    return once.unionByName(docs.join(twice, known, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
