@@ -452,8 +452,8 @@ def _(spark, d):
     return _plain(rows.where(F.col("pts_us") <= clock))
 
 
-@query("q_presentable_asof", f"""WITH {EV}, k AS (SELECT track_id, unnest(range(10)) AS tick FROM (SELECT DISTINCT track_id FROM ev)), b AS (SELECT min(pts) AS lo, max(pts) AS hi FROM ev), t AS (SELECT track_id, tick, lo + (hi - lo) // 10 * tick AS at FROM k, b)
-SELECT t.track_id, tick, coalesce(max(idx) FILTER (pts <= at), min(idx)) AS idx FROM t JOIN ev USING (track_id) GROUP BY ALL""")
+@query("q_presentable_asof", f"""WITH {EV}, k AS (SELECT track_id, unnest(range(10)) AS tick FROM (SELECT DISTINCT track_id FROM ev)), b AS (SELECT min(pts) AS lo, max(pts) AS hi FROM ev), t AS (SELECT track_id, tick, lo + (hi - lo) // 10 * tick AS due FROM k, b)
+SELECT t.track_id, tick, coalesce(max(idx) FILTER (pts <= due), min(idx)) AS idx FROM t JOIN ev USING (track_id) GROUP BY ALL""")
 def _(spark, d):
     rows = ev(spark, d)
     lo, hi = rows.agg(F.min("pts_us"), F.max("pts_us")).first()
