@@ -75,7 +75,8 @@ def budgets(supply: dict[tuple, int], weights: dict[tuple, float], total: int, e
         for c, n in got.items():
             give(c, n)
 
-    give((), min(total, usable(())) if supply else 0)
+    if supply:
+        give((), min(total, usable(())))
     return out
 
 
