@@ -20,15 +20,15 @@ def gain(samples: Column, factor: float) -> Column:
 
 
 def resample_linear(samples: Column, from_rate: int, to_rate: int) -> Column:
-    """Linear interpolation at the new rate; floor(n * to / from + 0.5) samples, at least one."""
+    """Linear interpolation with the ends aligned; max(1, floor(n * to / from + 0.5)) samples. The same rate changes nothing."""
     if from_rate == to_rate:
         return F.transform(samples, lambda x: x.cast("double"))
     n = F.size(samples)
     count = F.greatest(F.lit(1), F.floor(n * to_rate / from_rate + 0.5).cast("int"))
 
     def value(i: Column) -> Column:
-        at = i * (from_rate / to_rate)
-        low = F.least(F.floor(at).cast("int"), n - 1)
+        at = i * (n - 1) / F.greatest(count - 1, F.lit(1))
+        low = F.floor(at).cast("int")
         left, right = (F.get(samples, x).cast("double") for x in (low, F.least(low + 1, n - 1)))
         return left + (right - left) * (at - low)
 
