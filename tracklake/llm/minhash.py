@@ -9,9 +9,10 @@
    from the signatures (far below the threshold, so that it loses nothing) and an exact check on the
    full sets, made anew from the texts.
 3. Verified edges make components. A bucket whose members are still in several components may hide
-   links that its star did not try: there the members outside the bucket's largest component are
-   compared with all others by their signatures, in blocks of bounded size, and what passes is
-   verified in the same way.
+   links that its star did not try. It gets ``TURNS`` more stars, around other members and only to
+   members of other components. Where several components still remain, the members outside the
+   bucket's largest one are compared with all others by their signatures and sets, in blocks of bounded
+   size, and the links that this finds are verified in the same way.
 
 At similarity 0.8 a pair shares none of the 32 bands of 4 bins with probability 5e-8.
 
@@ -35,8 +36,10 @@ from .shared import components, drop_written, written
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
-#: A pair is verified if at least this share of its signatures agrees: 7 standard deviations below 0.8.
-LEAST_AGREEMENT = 0.55
+#: A pair is verified if at least this share of its signatures agrees: 4 standard deviations below 0.8.
+LEAST_AGREEMENT = 0.66
+#: Stars that a bucket of several components gets, besides its first, around other members.
+TURNS = 1
 #: Rows of a bucket that one task compares with as many others.
 BLOCK_ROWS = 2048
 
@@ -134,50 +137,99 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
             first = last
 
 
-def _verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Of candidate pairs (a, b): those whose full sets are similar; and tables to delete."""
+def _verified(pairs: DataFrame, sig: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b): those whose full sets are similar."""
     side = lambda k: sig.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
     bound = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(bound).select("a", "b", "sa", "sb")
-    near = written(near.mapInArrow(_agreeing, "a long, b long").distinct(), "pairs")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(wanted, "id")
-    texts = written(texts, "texts")
+    near = written(near.mapInArrow(_agreeing, "a long, b long"), "pairs")
     side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
     links = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-    return written(links.mapInArrow(lambda x: _verify(x, size, percent), "a long, b long").distinct(), "links"), [near, texts]
+    out = written(links.mapInArrow(lambda x: _verify(x, size, percent), "a long, b long"), "links")
+    drop_written(near)
+    return out
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Of one block of a bucket: pairs (outside, other) in different components whose signatures agree."""
-    outside = table.column("outside").to_numpy().astype(bool)
-    ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
-    a, b = [], []
-    rest = np.flatnonzero(~table.column("left").to_numpy().astype(bool))
-    for i in np.flatnonzero(table.column("left").to_numpy().astype(bool)):
-        other = rest[(comp[rest] != comp[i]) & ~(outside[rest] & (ids[rest] < ids[i]))]
-        hit = other[(sig[other] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
-        a.append(np.full(len(hit), ids[i]))
-        b.append(ids[hit])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, hashes): each set as sorted 32-bit hashes."""
+    for batch in batches:
+        for block in bs.blocks(batch.column(1), most_rows=bs.KEY_ROWS):
+            keys, rows = bs.row_sets(block, _TABLE, bs.NOT_SPACE, size)
+            bounds = np.searchsorted(rows, np.arange(len(block) + 1))
+            short = ((keys >> bs.U64(bs.KEY_BITS - 32)) & bs.U64(0xFFFFFFFF)).astype(np.uint32)
+            sets = pa.array([short[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), sets], names=["id", "hashes"])
 
 
-def _residual(buckets: DataFrame, sig: DataFrame, label: DataFrame) -> DataFrame:
-    """Candidate pairs between components that share a bucket, compared in bounded blocks."""
-    rows = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """Of one block of a bucket: pairs (outside, other) in different components that may be similar.
+
+    Signatures choose pairs, and their 32-bit sets are compared in full. Pairs well above the threshold are told as a
+    spanning forest; those within what a collision of 32-bit hashes could change are told unless the forest joins them.
+    A pair that meets in several buckets is looked at in the least of them only."""
+    left, outside = (table.column(k).to_numpy().astype(bool) for k in ("left", "outside"))
+    ids, comp, size = (table.column(k).to_numpy() for k in ("id", "component", "n"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    sets = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+    bucket = table.column("bucket")[0].as_py()
+    found: list[tuple[float, int, int]] = []
+    rest = np.flatnonzero(~left)
+    for i in np.flatnonzero(left):
+        other = rest[(comp[rest] != comp[i]) & ~(outside[rest] & (ids[rest] < ids[i]))]
+        other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+        other = other[(sig[other] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
+        least = np.where(bands[other] == bands[i], bands[i], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+        other = other[least == bucket]
+        if len(other):
+            joined = np.concatenate([sets[j] for j in other])
+            at = np.minimum(np.searchsorted(sets[i], joined), len(sets[i]) - 1)
+            ends = np.cumsum([len(sets[j]) for j in other])
+            shared = np.diff(np.concatenate([[0], np.cumsum(sets[i][at] == joined)[ends - 1]]))
+            alike = 100 * (shared + 2) / (size[i] + size[other] - shared - 2).clip(1)
+            found += [(a, int(i), int(j)) for a, j in zip(alike[alike >= percent], other[alike >= percent], strict=True)]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    pairs = []
+    for alike, i, j in sorted(found, reverse=True):
+        a, b = root(int(comp[i])), root(int(comp[j]))
+        if a != b:
+            pairs.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+            shared_by_four = 100 * 4 / max(1, min(size[i], size[j]))
+            if alike >= percent + 2 * shared_by_four:
+                parent[a] = b
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _open(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (bucket, id, component, top, inside, all) of the buckets whose members lie in several components:
+    the largest of them, its members there, and all members."""
+    rows = buckets.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"))
     largest = largest.where("all > 2 and top.k < all").selectExpr("bucket", "top.component as top", "top.k as inside", "all")
-    rows = rows.join(largest, "bucket").withColumn("outside", F.expr("component != top")).join(sig.select("id", "sig"), "id")
+    return written(rows.join(largest, "bucket"), "open")
+
+
+def _residual(rows: DataFrame, sig: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidate pairs between components that share a bucket, compared in bounded blocks."""
+    rows = rows.withColumn("outside", F.expr("component != top"))
+    wanted = rows.select("id").distinct()
+    hashes = texts.join(wanted, "id", "left_semi").mapInArrow(lambda b: _sets(b, size), "id long, hashes binary")
+    rows = rows.join(sig.join(wanted, "id", "left_semi").join(hashes, "id").select("id", "n", "sig", "bands", "hashes"), "id")
     us = F.ceil((F.col("all") - F.col("inside")) / BLOCK_ROWS).cast("int")
     ss = F.ceil(F.col("all") / BLOCK_ROWS).cast("int")
     spot = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    columns = ["bucket", "id", "component", "outside", "sig"]
+    columns = ["bucket", "id", "n", "component", "outside", "sig", "bands", "hashes"]
     left = rows.where("outside").select(*columns, F.lit(True).alias("left"), spot(us, 1).alias("u"), F.explode(F.sequence(F.lit(0), ss - 1)).alias("s"))
     right = rows.select(*columns, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), us - 1)).alias("u"), spot(ss, 2).alias("s"))
-    return left.union(right).groupBy("bucket", "u", "s").applyInArrow(_compare, "a long, b long").distinct()
+    return left.union(right).groupBy("bucket", "u", "s").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -199,14 +251,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = spread.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("last > b").select("bucket", "b")
     buckets = written(spread.join(centres, "bucket"), "buckets")
     stars = written(buckets.where("id != b").select(F.col("id").alias("a"), "b").distinct(), "stars")
-    plain = sig.select("id", "n", "sig")
-    links, spent = _verified(stars, plain, docs, size, percent)
+    texts = written(docs.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
+    links = _verified(stars, sig, texts, size, percent)
     label = components(links.union(copies))
-    more = _residual(buckets.select("bucket", "id"), plain, label).join(stars, ["a", "b"], "left_anti")
-    more, again = _verified(more, plain, docs, size, percent)
+    rows = _open(buckets.select("bucket", "id"), label)
+    for turn in range(TURNS):
+        centre = rows.groupBy("bucket").agg(F.max_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("c"))
+        star = rows.join(centre, "bucket").where("component != c.component")
+        star = star.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
+        links = links.union(_verified(star, sig, texts, size, percent))
+        label = components(links.union(copies))
+        last, rows = rows, _open(rows.select("bucket", "id"), label)
+        drop_written(last)
+    more = _verified(_residual(rows, sig, texts, size, percent), sig, texts, size, percent)
     if not more.isEmpty():
         label = components(links.union(copies).union(more))
-    drop_written(*spent, *again, buckets, stars, sig, classes)
+    drop_written(buckets, stars, sig, classes, texts, rows)
     out = every.select("id", "n").join(label, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
