@@ -21,6 +21,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytescan as bs
 
@@ -220,16 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y, most in ((1, MOST_TOXIC), (0, MOST_ORDINARY)):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         rows += texts.where(f"size > 0 and size <= {LONGEST}").join(F.broadcast(some), "id").select("id", "text", "y").collect()
-    rows.sort(key=lambda r: (hash_of(r.id), r.text))
+    rows.sort(key=lambda r: (zlib.crc32(f"order {r.id}".encode()), r.text))
     return fit([r.text.encode() for r in rows], np.array([r.y for r in rows], int))
 
 
-def hash_of(x: object) -> int:
-    import zlib
-
-    return zlib.crc32(b"order" + str(x).encode())
-
-
 def _score(batches: Iterator[pa.RecordBatch], model: Model, text_at: int) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in batches:
@@ -240,7 +236,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, text_at: int) -> Ite
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with a column toxicity_score, from 0 to 1."""
-    schema = docs.schema.add("toxicity_score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
     at = docs.columns.index(text_col)
     return docs.mapInArrow(lambda b: _score(b, model, at), schema)
 
