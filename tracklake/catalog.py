@@ -407,8 +407,8 @@ def _(spark, d):
     return vectors(spark, d).select("vec_id", P.gain(F.col("embedding"), 0.5).alias("samples"))
 
 
-@query("q_resample_linear", """WITH p AS (SELECT vec_id, embedding AS e, list_transform(range(128), lambda i: i * 63 / 127::DOUBLE) AS at FROM embeddings)
-SELECT vec_id, list_transform(at, lambda x: floor(1e5::DOUBLE * (e[floor(x)::INT + 1]::DOUBLE + (e[least(floor(x)::INT + 2, 64)]::DOUBLE - e[floor(x)::INT + 1]::DOUBLE) * (x - floor(x))) + 0.5)::BIGINT) AS samples FROM p""")
+@query("q_resample_linear", """WITH p AS (SELECT vec_id, embedding AS e, list_transform(range(128), lambda i: i * 63 / 127::DOUBLE) AS spots FROM embeddings)
+SELECT vec_id, list_transform(spots, lambda x: floor(1e5::DOUBLE * (e[floor(x)::INT + 1]::DOUBLE + (e[least(floor(x)::INT + 2, 64)]::DOUBLE - e[floor(x)::INT + 1]::DOUBLE) * (x - floor(x))) + 0.5)::BIGINT) AS samples FROM p""")
 def _(spark, d):
     out = P.resample_linear(F.col("embedding"), 24_000, 48_000)
     return vectors(spark, d).select("vec_id", F.transform(out, lambda x: F.floor(x * 1e5 + 0.5)).alias("samples"))
