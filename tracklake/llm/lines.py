@@ -78,9 +78,10 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     windows = written(keyed.mapInArrow(lambda b: _windows(b, size), f"h1 long, h2 long, id {kind}, key long, place int"), "windows")
     here = F.struct("id", "key", "place")
     repeated = windows.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first != last").select("h1", "h2", "first")
+    repeated = written(repeated, "repeated")  # so that a hot window's join is between plain tables, which can be split
     later = windows.join(repeated, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).select("key", "place").distinct()
     places = written(later.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places")), "places")
-    drop_written(windows)
+    drop_written(windows, repeated)
     out = keyed.join(places, "key", "left").select("id", "text", "places")
     return out.mapInArrow(lambda b: _remove(b, size), f"id {kind}, n_lines long, n_removed long, starts array<long>, kept binary").withColumnRenamed("id", id_col)
 
