@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import bitstream as N
 from .functions import bytesql as B
 from .functions import pcm as P
 from .operators import selection as S
 from .operators import timeline as T
+from .sources import media as M
+from .streaming import rings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,9 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ev(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    if stream:
+        events = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern: streams read folders or patterns
+    return events.select(
         F.col("user_id").alias("track_id"),
         F.col("event_id").alias("index"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("pts_us"),
@@ -487,6 +493,99 @@ def _(spark, d):
     return _plain(ev(spark, d), "is_key", "picture_type", "size")
 
 
+# --- packets
+
+_TEXT = "regexp_replace(text, '[^a-z ]', 'x', 'g')"
+
+
+@query("q_annexb_split", f"WITH t AS (SELECT doc_id, {_TEXT} AS t FROM documents) SELECT doc_id, (len(substr(t, 1, 20)) > 0)::INT + (len(substr(t, 21, 20)) > 0)::INT AS n_units, lower(hex(encode(substr(t, 1, 20)))) AS first, CASE WHEN len(t) > 20 THEN lower(hex(encode(substr(t, 21, 20)))) END AS second FROM t WHERE len(t) > 0")
+def _(spark, d):
+    t = F.regexp_replace("text", "[^a-z ]", "x")
+    docs = table(spark, d, "documents").select("doc_id", t.alias("t")).where("length(t) > 0")
+    data = F.concat(F.lit(b"\x00\x00\x00\x01"), F.encode(F.substring("t", 1, 20), "utf-8"), F.lit(b"\x00\x00\x00\x01"), F.encode(F.substring("t", 21, 20), "utf-8"), F.lit(b"\x00\x00"))
+    out = docs.select("doc_id", N.annexb_nals(data).alias("u"))
+    unit = lambda i: F.lower(F.hex(F.get("u", i)))
+    return out.select("doc_id", F.size("u").alias("n_units"), unit(F.lit(0)).alias("first"), unit(F.lit(1)).alias("second"))
+
+
+@query("q_length_prefix", f"WITH t AS (SELECT doc_id, {_TEXT} AS t FROM documents) SELECT doc_id, printf('%08x', least(20, len(t))) || lower(hex(encode(substr(t, 1, 20)))) AS data FROM t WHERE len(t) > 0")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "x").alias("t")).where("length(t) > 0")
+    data = F.concat(F.lit(b"\x00\x00\x01"), F.encode(F.substring("t", 1, 20), "utf-8"))
+    return docs.select("doc_id", F.lower(F.hex(N.length_prefixed(N.annexb_nals(data)))).alias("data"))
+
+
+@query("q_adts_strip", "SELECT doc_id, CASE WHEN strlen(text) > 0 THEN CASE WHEN doc_id % 2 = 0 THEN lower(hex(encode(text))[1:40]) ELSE lower(hex(encode(text))[5:40]) END ELSE NULL END AS raw FROM documents WHERE strlen(text) > 2")
+def _(spark, d):
+    docs = table(spark, d, "documents").where("octet_length(text) > 2")
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit(b"\xff\xf1\x50\x80\x00\x00\xfc")).otherwise(F.lit(b"\xff\xf0\x50\x80\x00\x00\xfc"))
+    return docs.select("doc_id", F.lower(F.hex(N.without_adts(F.concat(head, B.part(F.encode("text", "utf-8"), 0, 20))))).alias("raw"))
+
+
+@query("q_bitstream_format", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 5 IN (0, 1) THEN 'annexb' WHEN page_id % 5 IN (2, 3) THEN 'avcc' ELSE 'unknown' END
+  ELSE CASE page_id % 4 WHEN 1 THEN CASE WHEN page_id % 5 IN (0, 1) THEN 'adts' ELSE 'aac_raw' END ELSE 'mp3' END END AS format FROM pages""")
+def _(spark, d):
+    pick = lambda n, *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("page_id") % n + 1).cast("int"))
+    kind, container = pick(2, "video", "audio"), pick(5, "mpegts", "mpegps", "flv", "mp4", "wav")
+    family = N.codec_family(pick(4, "h264", "aac", "h264", "unknown"), F.lit("MPEG Audio Layer III"))
+    return table(spark, d, "pages").select("page_id", N.bitstream_format(kind, container, family).alias("format"))
+
+
+# --- containers, built from rows and read as tables again
+
+def _joined(order: str, data: str):
+    """The binaries of a group side by side, in order."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("b"))))
+    return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["b"]))
+
+
+@query("q_flv_roundtrip", f"WITH {EV}, p AS (SELECT *, row_number() OVER w - 1 AS n, (pts - first_value(pts) OVER w) // 1000 AS ms FROM ev WINDOW w AS (PARTITION BY track_id ORDER BY idx)) SELECT track_id::VARCHAR AS source_id, ms * 1000 AS pts_us, is_key, (size % 50) AS size FROM p WHERE ms < 4294967296 // 4 AND size % 50 > 0")
+def _(spark, d):
+    w = Window.partitionBy("track_id").orderBy("index")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = ev(spark, d).withColumn("ms", F.floor((F.col("pts_us") - F.first("pts_us").over(whole)) / 1000)).where("ms < 1073741824 and size % 50 > 0")
+    big = lambda c, n: F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
+    n = F.col("size") % 50
+    body = F.concat(F.when(F.col("is_key"), F.lit(b"\x17\x01\x00\x00\x00")).otherwise(F.lit(b"\x27\x01\x00\x00\x00")), F.unhex(F.expr("repeat('AB', cast(size % 50 as int))")))
+    tag = F.concat(F.lit(b"\x09"), big(n + 5, 3), big(F.col("ms") % (1 << 24), 3), big(F.shiftright("ms", 24), 1), F.lit(bytes(3)), body, big(n + 16, 4))
+    files = rows.withColumn("tag", tag).groupBy("track_id").agg(_joined("index", "tag").alias("tags"))
+    files = files.select(F.col("track_id").cast("string").alias("source_id"), F.concat(F.lit(b"FLV\x01\x01\x00\x00\x00\x09\x00\x00\x00\x00"), F.col("tags")).alias("data"))
+    return M.flv_tags(files).select("source_id", "pts_us", "is_key", "size")
+
+
+@query("q_ts_roundtrip", f"WITH {EV}, p AS (SELECT *, (pts // 1000) % 80000000 * 90 AS ticks FROM ev) SELECT track_id::VARCHAR AS source_id, CASE WHEN is_key THEN 256 ELSE 257 END::BIGINT AS pid, CASE WHEN is_key THEN 'video' ELSE 'audio' END AS kind, floor(ticks * 100 / 9::DOUBLE + 0.5)::BIGINT AS pts_us FROM p")
+def _(spark, d):
+    ticks = F.floor(F.col("pts_us") / 1000) % 80_000_000 * 90
+    byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
+    stamp = F.concat(byte(F.lit(0x21) + F.shiftleft(F.shiftright(ticks, 30).bitwiseAND(7), 1)), byte(F.shiftright(ticks, 22).bitwiseAND(255)), byte(F.shiftleft(F.shiftright(ticks, 15).bitwiseAND(127), 1) + 1), byte(F.shiftright(ticks, 7).bitwiseAND(255)), byte(F.shiftleft(ticks.bitwiseAND(127), 1) + 1))
+    key = F.col("is_key")
+    head = F.concat(F.lit(b"\x47"), F.when(key, F.lit(b"\x41\x00")).otherwise(F.lit(b"\x41\x01")), F.lit(b"\x10"))
+    pes = F.concat(F.lit(b"\x00\x00\x01"), F.when(key, F.lit(b"\xe0")).otherwise(F.lit(b"\xc0")), F.lit(b"\x00\x00\x80\x80\x05"), stamp, F.lit(b"\xff" * 170))
+    files = ev(spark, d).withColumn("packet", F.concat(head, pes)).groupBy("track_id").agg(_joined("index", "packet").alias("data"))
+    out = M.ts_pes(M.ts_packets(files.select(F.col("track_id").cast("string").alias("source_id"), "data")))
+    return out.select("source_id", "pid", "kind", "pts_us")
+
+
+@query("q_wav_roundtrip", "SELECT vec_id::VARCHAR AS source_id, 8000::BIGINT AS rate, 1::BIGINT AS channels, len(embedding)::BIGINT AS frames, floor(len(embedding) * 1000000 / 8000::DOUBLE + 0.5)::BIGINT AS duration_us FROM embeddings")
+def _(spark, d):
+    rows = vectors(spark, d).select(F.col("vec_id").cast("string").alias("source_id"), F.col("embedding").cast("array<double>").alias("v"))
+    files = M.wav_bytes(rows, "v", 8000).select("source_id", F.col("wav").alias("data"))
+    return M.wav_tracks(files).select("source_id", "rate", "channels", "frames", "duration_us")
+
+
+# --- stateful operators, as streams over the table
+
+@query("q_state_record_gate", SQL["q_record_gate"].replace("idx, pts FROM g", "idx, pts AS pts_us FROM g"))
+def _(spark, d):
+    rows = ev(spark, d, stream=True).withColumnRenamed("index", "idx")
+    return rings.replayed(rings.record_gate(rows, "is_key", "is_target"))
+
+
+@query("q_state_packet_ring", f"WITH {EV} SELECT track_id, idx, pts AS pts_us, pts AS clock_us, 0::BIGINT AS overruns FROM ev")
+def _(spark, d):
+    return rings.replayed(rings.packet_ring(ev(spark, d, stream=True).withColumnRenamed("index", "idx"), capacity=64))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

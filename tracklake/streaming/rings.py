@@ -1,11 +1,13 @@
 """Buffers, clocks and gates over streams of samples.
 
 The state of a track is small and bounded (a ring of so many places, a clock, an open flag), kept by Structured Streaming per track, so that tracks divide over
-executors and a restarted query goes on from its checkpoint. Each also works on a batch DataFrame, where all rows come at once.
+executors and a restarted query goes on from its checkpoint. :func:`replayed` runs a stream over what its source holds now and reads the result.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,3 +98,20 @@ def clock_ticks(samples: DataFrame, period: str, late: str, time_col: str = "ts"
 def latest_frames(samples: DataFrame, late: str, time_col: str = "ts") -> DataFrame:
     """Each frame of a track once, by its time, among those within the watermark."""
     return samples.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["track_id", "pts_us"])
+
+
+def replayed(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run a stream over all that its source holds, append to Parquet, and read that.
+
+    ``folder`` must be shared by all executors; unset, it is below spark.checkpoint.dir, or in a local session a temporary one.
+    """
+    spark = stream.sparkSession
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tracklake-stream-")
+    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start(f"{path}/rows")
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
