@@ -9,8 +9,8 @@
    from the signatures (far below the threshold, so that it loses nothing) and an exact check on the
    full sets, made anew from the texts.
 3. Verified edges make components. A bucket whose members are still in several components may hide
-   links that its star did not try. It gets ``TURNS`` more stars, around other members and only to
-   members of other components. Where several components still remain, the members outside the
+   links that its star did not try. While that leaves many comparisons it gets more stars, around
+   other members and only to members of other components. Where several components still remain, the members outside the
    bucket's largest one are compared with all others by their signatures and sets, in blocks of bounded
    size, and the links that this finds are verified in the same way.
 
@@ -38,8 +38,9 @@ BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 #: A pair is verified if at least this share of its signatures agrees: 4 standard deviations below 0.8.
 LEAST_AGREEMENT = 0.66
-#: Stars that a bucket of several components gets, besides its first, around other members.
-TURNS = 1
+#: Stars, besides their first, that buckets of several components get around other members while more comparisons would be left
+#: than COMPARED_PER_ROW for each row of the table.
+TURNS, COMPARED_PER_ROW = 4, 4096
 #: Rows of a bucket that one task compares with as many others.
 BLOCK_ROWS = 2048
 
@@ -241,12 +242,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = written(signatures(docs, "id", "text", size), "signatures")
     some = every.where("n > 0 and id is not null")
-    classes = some.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    classes = written(classes, "classes")
-    copies = some.join(classes.where("other > id").select("f1", "f2", F.col("n"), F.col("id").alias("b")), ["f1", "f2", "n"])
-    copies = written(copies.where("id != b").select(F.col("id").alias("a"), "b").distinct(), "copies")
-    # An id that repeats may stand for several sets: each (id, set) is compared, links are by id.
-    sig = written(some.join(classes.select("id", "f1", "f2", "n"), ["id", "f1", "f2", "n"], "left_semi").dropDuplicates(["id", "f1", "f2"]), "sets")
+    first = F.min_by(F.struct("bands", "sig"), "id").alias("s")
+    classes = some.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.max("id").alias("other"), first)
+    sig = written(classes.select("id", "other", "n", "f1", "f2", "s.bands", "s.sig"), "sets")
+    copies = some.join(sig.where("other > id").select("f1", "f2", "n", F.col("id").alias("b")), ["f1", "f2", "n"])
+    copies = written(copies.where("id != b").select(F.col("id").alias("a"), "b"), "copies")
     spread = sig.select("id", F.explode("bands").alias("bucket"))
     centres = spread.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("last > b").select("bucket", "b")
     buckets = written(spread.join(centres, "bucket"), "buckets")
@@ -255,7 +255,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(stars, sig, texts, size, percent)
     label = components(links.union(copies))
     rows = _open(buckets.select("bucket", "id"), label)
+    most = COMPARED_PER_ROW * every.count()
     for turn in range(TURNS):
+        if (rows.agg(F.sum(F.col("all") - F.col("inside"))).first()[0] or 0) <= most:
+            break  # few enough comparisons to make them all
         centre = rows.groupBy("bucket").agg(F.max_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("c"))
         star = rows.join(centre, "bucket").where("component != c.component")
         star = star.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
@@ -263,10 +266,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = components(links.union(copies))
         last, rows = rows, _open(rows.select("bucket", "id"), label)
         drop_written(last)
-    more = _verified(_residual(rows, sig, texts, size, percent), sig, texts, size, percent)
-    if not more.isEmpty():
-        label = components(links.union(copies).union(more))
-    drop_written(buckets, stars, sig, classes, texts, rows)
+    residual = written(_residual(rows, sig, texts, size, percent), "residual")
+    if not residual.isEmpty():
+        label = components(links.union(copies).union(_verified(residual, sig, texts, size, percent)))
+    drop_written(buckets, stars, sig, texts, rows, residual)
     out = every.select("id", "n").join(label, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 

@@ -73,7 +73,9 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: list[str], order: list[
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a, b) as rows (id, component): the smallest id reachable.
 
-    Alternating large and small stars, each an aggregate and a join, until nothing changes.
+    Alternating large and small stars until nothing changes. Edges point from the larger id to the smaller. The large star joins each
+    edge's smaller end to that end's smallest neighbour: an aggregate with map-side combining, and a join whose hot keys (an id with
+    many larger neighbours) the engine can split. The small star works per larger end, which has few edges, in one exchange.
     Only ids that have an edge appear, and the smallest of each component does not.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
@@ -83,10 +85,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if state == seen or state["n"] == 0:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         seen = state
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))  # a neighbour smaller than the id itself
+        large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).repartition("a").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        last, now = now, written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        last, now = now, written(small.distinct(), name)
         drop_written(last)
