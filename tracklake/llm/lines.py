@@ -82,7 +82,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     later = windows.join(repeated, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).select("key", "place").distinct()
     places = written(later.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places")), "places")
     drop_written(windows, repeated)
-    out = keyed.join(places, "key", "left").select("id", "text", "places")
+    # a merge join at every size: the places grow with the texts, so a broadcast would only ever suit small tables
+    out = keyed.join(places.hint("merge"), "key", "left").select("id", "text", "places")
     return out.mapInArrow(lambda b: _remove(b, size), f"id {kind}, n_lines long, n_removed long, starts array<long>, kept binary").withColumnRenamed("id", id_col)
 
 
