@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -196,7 +197,7 @@ def _arc_rows(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator
                 head, payload = split_http(content)
                 number = header_value(head, "X-Page-Id")
                 name = uuid.uuid5(uuid.NAMESPACE_URL, f"{path.rpartition('/')[2]} {offset} {fields['URL']} {fields['Archive-date']}")
-                rows.append((f"<urn:uuid:{name}>", "response" if head else "resource", fields["URL"], fields["IP-address"], warc_date(fields["Archive-date"]), fields["Content-type"], head, payload if with_payload else None, hashlib.sha1(payload).hexdigest(), int(number) if number and number.isdigit() else None, str(len(payload))))
+                rows.append((f"<urn:uuid:{name}>", "response" if head else "resource", fields["URL"], fields["IP-address"], warc_date(fields["Archive-date"]), fields["Content-type"], head, payload if with_payload else None, hashlib.sha1(payload).hexdigest(), int(number) if number and re.fullmatch(r"-?\d+", number) else None, str(len(payload))))
                 size += len(payload)
                 if size >= FILE_BYTES // 4:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 _TABLE = bs.byte_table(303, lower=True)
 _ONE = bs.U64(0x51ED270B0A1F39C1)
 

@@ -221,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = []
     for y, most in ((1, MOST_TOXIC), (0, MOST_ORDINARY)):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
-        rows += texts.where(f"size > 0 and size <= {LONGEST}").join(F.broadcast(some), "id").select("id", "text", "y").collect()
+        found = texts.where(f"size > 0 and size <= {LONGEST}").join(F.broadcast(some), "id")
+        rows += found.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()  # one text of an id that repeats
     rows.sort(key=lambda r: (zlib.crc32(f"order {r.id}".encode()), r.text))
     return fit([r.text.encode() for r in rows], np.array([r.y for r in rows], int))
 
