@@ -260,26 +260,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     most = PIECE
     every = texts.mapInArrow(lambda b: _scan(b, length, anchor, most), "key long, low long, size int, at int, a long, c long")
     every = written(every, "runs")
+    # aggregates are written before they are joined: the engine splits a hot key only between plain tables
     seen = every.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 1")
-    found = written(every.join(seen.selectExpr("a", "c0 != c1 as mixed"), "a"), "found")
-    drop_written(every)
+    seen = written(seen.selectExpr("a", "c0 != c1 as mixed"), "seen")
+    found = written(every.join(seen, "a"), "found")
+    drop_written(every, seen)
     classes = found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "low", "size", "at")).alias("one"), F.first("mixed").alias("mixed"))
     classes = written(classes, "contexts")
     whole = found.join(classes.where("n > 1").select("a", "c"), ["a", "c"]).selectExpr("key", "shiftleft(low, 31) | size as span")
     mixed = classes.where("mixed")
-    large = mixed.groupBy("a").agg((F.count("*") > GROUP_CONTEXTS).alias("large"))
-    wanted = mixed.join(large, "a").select(F.col("one.key").alias("key"), F.struct("a", "n", "large", "one.low", "one.size", "one.at").alias("w"))
+    large = written(mixed.groupBy("a").count().where(F.col("count") > GROUP_CONTEXTS).select("a", F.lit(True).alias("large")), "large")
+    wanted = mixed.join(large, "a", "left").fillna(False, ["large"])
+    wanted = wanted.select(F.col("one.key").alias("key"), F.struct("a", "n", "large", "one.low", "one.size", "one.at").alias("w"))
     wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("want"))
     gathered = texts.join(wanted, "key").mapInArrow(_contexts, "a long, n long, large boolean, key long, low long, at int, context binary")
     gathered = written(gathered, "gathered")
     small = gathered.where("not large").repartition("a").sortWithinPartitions("a", "key", "low")
     part = small.mapInArrow(lambda b: _search(b, length, anchor), "key long, span long")
     windows = gathered.where("large").mapInArrow(lambda b: _windows(b, length), "h1 long, h2 long, key long, span long, n long")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
+    again = written(windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "again")
     hit = windows.where("n = 1").join(again, ["h1", "h2"]).select("key", "span")
     spans = whole.union(part).union(hit).groupBy("key").agg(F.collect_list("span").alias("spans"))
     out = written(spans, "spans")
-    drop_written(found, classes, gathered)
+    drop_written(found, classes, large, gathered, again)
     return out
 
 
