@@ -7,7 +7,8 @@ whole corpus would not divide over tasks, so the windows are divided first, with
    windows have equal anchors at equal places. Consecutive windows with one anchor make a *run*, and
    its bytes a *context*; each window of the corpus lies in exactly one run. About one byte in 185
    starts a run, and only (anchor hash, context hash, place) of it are shuffled.
-2. Anchors seen once are done. Contexts that are equal in whole repeat in whole.
+2. Anchors seen once are done. Contexts that are equal in whole repeat in whole; those that meet in one block of
+   texts are known to at once, and one of them stands for all in the shuffles that follow.
 3. Different contexts of one anchor are gathered, one copy of each, in batches of whole groups. In a
    task, a context stays if it shares an aligned string of at least 354 bytes with another. Over
    those, suffixes are sorted to depth ``LENGTH``; breadth-first backward extension of intervals on
@@ -78,8 +79,11 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, anchor: int, most: int
             for buf, start, end, skip in pieces:
                 row, low, size, at, a, c = runs(buf, start, end, length, anchor)
                 if len(row):
-                    columns = [keys[block.first + row], low - start[row] + skip, size.astype(np.int32), at.astype(np.int32), a.view(np.int64), c.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "low", "size", "at", "a", "c"])
+                    _, head, count = np.unique(c, return_index=True, return_counts=True)
+                    stands_for = np.zeros(len(row), np.int32)
+                    stands_for[head] = count
+                    columns = [keys[block.first + row], low - start[row] + skip, size.astype(np.int32), at.astype(np.int32), a.view(np.int64), c.view(np.int64), stands_for]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "low", "size", "at", "a", "c", "k"])
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -258,16 +262,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchor = min(ANCHOR, length)
     texts = _keyed(docs, id_col, text_col).select("key", "text")
     most = PIECE
-    every = texts.mapInArrow(lambda b: _scan(b, length, anchor, most), "key long, low long, size int, at int, a long, c long")
+    every = texts.mapInArrow(lambda b: _scan(b, length, anchor, most), "key long, low long, size int, at int, a long, c long, k int")
     every = written(every, "runs")
+    span = "shiftleft(low, 31) | size as span"
+    known = every.where("k = 0").selectExpr("key", span)
+    heads = every.where("k > 0")
     # aggregates are written before they are joined: the engine splits a hot key only between plain tables
-    seen = every.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 1")
+    seen = heads.groupBy("a").agg(F.sum("k").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
     seen = written(seen.selectExpr("a", "c0 != c1 as mixed"), "seen")
-    found = written(every.join(seen, "a"), "found")
-    drop_written(every, seen)
-    classes = found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "low", "size", "at")).alias("one"), F.first("mixed").alias("mixed"))
+    found = written(heads.join(seen, "a"), "found")
+    classes = found.groupBy("a", "c").agg(F.sum("k").alias("n"), F.min(F.struct("key", "low", "size", "at")).alias("one"), F.first("mixed").alias("mixed"))
     classes = written(classes, "contexts")
-    whole = found.join(classes.where("n > 1").select("a", "c"), ["a", "c"]).selectExpr("key", "shiftleft(low, 31) | size as span")
+    whole = found.join(classes.where("n > 1").select("a", "c"), ["a", "c"]).selectExpr("key", span)
     mixed = classes.where("mixed")
     large = written(mixed.groupBy("a").count().where(F.col("count") > GROUP_CONTEXTS).select("a", F.lit(True).alias("large")), "large")
     wanted = mixed.join(large, "a", "left").fillna(False, ["large"])
@@ -280,9 +286,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = gathered.where("large").mapInArrow(lambda b: _windows(b, length), "h1 long, h2 long, key long, span long, n long")
     again = written(windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "again")
     hit = windows.where("n = 1").join(again, ["h1", "h2"]).select("key", "span")
-    spans = whole.union(part).union(hit).groupBy("key").agg(F.collect_list("span").alias("spans"))
+    spans = known.union(whole).union(part).union(hit).groupBy("key").agg(F.collect_list("span").alias("spans"))
     out = written(spans, "spans")
-    drop_written(found, classes, large, gathered, again)
+    drop_written(every, seen, found, classes, large, gathered, again)
     return out
 
 
