@@ -539,20 +539,40 @@ def _joined(order: str, data: str):
     return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["b"]))
 
 
+def _flv_files(rows: DataFrame, *by: str) -> DataFrame:
+    """(source_id, data): FLV files of the rows (index, ms, is_key, n) of each group, with n bytes of payload a row."""
+    big = lambda c, n: F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
+    n = F.col("n")
+    body = F.concat(F.when(F.col("is_key"), F.lit(b"\x17\x01\x00\x00\x00")).otherwise(F.lit(b"\x27\x01\x00\x00\x00")), F.unhex(F.expr("repeat('AB', cast(n as int))")))
+    tag = F.concat(F.lit(b"\x09"), big(n + 5, 3), big(F.col("ms") % (1 << 24), 3), big(F.shiftright("ms", 24), 1), F.lit(bytes(3)), body, big(n + 16, 4))
+    files = rows.withColumn("tag", tag).groupBy(*by).agg(_joined("index", "tag").alias("tags"))
+    return files.select(F.concat_ws(":", *by).alias("source_id"), F.concat(F.lit(b"FLV\x01\x01\x00\x00\x00\x09\x00\x00\x00\x00"), F.col("tags")).alias("data"))
+
+
 @query("q_flv_roundtrip", f"WITH {EV}, p AS (SELECT *, row_number() OVER w - 1 AS n, (pts - first_value(pts) OVER w) // 1000 AS ms FROM ev WINDOW w AS (PARTITION BY track_id ORDER BY idx)) SELECT track_id::VARCHAR AS source_id, ms * 1000 AS pts_us, is_key, (size % 50) AS size FROM p WHERE ms < 4294967296 // 4 AND size % 50 > 0")
 def _(spark, d):
     w = Window.partitionBy("track_id").orderBy("index")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = ev(spark, d).withColumn("ms", F.floor((F.col("pts_us") - F.first("pts_us").over(whole)) / 1000)).where("ms < 1073741824 and size % 50 > 0")
-    big = lambda c, n: F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
-    n = F.col("size") % 50
-    body = F.concat(F.when(F.col("is_key"), F.lit(b"\x17\x01\x00\x00\x00")).otherwise(F.lit(b"\x27\x01\x00\x00\x00")), F.unhex(F.expr("repeat('AB', cast(size % 50 as int))")))
-    tag = F.concat(F.lit(b"\x09"), big(n + 5, 3), big(F.col("ms") % (1 << 24), 3), big(F.shiftright("ms", 24), 1), F.lit(bytes(3)), body, big(n + 16, 4))
-    files = rows.withColumn("tag", tag).groupBy("track_id").agg(_joined("index", "tag").alias("tags"))
-    files = files.select(F.col("track_id").cast("string").alias("source_id"), F.concat(F.lit(b"FLV\x01\x01\x00\x00\x00\x09\x00\x00\x00\x00"), F.col("tags")).alias("data"))
+    files = _flv_files(rows.withColumn("n", F.col("size") % 50), "track_id")
     return M.flv_tags(files).select("source_id", "pts_us", "is_key", "size")
 
 
+#: Milliseconds that a file can tell apart: its times are signed, of 32 bits.
+FLV_MS = 1 << 31
+
+
+@query("q_flv_roundtrip_whole", f"WITH {EV}, p AS (SELECT *, (pts - first_value(pts) OVER (PARTITION BY track_id ORDER BY idx)) // 1000 AS ms FROM ev) SELECT track_id::VARCHAR AS source_id, ms * 1000 AS pts_us, is_key, (size % 50 + 1) AS size FROM p")
+def _(spark, d):
+    """Every event: a track goes on in another file where the time range of one is used up."""
+    whole = Window.partitionBy("track_id").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = ev(spark, d).withColumn("ms", F.floor((F.col("pts_us") - F.first("pts_us").over(whole)) / 1000)).withColumn("n", F.col("size") % 50 + 1)
+    rows = rows.withColumn("segment", F.floor(F.col("ms") / FLV_MS)).withColumn("ms", F.col("ms") - F.col("segment") * FLV_MS)
+    place = F.split("source_id", ":")
+    start = F.get(place, F.lit(1)).cast("long") * (FLV_MS * 1000)
+    return M.flv_tags(_flv_files(rows, "track_id", "segment")).select(F.get(place, F.lit(0)).alias("source_id"), (F.col("pts_us") + start).alias("pts_us"), "is_key", "size")
+
+
 @query("q_ts_roundtrip", f"WITH {EV}, p AS (SELECT *, (pts // 1000) % 80000000 * 90 AS ticks FROM ev) SELECT track_id::VARCHAR AS source_id, CASE WHEN is_key THEN 256 ELSE 257 END::BIGINT AS pid, CASE WHEN is_key THEN 'video' ELSE 'audio' END AS kind, floor(ticks * 100 / 9::DOUBLE + 0.5)::BIGINT AS pts_us FROM p")
 def _(spark, d):
     ticks = F.floor(F.col("pts_us") / 1000) % 80_000_000 * 90
