@@ -1,6 +1,8 @@
 """Queries that run over all rows and whole texts, against plain Python."""
 
 import datetime
+import random
+import re
 from collections import Counter
 
 from tracklake import catalog
@@ -16,3 +18,28 @@ def test_flv_writes_every_event(spark, tmp_path):
     expected = Counter((str(u), (ts - starts[u]) // datetime.timedelta(microseconds=1), kind == "signup", int(value * 100 + 0.5) % 50 + 1) for u, _, ts, kind, value in rows)
     got = catalog.QUERIES["q_flv_roundtrip_whole"](spark, str(tmp_path)).collect()
     assert Counter((r.source_id, r.pts_us, r.is_key, r["size"]) for r in got) == expected
+
+
+def test_bytes_of_whole_texts(spark, tmp_path):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc é\nZ€😀") for _ in range(n)) for n in (1, 2, 19, 20, 21, 40, 41, 63, 64, 65, 400, 9000)] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: {r.doc_id: r for r in catalog.QUERIES[f"q_{name}_whole"](spark, str(tmp_path)).collect()} for name in ("g711_ulaw", "annexb_split", "length_prefix", "adts_strip")}
+
+    def linear(c):
+        c ^= 255
+        size = (((c & 15) << 3) + 132 << (c >> 4 & 7)) - 132
+        return -size if c & 128 else size
+
+    assert (linear(0), linear(128), linear(255)) == (-32124, 32124, 0)
+    for i, text in enumerate(texts):
+        data, t = (text or "").encode(), re.sub("[^a-z ]", "x", text or "")
+        assert got["g711_ulaw"][i].total == sum(map(linear, data))
+        units = [t[k : k + 20].encode().hex() for k in range(0, len(t), 20)]
+        assert (i in got["annexb_split"]) == (i in got["length_prefix"]) == bool(t)
+        if t:
+            assert (got["annexb_split"][i].n_units, got["annexb_split"][i].units) == (len(units), units)
+            assert got["length_prefix"][i].data == (len(t).to_bytes(4, "big") + t.encode()).hex()
+        assert (i in got["adts_strip"]) == (len(data) > 2)
+        if len(data) > 2:
+            assert got["adts_strip"][i].raw == data[0 if i % 2 == 0 else 2 :].hex()

@@ -396,6 +396,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+@query("q_g711_ulaw_whole")
+def _(spark, d):
+    """The sum over the whole text; no SQL, as DuckDB is too slow there."""
+    return M.ulaw_sums(table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("data")))
+
+
 # --- sampled values
 
 @query("q_pcm_to_float", "SELECT vec_id, list_transform(embedding, lambda x: floor(greatest(-1.0, least(1.0, x::DOUBLE)) * 32767 + 0.5)::INT::DOUBLE / 32768) AS samples FROM embeddings")
@@ -522,6 +528,31 @@ def _(spark, d):
     return docs.select("doc_id", F.lower(F.hex(N.without_adts(F.concat(head, B.part(F.encode("text", "utf-8"), 0, 20))))).alias("raw"))
 
 
+# The three over whole texts, checked against brute force.
+
+@query("q_annexb_split_whole")
+def _(spark, d):
+    """A start code before every 20 characters; the units as hex, in order."""
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "x").alias("t")).where("length(t) > 0")
+    data = F.concat(F.encode(F.regexp_replace("t", "(?s)(.{1,20})", "\x00\x00\x00\x01$1"), "utf-8"), F.lit(b"\x00\x00"))
+    out = docs.select("doc_id", N.annexb_nals(data).alias("u"))
+    return out.select("doc_id", F.size("u").alias("n_units"), F.transform("u", lambda u: F.lower(F.hex(u))).alias("units"))
+
+
+@query("q_length_prefix_whole")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "x").alias("t")).where("length(t) > 0")
+    data = F.concat(F.lit(b"\x00\x00\x01"), F.encode("t", "utf-8"))
+    return docs.select("doc_id", F.lower(F.hex(N.length_prefixed(N.annexb_nals(data)))).alias("data"))
+
+
+@query("q_adts_strip_whole")
+def _(spark, d):
+    docs = table(spark, d, "documents").where("octet_length(text) > 2")
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit(b"\xff\xf1\x50\x80\x00\x00\xfc")).otherwise(F.lit(b"\xff\xf0\x50\x80\x00\x00\xfc"))
+    return docs.select("doc_id", F.lower(F.hex(N.without_adts(F.concat(head, F.encode("text", "utf-8"))))).alias("raw"))
+
+
 @query("q_bitstream_format", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 5 IN (0, 1) THEN 'annexb' WHEN page_id % 5 IN (2, 3) THEN 'avcc' ELSE 'unknown' END
   ELSE CASE page_id % 4 WHEN 1 THEN CASE WHEN page_id % 5 IN (0, 1) THEN 'adts' ELSE 'aac_raw' END ELSE 'mp3' END END AS format FROM pages""")
 def _(spark, d):

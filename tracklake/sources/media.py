@@ -10,9 +10,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklake.functions import bytesql as B
 
@@ -233,6 +235,27 @@ def mp4_tracks(boxes: DataFrame) -> DataFrame:
     return boxes.where("name = 'hdlr'").select("source_id", "track", kind.alias("kind")).where("kind is not null").join(headers, ["source_id", "track"])
 
 
+# --- G.711
+
+def ulaw_table() -> np.ndarray:
+    """The linear 16-bit values of the 256 mu-law bytes, by the formula of ITU G.711."""
+    inverted = 255 - np.arange(256)
+    size = ((inverted & 15) * 8 + 132) * (1 << (inverted >> 4 & 7)) - 132
+    return np.where(inverted > 127, -size, size)
+
+
+def ulaw_sums(rows: DataFrame) -> DataFrame:
+    """Rows (id, total) of rows (id, data): the sum of the decoded bytes, 0 where there are none."""
+    values, key = ulaw_table(), rows.schema.names[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals = [int(values[np.frombuffer(x.as_buffer(), np.uint8)].sum()) if x.is_valid else 0 for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64())], names=[key, "total"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("total", T.LongType())]))
+
+
 # --- sinks
 
 def wav_bytes(rows: DataFrame, samples: str, rate: int, channels: int = 1) -> DataFrame:
