@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tracklake.llm import minhash as m
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -77,3 +79,31 @@ def test_null_ids_repeats_and_empty(spark):
     got = run(spark, [(None, "a b c", ""), (5, "a b c", ""), (5, "a b c", ""), (3, "a b c", "")], 2)
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (3, 3), (5, 3), (5, 3)]
     assert run(spark, [], 2) == []
+
+
+#: Pairs of exactly 0.8 whose signatures agree in less than LEAST_AGREEMENT of their bins.
+UNLIKE_SIGNATURES = [
+    ("w908125 w939424 w648206 w260600 w319271 w771911", 5),
+    ("w592384 w56259 w960765 w393266 w974634 w841318 w91011 w675342 w616788 w424870 w350778", 9),
+    ("w218748 w912895 w965583 w402602 w206368 w334777 w193436 w834272 w187500 w520415 w690062 w158488 w641455 w620140 w530195 w427492", 13),
+]
+
+
+def test_small_sets_skip_the_estimate(spark):
+    texts = [t for whole, n in UNLIKE_SIGNATURES for t in (whole, " ".join(whole.split()[:n]))]
+    rows = pa.Table.from_batches(list(m._sign(iter([pa.record_batch([pa.array(range(6)), pa.array(texts)], names=["id", "text"])]), 2)))
+    packed = rows["sig"].combine_chunks()
+    assert (m.agreement(packed.take(pa.array([0, 2, 4])), packed.take(pa.array([1, 3, 5]))) < m.LEAST_AGREEMENT).all()
+    got = run(spark, [(i, t, None) for i, t in enumerate(texts)], 2)
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_small_sets_of_a_block_skip_the_estimate():
+    for whole, n in UNLIKE_SIGNATURES:
+        batch = pa.record_batch([pa.array([0, 1]), pa.array([whole, " ".join(whole.split()[:n])])], names=["id", "text"])
+        rows = pa.Table.from_batches(list(m._sign(iter([batch]), 2)))
+        hashes = pa.Table.from_batches(list(m._sets(iter([batch]), 2)))["hashes"]
+        bands = rows["bands"].to_pylist()
+        bucket = min(set(bands[0]) & set(bands[1]))
+        table = pa.table({"bucket": [bucket] * 2, "id": [0, 1], "n": rows["n"], "component": [0, 1], "outside": [True, False], "left": [True, False], "sig": rows["sig"], "bands": rows["bands"], "hashes": hashes})
+        assert m._compare(table, 80).to_pylist() == [{"a": 1, "b": 0}]

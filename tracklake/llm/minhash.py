@@ -6,15 +6,17 @@
    ``BANDS`` band hashes. Equal sets are one class from here on: copies never meet in pairs.
 2. Rows that share a band bucket get a star: one edge from the bucket's smallest id to each other
    member, so a bucket of n rows makes n - 1 candidates. Candidates pass a length bound, an estimate
-   from the signatures (far below the threshold, so that it loses nothing) and an exact check on the
-   full sets, made anew from the texts.
+   from the signatures (only where both sets are large, and far below the threshold) and an exact
+   check on the full sets, made anew from the texts.
 3. Verified edges make components. A bucket whose members are still in several components may hide
    links that its star did not try. While that leaves many comparisons it gets more stars, around
    other members and only to members of other components. Where several components still remain, the members outside the
-   bucket's largest one are compared with all others by their signatures and sets, in blocks of bounded
+   bucket's largest one are compared with all others by their sets, in blocks of bounded
    size, and the links that this finds are verified in the same way.
 
-At similarity 0.8 a pair shares none of the 32 bands of 4 bins with probability 5e-8.
+At similarity 0.8 a pair shares none of the 32 bands of 4 bins with probability 5e-8, if its bins are
+independent. Those of sets that fill few bins are not: borrowed values repeat, and shares of equal bins
+spread wider. So the estimate is not asked about pairs whose smaller set has under ``ESTIMATED`` shingles.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text of
 fewer words than a shingle has its whole sequence as one shingle; a null id is kept, unlinked, with a
@@ -36,8 +38,10 @@ from .shared import components, drop_written, written
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
-#: A pair is verified if at least this share of its signatures agrees: 4 standard deviations below 0.8.
+#: A pair of large sets is verified if at least this share of its signatures agrees: 4 standard deviations below 0.8.
 LEAST_AGREEMENT = 0.66
+#: Shingles of the smaller set from which on the estimate is asked.
+ESTIMATED = 128
 #: Stars, besides their first, that buckets of several components get around other members while more comparisons would be left
 #: than COMPARED_PER_ROW for each row of the table.
 TURNS, COMPARED_PER_ROW = 4, 4096
@@ -115,7 +119,7 @@ def agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keep = agreement(batch.column(2), batch.column(3)) >= LEAST_AGREEMENT
+            keep = (agreement(batch.column(2), batch.column(3)) >= LEAST_AGREEMENT) | (batch.column(4).to_numpy() < ESTIMATED)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
 
@@ -142,7 +146,7 @@ def _verified(pairs: DataFrame, sig: DataFrame, texts: DataFrame, size: int, per
     """Of candidate pairs (a, b): those whose full sets are similar."""
     side = lambda k: sig.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
     bound = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(bound).select("a", "b", "sa", "sb")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(bound).select("a", "b", "sa", "sb", F.least("na", "nb").alias("n"))
     near = written(near.mapInArrow(_agreeing, "a long, b long"), "pairs")
     side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
     links = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
@@ -165,7 +169,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 def _compare(table: pa.Table, percent: int) -> pa.Table:
     """Of one block of a bucket: pairs (outside, other) in different components that may be similar.
 
-    Signatures choose pairs, and their 32-bit sets are compared in full. Pairs well above the threshold are told as a
+    Signatures choose pairs of large sets, and the 32-bit sets of these and of all smaller ones are compared in full. Pairs well above the threshold are told as a
     spanning forest; those within what a collision of 32-bit hashes could change are told unless the forest joins them.
     A pair that meets in several buckets is looked at in the least of them only."""
     left, outside = (table.column(k).to_numpy().astype(bool) for k in ("left", "outside"))
@@ -179,7 +183,9 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     for i in np.flatnonzero(left):
         other = rest[(comp[rest] != comp[i]) & ~(outside[rest] & (ids[rest] < ids[i]))]
         other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
-        other = other[(sig[other] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
+        small = np.minimum(size[other], size[i]) < ESTIMATED
+        small[~small] = (sig[other[~small]] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT
+        other = other[small]
         least = np.where(bands[other] == bands[i], bands[i], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
         other = other[least == bucket]
         if len(other):
