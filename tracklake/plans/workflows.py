@@ -12,7 +12,7 @@ from tracklake.sources import media as M
 
 
 def analyse(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tracks, samples) of all sources, whatever their container; unknown ones have none."""
+    """(tracks, samples) of WAVE, FLV, transport stream and MP4 sources; MP3, program stream, FLAC, Opus and unknown ones have none."""
     wav = M.wav_tracks(sources)
     wav_samples = M.wav_packets(wav).select(F.concat_ws(":", F.lit("wav:audio"), "source_id").alias("track_id"), "source_id", F.lit("audio").alias("kind"), "index", "pts_us", F.col("pts_us").alias("dts_us"), "duration_us", "offset", "size", "is_key")
     flv = M.flv_tags(sources).where("not config and kind != 'script'").withColumn("index", F.col("offset"))
