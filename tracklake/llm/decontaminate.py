@@ -7,13 +7,14 @@ counts over all documents (a window of one word by that word). A match at word q
 the window at q - p for the shingle's place p; positional and length bounds drop what would not fit,
 and the window's words are then compared one by one.
 
-Counting and searching are passes over the texts without a shuffle of them. The windows of at most ``BLOCK_BYTES``
+Counting and searching are passes over the texts without a shuffle of them, in which only the text goes to Python. The windows of at most ``BLOCK_BYTES``
 of benchmark text go to the tasks at once; a larger benchmark is taken in more blocks of that size, each
-an extra pass whose hits are added to those before, so that it never has to fit anywhere whole.
+an extra pass whose hits are added to those before, so that it never has to fit anywhere whole; long items are cut into
+pieces that overlap by a window less a word, and repeated rows are taken once.
 
 Defined cases: null or empty texts have no words; null, empty or wordless items and items without id have no window;
-an item_id that repeats has the windows of all its rows; repeated documents are judged each; columns of
-documents, whatever their names, are kept in a struct and don't clash.
+an item_id that repeats has the windows of all its rows; repeated documents are judged each; very long texts are scanned whole,
+one at a time; of tokens equally rare in a window the first is joined; columns of documents, whatever their names, are kept in a struct and don't clash.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
+from .shared import drop_written, small_batches, written
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
+#: Words of a piece of an item, besides its overlap.
+PIECE_WORDS = 4096
 _TABLE = bs.byte_table(303, lower=True)
 _ONE = bs.U64(0x51ED270B0A1F39C1)
 
@@ -117,7 +121,7 @@ def choose_prefixes(docs: DataFrame, w: Windows, text_col: str) -> None:
     used = np.arange(every.shape[1]) < np.maximum(w.size - 1, 1)[:, None]
     vocabulary = np.unique(every[used])
     single = bool((w.size == 1).any())
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda b: _count(b, vocabulary, single), "token long, n long")
+    counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(lambda b: _count(b, vocabulary, single), "token long, n long")
     n = np.zeros(len(vocabulary), np.int64)
     for row in counts.groupBy("token").agg(F.sum("n").alias("n")).collect():
         n[np.searchsorted(vocabulary, np.array(row.token).astype(np.int64).view(np.uint64))] = row.n
@@ -153,12 +157,23 @@ def _matches(w: Windows, words: bs.Words, h: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(starts), np.concatenate(wins)
 
 
-def _search(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
-    """Add to each row the spans (start << 32 | words) and items of its windows."""
-    for batch in batches:
-        spans, items = (batch.column(k).to_pylist() for k in ("spans", "items"))
-        counts = np.zeros(batch.num_rows, np.int64)
-        for block in bs.blocks(batch.column("text"), most_rows=1 << 14):
+def covered(spans: list[int]) -> int:
+    """Words in the union of spans."""
+    total, reach = 0, 0
+    for code in sorted(spans):
+        start, size = code >> 32, code & 0xFFFFFFFF
+        total += max(0, start + size - max(start, reach))
+        reach = max(reach, start + size)
+    return total
+
+
+def _search(columns: Iterator[tuple[pa.Array, ...]], w: Windows, last: bool) -> Iterator[pa.Array]:
+    """Of each text, with what earlier blocks found, the spans (start << 32 | words) and items of its windows; at ``last`` the
+    words inside spans instead of the spans."""
+    for text, before in columns:
+        spans, items = ([x or [] for x in before.field(k).to_pylist()] for k in (0, 1))
+        counts = np.zeros(len(text), np.int64)
+        for block in bs.blocks(text, most_rows=1 << 14):
             words, h = word_hashes(block)
             counts[block.first : block.first + len(block)] = words.count
             start, win = _matches(w, words, h)
@@ -169,43 +184,44 @@ def _search(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.Record
                 names = {w.items[i] for x in np.unique(win[mine]) for i in range(w.item_first[x], w.item_first[x + 1])}
                 spans[block.first + r] = spans[block.first + r] + place.tolist()
                 items[block.first + r] = sorted(names | set(items[block.first + r]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("text"), pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-            names=["row", "text", "n_words", "spans", "items"],
-        )
+        found = pa.array([covered(x) if x else 0 for x in spans], pa.int64()) if last else pa.array(spans, pa.list_(pa.int64()))
+        yield pa.StructArray.from_arrays([found, pa.array(items, pa.list_(pa.string())), pa.array(counts)], names=["found", "items", "n_words"])
 
 
-def covered(spans: list[int]) -> int:
-    """Words in the union of spans."""
-    total, reach = 0, 0
-    for code in sorted(spans):
-        start, size = code >> 32, code & 0xFFFFFFFF
-        total += max(0, start + size - max(start, reach))
-        reach = max(reach, start + size)
-    return total
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Items, those of many words in pieces that overlap by a window less a word, so that no row is long."""
     for batch in batches:
-        hit = pa.array([covered(s) if s else 0 for s in batch.column("spans").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_words"), hit, batch.column("items")], names=["row", "n_words", "n_hit", "items"])
+        names, texts = [], []
+        for block in bs.blocks(batch.column("text"), most_rows=1 << 14):
+            w = bs.words(block, bs.ALNUM)
+            for i in range(len(block)):
+                first, count = int(w.first[i]), int(w.count[i])
+                for at in range(0, max(count - window + 1, min(count, 1)), PIECE_WORDS):
+                    end = min(at + PIECE_WORDS + window - 1, count)
+                    texts.append(block.buf[w.start[first + at] : w.end[first + end - 1]].tobytes().decode())
+                    names.append(batch.column("item")[block.first + i].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: (row struct of its columns, n_words, n_hit, items array of strings, sorted)."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    items = written(items.distinct().mapInArrow(lambda b: _pieces(b, window), "item string, text string").distinct(), "items")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // BLOCK_BYTES))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    out = docs.select(row, F.col(text_col).cast("string").alias("text"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    kind = out.schema["row"].dataType.simpleString()
+    out = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(F.array().cast("array<long>"), F.array().cast("array<string>")).alias("hits"))
     for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        some, last = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), k == blocks - 1
         w = windows_of([(r["item"], r["text"]) for r in some.collect()], window)
         choose_prefixes(docs, w, text_col)
         shared = docs.sparkSession.sparkContext.broadcast(w)
-        out = out.mapInArrow(lambda b, s=shared: _search(b, s.value), f"row {kind}, text string, n_words long, spans array<long>, items array<string>")
-    return out.mapInArrow(_finish, f"row {kind}, n_words long, n_hit long, items array<string>")
+        # not deterministic in name only: the optimizer must not copy the search into a filter on its result
+        search = F.arrow_udf(lambda x, s=shared, z=last: _search(x, s.value, z), f"found {'long' if last else 'array<long>'}, items array<string>, n_words long", F.ArrowUDFType.SCALAR_ITER)
+        out = out.withColumn("hits", search.asNondeterministic()("text", "hits"))
+    drop_written(items)
+    return out.select("row", "hits.n_words", F.col("hits.found").alias("n_hit"), "hits.items")
 
 
 def op3_decontamination(spark, sf_dir):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .shared import drop_written, written
+from .shared import drop_written, small_batches, written
 
 SIZE = 3
 _TABLES = [bs.byte_table(s, lower=False) for s in (401, 402)]
@@ -72,6 +72,7 @@ def _remove(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_lines, n_removed, starts of removed runs, kept binary)."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("id", "text"))
     kind = docs.schema[id_col].dataType.simpleString()

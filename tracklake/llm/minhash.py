@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .shared import components, drop_written, written
+from .shared import components, drop_written, small_batches, written
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked if 100 * |A & B| >= ``percent`` * |A | B| for their sets of ``size``-word
     shingles; component_id is the smallest id reachable, and kept marks that row.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = written(signatures(docs, "id", "text", size), "signatures")
     some = every.where("n > 0 and id is not null")

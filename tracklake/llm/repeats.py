@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .shared import drop_written, written
+from .shared import drop_written, small_batches, written
 
 LENGTH, ANCHOR = 400, 32
 #: Different contexts of an anchor that one task takes; bytes of contexts that it sorts at once.
@@ -259,6 +259,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Rows (key, spans): for texts that hold repeated windows, the covered spans as start << 31 | length."""
+    small_batches(docs.sparkSession)
     anchor = min(ANCHOR, length)
     texts = _keyed(docs, id_col, text_col).select("key", "text")
     most = PIECE

@@ -31,9 +31,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bytescan as bs
+from .shared import small_batches
 
 MOST_TOXIC, MOST_ORDINARY, LONGEST = 2000, 3000, 1 << 15
 WINDOW, STRIDE = 64, 48
@@ -214,6 +214,7 @@ def held_out(id_col: str) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
     short = F.octet_length(F.col(text_col).cast("string"))
@@ -227,19 +228,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r.text.encode() for r in rows], np.array([r.y for r in rows], int))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model, text_at: int) -> Iterator[pa.RecordBatch]:
+def _score(texts: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
     scorer = Scorer(model)
-    for batch in batches:
-        parts = [scorer.of_block(b) for b in bs.blocks(batch.column(text_at), most_rows=1 << 12)]
-        score = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-        yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "toxicity_score"])
+    for column in texts:
+        parts = [scorer.of_block(b) for b in bs.blocks(column, most_rows=1 << 12)]
+        yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column toxicity_score, from 0 to 1."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
-    at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda b: _score(b, model, at), schema)
+def score(text: F.Column, model: Model) -> F.Column:
+    """The toxicity of a text, from 0 to 1; only the text goes to Python, and only the score comes back."""
+    return F.arrow_udf(lambda texts: _score(texts, model), "double", F.ArrowUDFType.SCALAR_ITER)(text.cast("string"))
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity_score") -> DataFrame:
+    """``docs`` with a column ``name``, from 0 to 1, in place of one that has this name."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn(name, score(F.col(f"`{text_col}`"), model))
 
 
 def op6_toxicity(spark, sf_dir):
