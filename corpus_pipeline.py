@@ -21,20 +21,17 @@ MIX_SHARE = 0.9
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5; learned from the labels that are not held out."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    return toxicity.scored(row, model).where("toxicity_score < 0.5").select("row.*")
+    return docs.where(toxicity.score(docs["text"], model) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with five-word shingles at 0.8: the one of the smallest id."""
     found = minhash.near_duplicates(docs, size=5)
     # written, so that the join to them is chosen by their real size
-    gone = written(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    twice = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    twice = written(twice, "twice")
-    known = docs["doc_id"] == F.col("_id")
-    once = docs.join(gone.union(twice), known, "left_anti")
-    return once.unionByName(docs.join(twice, known, "left_semi").dropDuplicates(["doc_id", "text"]))
+    gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
+    twice = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    once = docs.join(gone.union(twice), "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(docs.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
