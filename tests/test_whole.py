@@ -16,7 +16,7 @@ def test_flv_writes_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     starts = {1: first, 2: first}
     expected = Counter((str(u), (ts - starts[u]) // datetime.timedelta(microseconds=1), kind == "signup", int(value * 100 + 0.5) % 50 + 1) for u, _, ts, kind, value in rows)
-    got = catalog.QUERIES["q_flv_roundtrip_whole"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["q_flv_roundtrip"](spark, str(tmp_path)).collect()
     assert Counter((r.source_id, r.pts_us, r.is_key, r["size"]) for r in got) == expected
 
 
@@ -24,7 +24,7 @@ def test_bytes_of_whole_texts(spark, tmp_path):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc é\nZ€😀") for _ in range(n)) for n in (1, 2, 19, 20, 21, 40, 41, 63, 64, 65, 400, 9000)] + ["", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {name: {r.doc_id: r for r in catalog.QUERIES[f"q_{name}_whole"](spark, str(tmp_path)).collect()} for name in ("g711_ulaw", "annexb_split", "length_prefix", "adts_strip")}
+    got = {name: {r.doc_id: r for r in catalog.QUERIES[f"q_{name}"](spark, str(tmp_path)).collect()} for name in ("g711_ulaw", "annexb_split", "length_prefix", "adts_strip")}
 
     def linear(c):
         c ^= 255

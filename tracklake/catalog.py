@@ -6,78 +6,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import catalog_containers, catalog_streams  # noqa: F401  they register their queries
 from .functions import bitstream as N
 from .functions import bytesql as B
 from .functions import pcm as P
+from .functions import writers as W
+from .operators import packets as K
 from .operators import selection as S
 from .operators import timeline as T
+from .registry import EV, LINE, LINE_ORDER, QUERIES, SQL, chunks, ev, plain, query, table, vectors
 from .sources import media as M
 from .streaming import rings
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-#: The samples that ``ev`` makes, for DuckDB.
-EV = """ev AS (SELECT user_id AS track_id, event_id AS idx, epoch_us(ts) AS pts, event_type = 'signup' AS is_key, event_type = 'purchase' AS is_target,
-  CASE event_type WHEN 'signup' THEN 'I' WHEN 'purchase' THEN 'P' ELSE 'B' END AS pic, floor(value * 100 + 0.5)::BIGINT AS size FROM events)"""
-LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-LINE = ", ".join(LINE_ORDER)
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ev(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    kind = F.col("event_type")
-    events = table(spark, sf_dir, "events")
-    if stream:
-        events = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern: streams read folders or patterns
-    return events.select(
-        F.col("user_id").alias("track_id"),
-        F.col("event_id").alias("index"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("pts_us"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("dts_us"),
-        F.lit(None).cast("long").alias("duration_us"),
-        (kind == "signup").alias("is_key"),
-        (kind == "purchase").alias("is_target"),
-        F.when(kind == "signup", "I").when(kind == "purchase", "P").otherwise("B").alias("picture_type"),
-        F.lit(None).cast("boolean").alias("is_idr"),
-        F.floor(F.col("value") * 100 + 0.5).cast("long").alias("size"),
-    )
-
-
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem")
-
-
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings")
-
-
-def _plain(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("track_id", F.col("index").alias("idx"), F.col("pts_us").alias("pts"), *more)
-
-
 # --- selection
 
 @query("q_track_select_nth", "SELECT o_custkey AS track_id, o_orderkey AS idx FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 2")
 def _(spark, d):
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return table(spark, d, "orders").withColumn("n", n).where("n = 2").select(F.col("o_custkey").alias("track_id"), F.col("o_orderkey").alias("idx"))
+    second = S.nth_of(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 1)
+    return second.select(F.col("o_custkey").alias("track_id"), F.col("o_orderkey").alias("idx"))
 
 
 _POS = f"WITH {EV}, p AS (SELECT *, row_number() OVER w - 1 AS position, first_value(pts) OVER w AS first_pts, lead(pts) OVER w AS nxt FROM ev WINDOW w AS (PARTITION BY track_id ORDER BY idx, pts))"
@@ -85,26 +34,26 @@ _POS = f"WITH {EV}, p AS (SELECT *, row_number() OVER w - 1 AS position, first_v
 
 @query("q_select_index_range", f"{_POS} SELECT track_id, idx, pts FROM p WHERE position BETWEEN 3 AND 9")
 def _(spark, d):
-    return _plain(S.select_samples(ev(spark, d), S.Criteria(start_index=3, end_index=9)))
+    return plain(S.select_samples(ev(spark, d), S.Criteria(start_index=3, end_index=9)))
 
 
 @query("q_select_time_half_open", f"{_POS} SELECT track_id, idx, pts FROM p WHERE pts >= first_pts + 86400000000 AND pts < first_pts + 864000000000")
 def _(spark, d):
-    return _plain(S.select_samples(ev(spark, d), S.Criteria(start_us=86_400_000_000, end_us=864_000_000_000)))
+    return plain(S.select_samples(ev(spark, d), S.Criteria(start_us=86_400_000_000, end_us=864_000_000_000)))
 
 
 @query("q_select_audio_overlap", f"{_POS} SELECT track_id, idx, pts FROM p WHERE greatest(pts + 1, coalesce(nxt, pts + 1)) > first_pts + 86400000000 AND pts < first_pts + 864000000000")
 def _(spark, d):
-    return _plain(S.select_samples(ev(spark, d), S.Criteria(start_us=86_400_000_000, end_us=864_000_000_000, kind="audio")))
+    return plain(S.select_samples(ev(spark, d), S.Criteria(start_us=86_400_000_000, end_us=864_000_000_000, kind="audio")))
 
 
 for _name, _kind, _where in (("key", "key", "is_key"), ("non_key", "non_key", "NOT is_key"), ("picture", "P", "pic = 'P'")):
-    query(f"q_select_{_name}", f"WITH {EV} SELECT track_id, idx, pts FROM ev WHERE {_where}")(lambda spark, d, k=_kind: _plain(ev(spark, d).where(S.matches_frame_type(k))))
+    query(f"q_select_{_name}", f"WITH {EV} SELECT track_id, idx, pts FROM ev WHERE {_where}")(lambda spark, d, k=_kind: plain(ev(spark, d).where(S.matches_frame_type(k))))
 
 
 @query("q_select_limit_per_track", f"WITH {EV} SELECT track_id, idx, pts FROM ev WHERE is_key QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY idx, pts) <= 5")
 def _(spark, d):
-    return _plain(S.select_samples(ev(spark, d), S.Criteria(frame_type="key", limit=5)))
+    return plain(S.select_samples(ev(spark, d), S.Criteria(frame_type="key", limit=5)))
 
 
 @query("q_select_decode_order_limit", f"SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, {LINE}, l_quantity, l_discount, l_tax) <= 2")
@@ -127,16 +76,14 @@ def _(spark, d):
 
 @query("q_frame_pick_nearest", f"WITH {EV}, m AS (SELECT (min(pts) + max(pts)) // 2 AS t FROM ev) SELECT track_id, arg_min(idx, (abs(pts - t), pts, idx)) AS idx FROM ev, m GROUP BY track_id")
 def _(spark, d):
-    rows = ev(spark, d)
-    middle = rows.agg(F.expr("(min(pts_us) + max(pts_us)) div 2").alias("t")).first()["t"]
-    return S.nearest_frame(rows, middle).select("track_id", F.col("index").alias("idx"))
+    rows = T.with_scalars(ev(spark, d), F.expr("(min(pts_us) + max(pts_us)) div 2").alias("t"))
+    return S.nearest_frame(rows, F.col("t")).select("track_id", F.col("index").alias("idx"))
 
 
 @query("q_remux_filter", f"WITH {EV}, m AS (SELECT min(pts) AS t FROM ev) SELECT track_id, idx, pts FROM ev, m WHERE pts + 1 > t + 864000000000 AND pts < t + 1728000000000")
 def _(spark, d):
-    rows = ev(spark, d)
-    first = rows.agg(F.min("pts_us").alias("t")).first()["t"]
-    return _plain(rows.where(S.overlaps(first + 864_000_000_000, first + 1_728_000_000_000)))
+    rows = T.with_scalars(ev(spark, d), F.min("pts_us").alias("t"))
+    return plain(rows.where(S.overlaps(F.col("t") + 864_000_000_000, F.col("t") + 1_728_000_000_000)))
 
 
 # --- planning
@@ -147,18 +94,18 @@ n AS (SELECT *, max(is_target::INT) OVER (PARTITION BY track_id, gop ORDER BY pt
 
 @query("q_gop_closure", f"{_GOP} SELECT track_id, idx, pts, gop::BIGINT AS gop FROM n WHERE need = 1")
 def _(spark, d):
-    return _plain(T.gop_closure(ev(spark, d)), F.col("gop").cast("long").alias("gop"))
+    return plain(T.gop_closure(ev(spark, d)), F.col("gop").cast("long").alias("gop"))
 
 
 @query("q_gop_orphans", f"{_GOP} SELECT track_id, idx, pts FROM n WHERE need = 1 AND gop = 0 AND is_target")
 def _(spark, d):
-    return _plain(T.orphan_targets(ev(spark, d)))
+    return plain(T.orphan_targets(ev(spark, d)))
 
 
 @query("q_gop_decode_plan", f"{_GOP}, u AS (SELECT track_id, idx, coalesce(CASE WHEN x > 0 THEN x END, 33333) AS duration_us FROM (SELECT track_id, idx, lead(pts) OVER (PARTITION BY track_id ORDER BY pts, idx) - pts AS x FROM ev)) SELECT n.track_id, n.idx, pts, is_key, is_target, u.duration_us FROM n JOIN u USING (track_id, idx) WHERE need = 1")
 def _(spark, d):
     """Flagship: what to decode for the targets, with every packet's duration; one shuffle by track serves all windows."""
-    return _plain(T.gop_closure(T.durations(ev(spark, d), 33_333)), "is_key", "is_target", "duration_us")
+    return plain(T.gop_closure(T.durations(ev(spark, d), 33_333)), "is_key", "is_target", "duration_us")
 
 
 @query("q_target_semi_join", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority = '1-URGENT')")
@@ -195,22 +142,24 @@ def _(spark, d):
     other = rows.where("track_id % 2 = 1")
     half = other.agg(F.expr("min(pts_us) + (max(pts_us) - min(pts_us)) div 2").alias("m"))
     ends = other.agg(F.min("pts_us").alias("pts_us")).union(half).withColumn("duration_us", F.lit(0).cast("long"))
-    return _plain(T.align_to(rows.where("track_id % 2 = 0"), ends))
+    return plain(T.align_to(rows.where("track_id % 2 = 0"), ends))
 
 
-@query("q_triple_lookup", "SELECT c.conv_id, c.turn, coalesce(a.lang, b.lang, 'none') AS lang FROM conversations c LEFT JOIN (SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0) a ON a.doc_id = c.conv_id LEFT JOIN (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0) b ON b.doc_id = c.conv_id + c.turn")
+@query("q_triple_lookup", """WITH f AS (SELECT 'p' || doc_id::VARCHAR AS packet_id, 's' || (doc_id * 2)::VARCHAR AS sample_id, doc_id * 3 AS pts, 'f' || doc_id::VARCHAR AS frame_id FROM documents),
+p AS (SELECT 'p' || (conv_id * 2 + turn)::VARCHAR AS packet_id, 's' || (conv_id + turn)::VARCHAR AS sample_id, conv_id + turn * 7 AS pts FROM conversations)
+SELECT p.packet_id, p.sample_id, p.pts, coalesce(a.frame_id, b.frame_id, c.frame_id) AS frame_id FROM p LEFT JOIN f a ON a.packet_id = p.packet_id LEFT JOIN f b ON b.sample_id = p.sample_id LEFT JOIN f c ON c.pts = p.pts""")
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    a = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("ka"), F.col("lang").alias("la"))
-    b = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("kb"), F.col("lang").alias("lb"))
-    rows = table(spark, d, "conversations").join(a, F.col("conv_id") == F.col("ka"), "left").join(b, F.col("conv_id") + F.col("turn") == F.col("kb"), "left")
-    return rows.select("conv_id", "turn", F.coalesce("la", "lb", F.lit("none")).alias("lang"))
+    """Frames of packets by three keys; all documents are frames, and many ids of packets have none."""
+    number, text = F.col("doc_id"), lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    frames = table(spark, d, "documents").select(text("p", number).alias("packet_id"), text("s", number * 2).alias("sample_id"), (number * 3).alias("pts_us"), text("f", number).alias("frame_id"), number.alias("index"))
+    c, t = F.col("conv_id"), F.col("turn")
+    packets = table(spark, d, "conversations").select(text("p", c * 2 + t).alias("packet_id"), text("s", c + t).alias("sample_id"), (c + t * 7).alias("pts_us"))
+    return K.resolved_frames(packets, frames, keep=True).select("packet_id", "sample_id", F.col("pts_us").alias("pts"), "frame_id")
 
 
 @query("q_capability_top1", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice, p_partkey) = 1")
 def _(spark, d):
-    best = F.max_by("p_partkey", F.struct("p_size", -F.col("p_retailprice"), -F.col("p_partkey")))
-    return table(spark, d, "part").groupBy("p_brand").agg(best.alias("p_partkey"))
+    return S.first_match(table(spark, d, "part"), ["p_brand"], "p_partkey", [F.col("p_size"), -F.col("p_retailprice"), -F.col("p_partkey")])
 
 
 # --- aggregates
@@ -326,32 +275,37 @@ def _(spark, d):
 
 @query("q_payload_layout", f"WITH {EV}, t AS (SELECT track_id, sum(size)::BIGINT AS n_bytes FROM ev GROUP BY track_id) SELECT track_id, n_bytes, coalesce(sum(n_bytes) OVER (ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t")
 def _(spark, d):
-    tracks = ev(spark, d).groupBy("track_id").agg(F.sum("size").alias("n_bytes")).withColumn("c", F.lit(0))  # one row per track
-    start = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("c").orderBy("track_id").rowsBetween(*T.BEFORE)), F.lit(0))
-    return tracks.select("track_id", "n_bytes", start.alias("start"))
+    tracks = ev(spark, d).groupBy("track_id").agg(F.sum("size").alias("n_bytes"))
+    return T.running_totals(tracks, F.expr("track_id div 4096"), "track_id", "n_bytes", "start").select("track_id", "n_bytes", "start")
 
 
 # --- bytes
 
-_PREFIX = "CASE doc_id % 9 WHEN 0 THEN '464C5601' WHEN 1 THEN '0000001066747970' WHEN 2 THEN '000001BA' WHEN 3 THEN '524946460000000057415645' WHEN 4 THEN '664C6143' WHEN 5 THEN 'FFFB9064' WHEN 6 THEN '494433' WHEN 7 THEN '4F676753' ELSE '' END"
+_PREFIX = """CASE doc_id % 11 WHEN 0 THEN '464C5601' WHEN 1 THEN '0000001066747970' WHEN 2 THEN '000001BA' WHEN 3 THEN '524946460000000057415645' WHEN 4 THEN '664C6143' WHEN 5 THEN 'FFFB9064' WHEN 6 THEN '494433'
+  WHEN 7 THEN '4F676753' || repeat('00', 24) || '4F707573' WHEN 8 THEN repeat('47' || repeat('00', 187), 5) WHEN 9 THEN '47' || repeat('00', 187) ELSE '' END"""
+#: The format of bytes in hex, ``h``, for DuckDB.
+_SNIFFED = f"""CASE WHEN h[1:6] = '464C56' THEN 'flv' WHEN len(h) >= 24 AND h[9:16] = '66747970' THEN 'mp4'
+  WHEN len(h) >= 376 AND {' AND '.join(f"(len(h) < {376 * i + 2} OR h[{376 * i + 1}:{376 * i + 2}] = '47')" for i in range(5))} THEN 'mpegts'
+  WHEN h[1:8] = '000001BA' THEN 'mpegps' WHEN h[1:8] = '52494646' AND h[17:24] = '57415645' THEN 'wav' WHEN h[1:8] = '664C6143' THEN 'flac'
+  WHEN h[1:6] = '494433' OR (h[1:2] = 'FF' AND h[3:3] IN ('E', 'F')) THEN 'mp3' WHEN len(h) >= 72 AND h[1:8] = '4F676753' AND h[57:64] = '4F707573' THEN 'opus' ELSE 'unknown' END"""
 
 
-def prefixed(spark, d) -> DataFrame:
-    kind = F.expr(_PREFIX)
-    return table(spark, d, "documents").select("doc_id", F.concat(F.unhex(kind), F.encode("text", "utf-8")).alias("data"))
+def prefixed(spark, d, name="documents", key="doc_id", text="text") -> DataFrame:
+    """The bytes of texts, each after the first bytes of some container."""
+    kind = F.expr(_PREFIX.replace("doc_id", key))
+    return table(spark, d, name).select(key, F.concat(F.unhex(kind), F.encode(text, "utf-8")).alias("data"))
 
 
-@query("q_sniff_format", f"""WITH b AS (SELECT doc_id, {_PREFIX} || hex(encode(text)) AS h FROM documents)
-SELECT doc_id, CASE WHEN h[1:6] = '464C56' THEN 'flv' WHEN len(h) >= 24 AND h[9:16] = '66747970' THEN 'mp4' WHEN h[1:8] = '000001BA' THEN 'mpegps' WHEN h[1:8] = '52494646' AND h[17:24] = '57415645' THEN 'wav'
-  WHEN h[1:8] = '664C6143' THEN 'flac' WHEN h[1:6] = '494433' OR h[1:3] IN ('FFE', 'FFF') THEN 'mp3' WHEN len(h) >= 72 AND h[1:8] = '4F676753' AND h[57:64] = '4F707573' THEN 'opus' ELSE 'unknown' END AS format FROM b""")
+@query("q_sniff_format", f"WITH b AS (SELECT doc_id, {_PREFIX} || hex(encode(text)) AS h FROM documents) SELECT doc_id, {_SNIFFED} AS format FROM b")
 def _(spark, d):
     return prefixed(spark, d).select("doc_id", B.container_format(F.col("data")).alias("format"))
 
 
-@query("q_probe_confidence", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 0.98::DOUBLE WHEN page_id % 3 = 1 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM pages")
+@query("q_probe_confidence", f"""WITH b AS (SELECT page_id, {_PREFIX.replace('doc_id', 'page_id')} || hex(encode(html)) AS h FROM pages), f AS (SELECT page_id, {_SNIFFED} AS format FROM b)
+SELECT page_id, format, CASE format WHEN 'unknown' THEN 0.0::DOUBLE WHEN 'mp3' THEN 0.7::DOUBLE ELSE 0.98::DOUBLE END AS confidence FROM f""")
 def _(spark, d):
-    magic = F.expr("CASE page_id % 3 WHEN 0 THEN X'464C56' WHEN 1 THEN X'FFFB9064' ELSE X'01020304' END")
-    return table(spark, d, "pages").select("page_id", B.probe_confidence(B.container_format(magic)).alias("confidence"))
+    rows = M.probe(prefixed(spark, d, "pages", "page_id", "html"))
+    return rows.select("page_id", "format", "confidence")
 
 
 @query("q_hex_view", r"SELECT doc_id, strlen(text) AS byte_length, substr(lower(regexp_replace(hex(encode(text))[1:128], '(..)', '\1 ', 'g')), 1, greatest(0, 3 * least(64, strlen(text)) - 1)) AS hex FROM documents")
@@ -385,20 +339,13 @@ def _(spark, d):
     return chunks(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", B.picture_of_slice("h264", n).alias("h264"), B.picture_of_slice("h265", n).alias("h265"))
 
 
-_BYTES = "list_transform(range(1, least(64, strlen(text)) + 1), lambda i: ('0x' || substr(hex(encode(text)), (2 * i - 1), 2))::INT)"
+_CODES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT)"
 
 
-@query("q_g711_ulaw", f"""WITH b AS (SELECT doc_id, {_BYTES} AS b FROM documents)
+@query("q_g711_ulaw", f"""WITH b AS (SELECT doc_id, {_CODES} AS b FROM documents)
 SELECT doc_id, coalesce(list_sum(list_transform(b, lambda c: (CASE WHEN c < 128 THEN -1 ELSE 1 END) * ((((255 - c) & 15) * 8 + 132) * (1 << (((255 - c) >> 4) & 7)) - 132))), 0)::BIGINT AS total FROM b""")
 def _(spark, d):
-    codes = F.transform(B.bytes_of(B.part(F.encode("text", "utf-8"), 0, 64)), lambda c: B.ulaw_to_pcm16(c).cast("long"))
-    codes = F.when(F.octet_length("text") > 0, codes).otherwise(F.array().cast("array<bigint>"))
-    return table(spark, d, "documents").select("doc_id", F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
-
-
-@query("q_g711_ulaw_whole")
-def _(spark, d):
-    """The sum over the whole text; no SQL, as DuckDB is too slow there."""
+    """The sum over each whole text."""
     return M.ulaw_sums(table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("data")))
 
 
@@ -448,31 +395,28 @@ def _(spark, d):
 
 @query("q_ring_drop_oldest", f"WITH {EV} SELECT track_id, idx, pts FROM ev QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY pts DESC, idx DESC) <= 8")
 def _(spark, d):
-    n = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("pts_us"), F.desc("index")))
-    return _plain(ev(spark, d).withColumn("n", n).where("n <= 8"))
+    return plain(rings.held(ev(spark, d), 8))
 
 
 @query("q_ring_drop_newest", f"WITH {EV} SELECT track_id, idx, pts FROM ev QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY pts, idx) <= 8")
 def _(spark, d):
-    n = F.row_number().over(Window.partitionBy("track_id").orderBy("pts_us", "index"))
-    return _plain(ev(spark, d).withColumn("n", n).where("n <= 8"))
+    return plain(rings.held(ev(spark, d), 8, "drop_newest"))
 
 
 @query("q_pull_due", f"WITH {EV} SELECT track_id, idx, pts FROM ev WHERE pts <= (SELECT (min(pts) + max(pts)) // 2 FROM ev)")
 def _(spark, d):
-    rows = ev(spark, d)
-    clock = rows.agg(F.expr("(min(pts_us) + max(pts_us)) div 2").alias("t")).first()["t"]
-    return _plain(rows.where(F.col("pts_us") <= clock))
+    rows = T.with_scalars(ev(spark, d), F.expr("(min(pts_us) + max(pts_us)) div 2").alias("t"))
+    return plain(rows.where("pts_us <= t"))
 
 
 @query("q_presentable_asof", f"""WITH {EV}, k AS (SELECT track_id, unnest(range(10)) AS tick FROM (SELECT DISTINCT track_id FROM ev)), b AS (SELECT min(pts) AS lo, max(pts) AS hi FROM ev), t AS (SELECT track_id, tick, lo + (hi - lo) // 10 * tick AS due FROM k, b)
 SELECT t.track_id, tick, coalesce(max(idx) FILTER (pts <= due), min(idx)) AS idx FROM t JOIN ev USING (track_id) GROUP BY ALL""")
 def _(spark, d):
     rows = ev(spark, d)
-    lo, hi = rows.agg(F.min("pts_us"), F.max("pts_us")).first()
     spans = rows.groupBy("track_id").agg(F.min("index").alias("first"))
-    ticks = spans.select("track_id", F.explode(F.expr("sequence(0L, 9L)")).alias("tick"))
-    points = ticks.select(F.col("track_id").alias("g"), "tick", (F.lit(lo) + F.col("tick") * ((hi - lo) // 10)).alias("pts_us"))
+    ends = rows.agg(F.min("pts_us").alias("lo"), F.max("pts_us").alias("hi"))
+    ticks = spans.crossJoin(F.broadcast(ends)).select("track_id", "lo", "hi", F.explode(F.expr("sequence(0L, 9L)")).alias("tick"))
+    points = ticks.select(F.col("track_id").alias("g"), "tick", F.expr("lo + tick * ((hi - lo) div 10)").alias("pts_us"))
     latest = T.last_run_at(points, rows.select(F.col("track_id").alias("g"), "pts_us", "index"), "pts_us", "index").withColumnRenamed("index", "now").distinct()
     out = points.join(latest, ["g", "pts_us"]).join(spans.withColumnRenamed("track_id", "g"), "g")
     return out.select(F.col("g").alias("track_id"), "tick", F.coalesce("now", "first").alias("idx"))
@@ -481,9 +425,7 @@ def _(spark, d):
 @query("q_record_gate", f"""WITH {EV}, g AS (SELECT *, last_value(CASE WHEN is_key THEN true WHEN is_target THEN false END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS open FROM ev)
 SELECT track_id, idx, pts FROM g WHERE open""")
 def _(spark, d):
-    state = F.when(F.col("is_key"), True).when(F.col("is_target"), False)
-    w = Window.partitionBy("track_id").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
-    return _plain(ev(spark, d).withColumn("open", F.last(state, ignorenulls=True).over(w)).where("open"))
+    return plain(rings.gated(ev(spark, d), F.col("is_key"), F.col("is_target")))
 
 
 # --- projections
@@ -496,7 +438,7 @@ def _(spark, d):
 
 @query("q_sample_table", f"WITH {EV} SELECT track_id, idx, pts, is_key, pic AS picture_type, size FROM ev")
 def _(spark, d):
-    return _plain(ev(spark, d), "is_key", "picture_type", "size")
+    return plain(ev(spark, d), "is_key", "picture_type", "size")
 
 
 # --- packets
@@ -504,104 +446,68 @@ def _(spark, d):
 _TEXT = "regexp_replace(text, '[^a-z ]', 'x', 'g')"
 
 
-@query("q_annexb_split", f"WITH t AS (SELECT doc_id, {_TEXT} AS t FROM documents) SELECT doc_id, (len(substr(t, 1, 20)) > 0)::INT + (len(substr(t, 21, 20)) > 0)::INT AS n_units, lower(hex(encode(substr(t, 1, 20)))) AS first, CASE WHEN len(t) > 20 THEN lower(hex(encode(substr(t, 21, 20)))) END AS second FROM t WHERE len(t) > 0")
-def _(spark, d):
-    t = F.regexp_replace("text", "[^a-z ]", "x")
-    docs = table(spark, d, "documents").select("doc_id", t.alias("t")).where("length(t) > 0")
-    data = F.concat(F.lit(b"\x00\x00\x00\x01"), F.encode(F.substring("t", 1, 20), "utf-8"), F.lit(b"\x00\x00\x00\x01"), F.encode(F.substring("t", 21, 20), "utf-8"), F.lit(b"\x00\x00"))
-    out = docs.select("doc_id", N.annexb_nals(data).alias("u"))
-    unit = lambda i: F.lower(F.hex(F.get("u", i)))
-    return out.select("doc_id", F.size("u").alias("n_units"), unit(F.lit(0)).alias("first"), unit(F.lit(1)).alias("second"))
-
-
-@query("q_length_prefix", f"WITH t AS (SELECT doc_id, {_TEXT} AS t FROM documents) SELECT doc_id, printf('%08x', least(20, len(t))) || lower(hex(encode(substr(t, 1, 20)))) AS data FROM t WHERE len(t) > 0")
+@query("q_annexb_split", f"WITH t AS (SELECT doc_id, regexp_extract_all({_TEXT}, '.{{1,20}}') AS u FROM documents WHERE len(text) > 0) SELECT doc_id, len(u)::INT AS n_units, list_transform(u, lambda x: lower(hex(encode(x)))) AS units FROM t")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "x").alias("t")).where("length(t) > 0")
-    data = F.concat(F.lit(b"\x00\x00\x01"), F.encode(F.substring("t", 1, 20), "utf-8"))
-    return docs.select("doc_id", F.lower(F.hex(N.length_prefixed(N.annexb_nals(data)))).alias("data"))
-
-
-@query("q_adts_strip", "SELECT doc_id, CASE WHEN strlen(text) > 0 THEN CASE WHEN doc_id % 2 = 0 THEN lower(hex(encode(text))[1:40]) ELSE lower(hex(encode(text))[5:40]) END ELSE NULL END AS raw FROM documents WHERE strlen(text) > 2")
-def _(spark, d):
-    docs = table(spark, d, "documents").where("octet_length(text) > 2")
-    head = F.when(F.col("doc_id") % 2 == 0, F.lit(b"\xff\xf1\x50\x80\x00\x00\xfc")).otherwise(F.lit(b"\xff\xf0\x50\x80\x00\x00\xfc"))
-    return docs.select("doc_id", F.lower(F.hex(N.without_adts(F.concat(head, B.part(F.encode("text", "utf-8"), 0, 20))))).alias("raw"))
-
-
-# The three over whole texts, checked against brute force.
-
-@query("q_annexb_split_whole")
-def _(spark, d):
-    """A start code before every 20 characters; the units as hex, in order."""
+    """A start code before every 20 characters of a text; the units as hex, in order."""
     docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "x").alias("t")).where("length(t) > 0")
     data = F.concat(F.encode(F.regexp_replace("t", "(?s)(.{1,20})", "\x00\x00\x00\x01$1"), "utf-8"), F.lit(b"\x00\x00"))
     out = docs.select("doc_id", N.annexb_nals(data).alias("u"))
     return out.select("doc_id", F.size("u").alias("n_units"), F.transform("u", lambda u: F.lower(F.hex(u))).alias("units"))
 
 
-@query("q_length_prefix_whole")
+@query("q_length_prefix", f"WITH t AS (SELECT doc_id, {_TEXT} AS t FROM documents) SELECT doc_id, printf('%08x', len(t)) || lower(hex(encode(t))) AS data FROM t WHERE len(t) > 0")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "x").alias("t")).where("length(t) > 0")
     data = F.concat(F.lit(b"\x00\x00\x01"), F.encode("t", "utf-8"))
     return docs.select("doc_id", F.lower(F.hex(N.length_prefixed(N.annexb_nals(data)))).alias("data"))
 
 
-@query("q_adts_strip_whole")
+@query("q_adts_strip", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(hex(encode(text))) ELSE lower(hex(encode(text))[5:]) END AS raw FROM documents WHERE strlen(text) > 2")
 def _(spark, d):
     docs = table(spark, d, "documents").where("octet_length(text) > 2")
     head = F.when(F.col("doc_id") % 2 == 0, F.lit(b"\xff\xf1\x50\x80\x00\x00\xfc")).otherwise(F.lit(b"\xff\xf0\x50\x80\x00\x00\xfc"))
     return docs.select("doc_id", F.lower(F.hex(N.without_adts(F.concat(head, F.encode("text", "utf-8"))))).alias("raw"))
 
 
-@query("q_bitstream_format", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 5 IN (0, 1) THEN 'annexb' WHEN page_id % 5 IN (2, 3) THEN 'avcc' ELSE 'unknown' END
-  ELSE CASE page_id % 4 WHEN 1 THEN CASE WHEN page_id % 5 IN (0, 1) THEN 'adts' ELSE 'aac_raw' END ELSE 'mp3' END END AS format FROM pages""")
+@query("q_bitstream_format", f"""WITH b AS (SELECT doc_id, lang, {_PREFIX} || hex(encode(text)) AS h FROM documents), f AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'video' ELSE 'audio' END AS kind, CASE WHEN lang IN ('de', 'en') THEN 'aac' ELSE 'mp3' END AS family, {_SNIFFED} AS container FROM b)
+SELECT doc_id, container, CASE WHEN kind = 'video' THEN CASE WHEN container IN ('mpegts', 'mpegps') THEN 'annexb' WHEN container IN ('flv', 'mp4') THEN 'avcc' ELSE 'unknown' END
+  WHEN family = 'aac' THEN CASE WHEN container IN ('mpegts', 'mpegps') THEN 'adts' ELSE 'aac_raw' END ELSE 'mp3' END AS format FROM f""")
 def _(spark, d):
-    pick = lambda n, *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("page_id") % n + 1).cast("int"))
-    kind, container = pick(2, "video", "audio"), pick(5, "mpegts", "mpegps", "flv", "mp4", "wav")
-    family = N.codec_family(pick(4, "h264", "aac", "h264", "unknown"), F.lit("MPEG Audio Layer III"))
-    return table(spark, d, "pages").select("page_id", N.bitstream_format(kind, container, family).alias("format"))
+    """The container is what the bytes say; kind and codec follow the language."""
+    rows = prefixed(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    kind = F.when(F.col("lang") == "en", "video").otherwise("audio")
+    family = N.codec_family(F.when(F.col("lang").isin("de", "en"), "aac").otherwise("unknown"), F.lit("MPEG Audio Layer III"))
+    container = B.container_format(F.col("data"))
+    return rows.select("doc_id", container.alias("container"), N.bitstream_format(kind, container, family).alias("format"))
 
 
 # --- containers, built from rows and read as tables again
 
-def _joined(order: str, data: str):
-    """The binaries of a group side by side, in order."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("b"))))
-    return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["b"]))
-
-
 def _flv_files(rows: DataFrame, *by: str) -> DataFrame:
     """(source_id, data): FLV files of the rows (index, ms, is_key, n) of each group, with n bytes of payload a row."""
     big = lambda c, n: F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
     n = F.col("n")
     body = F.concat(F.when(F.col("is_key"), F.lit(b"\x17\x01\x00\x00\x00")).otherwise(F.lit(b"\x27\x01\x00\x00\x00")), F.unhex(F.expr("repeat('AB', cast(n as int))")))
     tag = F.concat(F.lit(b"\x09"), big(n + 5, 3), big(F.col("ms") % (1 << 24), 3), big(F.shiftright("ms", 24), 1), F.lit(bytes(3)), body, big(n + 16, 4))
-    files = rows.withColumn("tag", tag).groupBy(*by).agg(_joined("index", "tag").alias("tags"))
+    files = rows.withColumn("tag", tag).groupBy(*by).agg(W.joined_in_order("tag", "index").alias("tags"))
     return files.select(F.concat_ws(":", *by).alias("source_id"), F.concat(F.lit(b"FLV\x01\x01\x00\x00\x00\x09\x00\x00\x00\x00"), F.col("tags")).alias("data"))
 
 
-@query("q_flv_roundtrip", f"WITH {EV}, p AS (SELECT *, row_number() OVER w - 1 AS n, (pts - first_value(pts) OVER w) // 1000 AS ms FROM ev WINDOW w AS (PARTITION BY track_id ORDER BY idx)) SELECT track_id::VARCHAR AS source_id, ms * 1000 AS pts_us, is_key, (size % 50) AS size FROM p WHERE ms < 4294967296 // 4 AND size % 50 > 0")
-def _(spark, d):
-    w = Window.partitionBy("track_id").orderBy("index")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = ev(spark, d).withColumn("ms", F.floor((F.col("pts_us") - F.first("pts_us").over(whole)) / 1000)).where("ms < 1073741824 and size % 50 > 0")
-    files = _flv_files(rows.withColumn("n", F.col("size") % 50), "track_id")
-    return M.flv_tags(files).select("source_id", "pts_us", "is_key", "size")
-
-
 #: Milliseconds that a file can tell apart: its times are signed, of 32 bits.
 FLV_MS = 1 << 31
+#: Rows of a track that one file holds.
+FILE_ROWS = 4096
 
 
-@query("q_flv_roundtrip_whole", f"WITH {EV}, p AS (SELECT *, (pts - first_value(pts) OVER (PARTITION BY track_id ORDER BY idx)) // 1000 AS ms FROM ev) SELECT track_id::VARCHAR AS source_id, ms * 1000 AS pts_us, is_key, (size % 50 + 1) AS size FROM p")
+@query("q_flv_roundtrip", f"WITH {EV}, p AS (SELECT *, (pts - first_value(pts) OVER (PARTITION BY track_id ORDER BY idx)) // 1000 AS ms FROM ev) SELECT track_id::VARCHAR AS source_id, ms * 1000 AS pts_us, is_key, (size % 50 + 1) AS size FROM p")
 def _(spark, d):
-    """Every event: a track goes on in another file where the time range of one is used up."""
+    """Every event: a track goes on in another file where the time range or the rows of one are used up."""
     whole = Window.partitionBy("track_id").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = ev(spark, d).withColumn("ms", F.floor((F.col("pts_us") - F.first("pts_us").over(whole)) / 1000)).withColumn("n", F.col("size") % 50 + 1)
+    rows = ev(spark, d).withColumn("ms", F.floor((F.col("pts_us") - F.first("pts_us").over(whole)) / 1000)).withColumns({"n": F.col("size") % 50 + 1, "part": F.floor((F.row_number().over(Window.partitionBy("track_id").orderBy("index")) - 1) / FILE_ROWS)})
     rows = rows.withColumn("segment", F.floor(F.col("ms") / FLV_MS)).withColumn("ms", F.col("ms") - F.col("segment") * FLV_MS)
     place = F.split("source_id", ":")
     start = F.get(place, F.lit(1)).cast("long") * (FLV_MS * 1000)
-    return M.flv_tags(_flv_files(rows, "track_id", "segment")).select(F.get(place, F.lit(0)).alias("source_id"), (F.col("pts_us") + start).alias("pts_us"), "is_key", "size")
+    return M.flv_tags(_flv_files(rows, "track_id", "segment", "part")).select(F.get(place, F.lit(0)).alias("source_id"), (F.col("pts_us") + start).alias("pts_us"), "is_key", "size")
 
 
 @query("q_ts_roundtrip", f"WITH {EV}, p AS (SELECT *, (pts // 1000) % 80000000 * 90 AS ticks FROM ev) SELECT track_id::VARCHAR AS source_id, CASE WHEN is_key THEN 256 ELSE 257 END::BIGINT AS pid, CASE WHEN is_key THEN 'video' ELSE 'audio' END AS kind, floor(ticks * 100 / 9::DOUBLE + 0.5)::BIGINT AS pts_us FROM p")
@@ -612,9 +518,10 @@ def _(spark, d):
     key = F.col("is_key")
     head = F.concat(F.lit(b"\x47"), F.when(key, F.lit(b"\x41\x00")).otherwise(F.lit(b"\x41\x01")), F.lit(b"\x10"))
     pes = F.concat(F.lit(b"\x00\x00\x01"), F.when(key, F.lit(b"\xe0")).otherwise(F.lit(b"\xc0")), F.lit(b"\x00\x00\x80\x80\x05"), stamp, F.lit(b"\xff" * 170))
-    files = ev(spark, d).withColumn("packet", F.concat(head, pes)).groupBy("track_id").agg(_joined("index", "packet").alias("data"))
-    out = M.ts_pes(M.ts_packets(files.select(F.col("track_id").cast("string").alias("source_id"), "data")))
-    return out.select("source_id", "pid", "kind", "pts_us")
+    part = F.floor((F.row_number().over(Window.partitionBy("track_id").orderBy("index")) - 1) / FILE_ROWS)
+    files = ev(spark, d).withColumns({"packet": F.concat(head, pes), "part": part}).groupBy("track_id", "part").agg(W.joined_in_order("packet", "index").alias("data"))
+    out = M.ts_pes(M.ts_packets(files.select(F.concat_ws(":", "track_id", "part").alias("source_id"), "data")))
+    return out.select(F.get(F.split("source_id", ":"), F.lit(0)).alias("source_id"), "pid", "kind", "pts_us")
 
 
 @query("q_wav_roundtrip", "SELECT vec_id::VARCHAR AS source_id, 8000::BIGINT AS rate, 1::BIGINT AS channels, len(embedding)::BIGINT AS frames, floor(len(embedding) * 1000000 / 8000::DOUBLE + 0.5)::BIGINT AS duration_us FROM embeddings")
@@ -632,9 +539,14 @@ def _(spark, d):
     return rings.replayed(rings.record_gate(rows, "is_key", "is_target"))
 
 
-@query("q_state_packet_ring", f"WITH {EV} SELECT track_id, idx, pts AS pts_us, pts AS clock_us, 0::BIGINT AS overruns FROM ev")
+@query("q_state_packet_ring", f"""WITH {EV}, g AS (SELECT *, coalesce(sum(is_key::INT) OVER (PARTITION BY track_id ORDER BY pts, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM ev),
+n AS (SELECT *, row_number() OVER (PARTITION BY track_id, part ORDER BY pts DESC, idx DESC) AS k, count(*) OVER (PARTITION BY track_id, part) AS size_, bool_or(is_key) OVER (PARTITION BY track_id, part) AS ended FROM g),
+o AS (SELECT track_id, part, sum(greatest(0, size_ - 2)) OVER (PARTITION BY track_id ORDER BY part ROWS UNBOUNDED PRECEDING)::BIGINT AS overruns FROM (SELECT DISTINCT track_id, part, size_ FROM n))
+SELECT track_id, idx, pts AS pts_us, overruns FROM n JOIN o USING (track_id, part) WHERE ended AND k <= 2""")
 def _(spark, d):
-    return rings.replayed(rings.packet_ring(ev(spark, d, stream=True).withColumnRenamed("index", "idx"), capacity=64))
+    """A ring of two packets that are not due for ten years: the oldest go, and a key sample ends a stretch and lets out what is held."""
+    rows = ev(spark, d, stream=True).withColumnRenamed("index", "idx")
+    return rings.replayed(rings.packet_ring(rows, capacity=2, delay_us=315_360_000_000_000, ends="is_key")).select("track_id", "idx", "pts_us", "overruns")
 
 
 def queries() -> dict:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesql as B
+from . import writers as W
 
 LATIN = "ISO-8859-1"
 
@@ -25,10 +29,51 @@ def annexb_nals(data: Column, strip_zeros: bool = True) -> Column:
     return F.transform(F.filter(units, lambda u: F.length(u) > 0), lambda u: F.encode(u, LATIN))
 
 
-def length_prefixed(nals: Column) -> Column:
-    """Units with four-byte big-endian lengths before them, as one binary; null if there are none."""
-    one = lambda u: F.concat(F.unhex(F.lpad(F.hex(F.length(u).cast("long")), 8, "0")), u)
-    return F.when(F.size(nals) > 0, F.aggregate(nals, F.lit(b""), lambda a, u: F.concat(a, one(u))))
+def length_prefixed(nals: Column, size: int = 4) -> Column:
+    """Units with big-endian lengths before them, as one binary; null if there are none."""
+    return F.when(F.size(nals) > 0, W.joined(F.transform(nals, lambda u: F.concat(W.be(F.length(u), size), u))))
+
+
+def _walk_lengths(column: pa.Array, size: int) -> Iterator[tuple[list[bytes], bool]]:
+    for value in column:
+        data, at, units = value.as_py() or b"", 0, []
+        while at + size <= len(data):
+            length = int.from_bytes(data[at : at + size], "big")
+            if not length or at + size + length > len(data):
+                break
+            units.append(data[at + size : at + size + length])
+            at += size + length
+        yield units, at == len(data)
+
+
+def units_of_lengths(data: Column, size: int = 4, strict: bool = False) -> Column:
+    """Units that have their lengths before them, up to the first length that can't be; ``strict``: null unless all bytes belong to units.
+
+    Each length tells where the next one stands, so the walk runs over Arrow batches.
+    """
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if strict and not (whole and units) else units for units, whole in _walk_lengths(column, size)], pa.list_(pa.binary()))
+
+    return F.arrow_udf(run, "array<binary>", F.ArrowUDFType.SCALAR)(data)
+
+
+def annexb_of_lengths(data: Column, size: int = 4) -> Column:
+    """Units with start codes of four bytes in place of their lengths; data without a unit as it is."""
+    units = units_of_lengths(data, size)
+    return F.when(F.size(units) > 0, W.joined(F.transform(units, lambda u: F.concat(F.lit(b"\0\0\0\1"), u)))).otherwise(data)
+
+
+def unit_rows(rows: DataFrame, data: str, codec: str = "h264", size: int = 4) -> DataFrame:
+    """``rows`` with one row (n, unit, kind, payload) for each unit of a column with lengths; ``payload`` keeps the header and drops emulation prevention."""
+    out = rows.select("*", F.posexplode(units_of_lengths(F.col(data), size)).alias("n", "unit"))
+    head = 1 if codec == "h264" else 2
+    kind = h264_nal_type(F.col("unit")) if codec == "h264" else h265_nal_type(F.col("unit"))
+    return out.where(F.length("unit") >= head).withColumns({"kind": kind, "payload": with_header(F.col("unit"), head)})
+
+
+def with_header(unit: Column, head: int) -> Column:
+    """A unit's header as it is, and the rest without emulation prevention."""
+    return F.concat(F.substring(unit, 1, head), without_emulation_prevention(F.substring(unit, head + 1, F.length(unit))))
 
 
 def without_emulation_prevention(data: Column) -> Column:
@@ -36,6 +81,30 @@ def without_emulation_prevention(data: Column) -> Column:
     return F.encode(F.regexp_replace(F.decode(data, LATIN), "\\x00\\x00\\x03(?=[\\x00-\\x03])", "\x00\x00"), LATIN)
 
 
+def with_emulation_prevention(data: Column) -> Column:
+    """Puts 03 after two zero bytes that a byte of at most 03 follows, so that no start code stands inside a unit."""
+    return F.encode(F.regexp_replace(F.decode(data, LATIN), "\\x00\\x00(?=[\\x00-\\x03])", "\x00\x00\x03"), LATIN)
+
+
+def adts_frames(data: Column) -> Column:
+    """The raw frames of a run of ADTS frames; each header tells where the next one stands, so the walk runs over Arrow batches."""
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for value in column:
+            all_, at, found = value.as_py() or b"", 0, []
+            while at + 7 <= len(all_) and all_[at] == 255 and all_[at + 1] & 0xF6 == 0xF0:
+                size, head = int.from_bytes(all_[at + 3 : at + 6], "big") >> 5 & 0x1FFF, 7 if all_[at + 1] & 1 else 9
+                if size <= head or at + size > len(all_):
+                    break
+                found.append(all_[at + head : at + size])
+                at += size
+            out.append(found)
+        return pa.array(out, pa.list_(pa.binary()))
+
+    return F.arrow_udf(run, "array<binary>", F.ArrowUDFType.SCALAR)(data)
+
+
 def h264_nal_type(nal: Column) -> Column:
     return B.uint_be(nal, 0, 1).bitwiseAND(31)
 

@@ -32,13 +32,23 @@ class Criteria:
     kind: str = "video"
 
 
+def nth_of(rows: DataFrame, group: list[str], order: list[str], nth: int) -> DataFrame:
+    """The nth row of each group, from 0."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return rows.withColumn("_n", place).where(F.col("_n") == nth + 1).drop("_n")
+
+
+def first_match(rows: DataFrame, group: list[str], value: str, rank: list[Column]) -> DataFrame:
+    """(group, value): the best of each group by a rank, as a decoder is picked for a codec and a layout; an aggregate, so no sort."""
+    return rows.groupBy(*group).agg(F.max_by(value, F.struct(*rank)).alias(value))
+
+
 def select_track(tracks: DataFrame, samples: DataFrame, track_id: str | None = None, kind: str = "video", nth: int = 0) -> tuple[DataFrame, DataFrame]:
     """(track, its samples): by id if one is given, else the nth of a kind; raises NoTrack."""
     if track_id and track_id.strip():
         track = tracks.where(F.col("track_id") == track_id)
     else:
-        place = F.row_number().over(Window.partitionBy("kind").orderBy("index"))
-        track = tracks.where(F.col("kind") == kind).withColumn("_n", place).where(F.col("_n") == nth + 1).drop("_n")
+        track = nth_of(tracks.where(F.col("kind") == kind), ["kind"], ["index"], nth)
     if track.isEmpty():
         raise NoTrack(f"No track matched {track_id or f'{kind} {nth}'}")
     return track, samples.join(F.broadcast(track.select("track_id")), "track_id", "left_semi")
@@ -82,12 +92,12 @@ def range_end(selected: DataFrame) -> DataFrame:
     return selected.groupBy("track_id").agg(F.max_by(end, F.struct("index", "pts_us")).alias("range_end"))
 
 
-def overlaps(start_us: int, end_us: int | None) -> Column:
+def overlaps(start_us: int | Column, end_us: int | Column | None) -> Column:
     """Samples that reach into an absolute range; those without duration last 1 microsecond."""
     end = F.when(F.col("duration_us") > 0, F.col("pts_us") + F.col("duration_us")).otherwise(F.col("pts_us") + 1)
-    return (end > start_us) & (F.lit(end_us is None) | (F.col("pts_us") < F.lit(end_us)))
+    return (end > start_us) & (F.lit(True) if end_us is None else F.col("pts_us") < end_us)
 
 
-def nearest_frame(samples: DataFrame, pts_us: int) -> DataFrame:
+def nearest_frame(samples: DataFrame, pts_us: int | Column) -> DataFrame:
     """The sample of each track nearest a time; the earlier of two as near."""
     return samples.groupBy("track_id").agg(F.min_by(F.col("index"), F.struct(F.abs(F.col("pts_us") - pts_us), F.col("pts_us"), F.col("index"))).alias("index"))

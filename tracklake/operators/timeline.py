@@ -126,3 +126,20 @@ def align_to(samples: DataFrame, other: DataFrame) -> DataFrame:
     span = other.agg((F.max(F.col("pts_us") + F.coalesce("duration_us", F.lit(0))) - F.min("pts_us")).alias("_span"))
     origin = samples.agg(F.min("pts_us").alias("_origin"))
     return samples.crossJoin(F.broadcast(span.crossJoin(origin))).where("pts_us - _origin < _span").drop("_span", "_origin")
+
+
+def with_scalars(rows: DataFrame, *totals: Column) -> DataFrame:
+    """``rows`` with aggregates over all of them as columns: one row, made in the same plan and sent to the tasks."""
+    return rows.crossJoin(F.broadcast(rows.agg(*totals)))
+
+
+def running_totals(rows: DataFrame, bucket: Column, order: str, value: str, name: str) -> DataFrame:
+    """Exclusive running sums over a whole table in the order of a column, of which ``bucket`` is a monotonic function.
+
+    A task holds one bucket of rows; only the totals of buckets meet in one window, and are joined back by their size.
+    """
+    rows = rows.withColumn("_bucket", bucket)
+    totals = rows.groupBy("_bucket").agg(F.sum(value).alias("_t"))
+    starts = totals.select("_bucket", F.coalesce(F.sum("_t").over(Window.orderBy("_bucket").rowsBetween(*BEFORE)), F.lit(0)).alias("_s"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_bucket").orderBy(order).rowsBetween(*BEFORE)), F.lit(0))
+    return rows.withColumn(name, within).join(starts, "_bucket").withColumn(name, F.col(name) + F.col("_s")).drop("_bucket", "_s")

@@ -2,36 +2,160 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklake.functions import bits
+from tracklake.functions import bitstream as N
 from tracklake.functions import bytesql as B
+from tracklake.operators import packets as K
 from tracklake.operators import selection as S
 from tracklake.operators import timeline as T
+from tracklake.sources import audio as A
+from tracklake.sources import flv, mp4, transport
 from tracklake.sources import media as M
 
 
-def analyse(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tracks, samples) of WAVE, FLV, transport stream and MP4 sources; MP3, program stream, FLAC, Opus and unknown ones have none."""
-    wav = M.wav_tracks(sources)
-    wav_samples = M.wav_packets(wav).select(F.concat_ws(":", F.lit("wav:audio"), "source_id").alias("track_id"), "source_id", F.lit("audio").alias("kind"), "index", "pts_us", F.col("pts_us").alias("dts_us"), "duration_us", "offset", "size", "is_key")
-    flv = M.flv_tags(sources).where("not config and kind != 'script'").withColumn("index", F.col("offset"))
-    flv_samples = flv.select(F.concat_ws(":", F.lit("flv"), "kind", "source_id").alias("track_id"), "source_id", "kind", "index", "pts_us", "dts_us", F.lit(None).cast("long").alias("duration_us"), "offset", "size", "is_key")
-    pes = M.ts_pes(M.ts_packets(sources))
-    ts_samples = pes.select(F.concat_ws(":", F.lit("mpegts"), "kind", F.col("pid").cast("string"), "source_id").alias("track_id"), "source_id", "kind", "index", "pts_us", "dts_us", F.lit(None).cast("long").alias("duration_us"), F.lit(0).cast("long").alias("offset"), "size", (F.col("kind") == "audio").alias("is_key"))
-    boxes = M.mp4_boxes(sources)
-    us = lambda c: F.floor(F.col(c) * 1_000_000 / F.col("timescale") + 0.5)
-    mp4 = M.mp4_samples(boxes).join(M.mp4_tracks(boxes), ["source_id", "track"])
-    mp4_samples = mp4.select(F.concat_ws(":", F.lit("mp4"), "kind", F.col("track").cast("string"), "source_id").alias("track_id"), "source_id", "kind", F.col("sample").alias("index"), us("pts").alias("pts_us"), us("dts").alias("dts_us"), F.lit(None).cast("long").alias("duration_us"), "offset", "size", "is_key")
-    samples = wav_samples.unionByName(flv_samples).unionByName(ts_samples).unionByName(mp4_samples)
-    samples = samples.withColumns({"picture_type": F.lit(None).cast("string"), "is_idr": F.lit(None).cast("boolean")})
+def _samples(rows: DataFrame, form: str, kind: Column, number: Column | None, **columns: Column) -> DataFrame:
+    """Rows of one container as samples; a track's id joins the container, the kind, the container's own number of it and the source."""
+    given = {"index": F.col("index"), "pts_us": F.col("pts_us"), "dts_us": F.col("pts_us"), "duration_us": F.lit(None).cast("long"), "offset": F.col("offset"), "size": F.col("size"), "is_key": F.lit(True), "picture_type": F.lit(None).cast("string"), "is_idr": F.lit(None).cast("boolean"), **columns}
+    track = F.concat_ws(":", F.lit(form), kind, *([number.cast("string")] if number is not None else []), "source_id")
+    return rows.select(track.alias("track_id"), "source_id", kind.alias("kind"), *[c.alias(k) for k, c in given.items()])
+
+
+def transport_samples(sources: DataFrame, with_data: bool = False) -> DataFrame:
+    """Samples of transport streams, one for each PES packet, with picture types; streams that the program map says are something else are left out,
+    and where a file has no map the packets' own kinds count."""
+    packets = M.ts_packets(sources)
+    found = transport.streams(packets).select("source_id", "pid", "stream_type", F.col("kind").alias("told"), "codec")
+    mapped = found.select("source_id").distinct().withColumn("mapped", F.lit(True))
+    pes = M.ts_pes(packets, with_data=True).join(found, ["source_id", "pid"], "left").join(mapped, "source_id", "left")
+    pes = pes.where("told is not null or mapped is null").withColumn("kind", F.coalesce("told", "kind"))
+    units = transport.numbered_units(pes.where("kind = 'video'"), N.annexb_nals)
+    of = pes.select("source_id", "pid", "index", "codec")
+    pictures = transport.access_units(units, "h264").join(of.where("coalesce(codec, 'h264') = 'h264'").drop("codec"), ["source_id", "pid", "index"], "left_semi")
+    pictures = pictures.unionByName(transport.access_units(units, "h265").join(of.where("codec = 'h265'").drop("codec"), ["source_id", "pid", "index"], "left_semi"))
+    rows = pes.join(pictures, ["source_id", "pid", "index"], "left")
+    is_key = F.when(F.col("kind") == "audio", True).otherwise(F.coalesce(F.col("picture_type") == "I", F.lit(False)))
+    out = _samples(rows, "mpegts", F.col("kind"), F.col("pid"), dts_us=F.col("dts_us"), offset=F.lit(0).cast("long"), is_key=is_key, picture_type=F.col("picture_type"), is_idr=F.col("is_idr"), data=F.col("data"))
+    return out if with_data else out.drop("data")
+
+
+#: Containers whose samples or headers can be read.
+FORMATS = ("wav", "mp3", "flv", "mpegts", "mpegps", "mp4", "flac", "opus")
+
+
+def _union(parts: dict[str, Callable[[], DataFrame]], formats: Sequence[str]) -> DataFrame:
+    """The rows of the containers that are asked for, and only their branches in the plan."""
+    wanted = [make() for name, make in parts.items() if name in formats]
+    if not wanted:
+        raise ValueError(f"none of {', '.join(formats)} has such rows; known are {', '.join(parts)}")
+    return reduce(lambda a, b: a.unionByName(b), wanted)
+
+
+def analyse(sources: DataFrame, formats: Sequence[str] = FORMATS) -> tuple[DataFrame, DataFrame]:
+    """(tracks, samples) of WAVE, MP3, FLV, MP4, transport and program stream sources; FLAC and Opus have a track (see :func:`streams`) but no samples, unknown
+    sources neither. Each container is a branch of the plan that reads the files again, so name the ``formats`` that there are, if that is known."""
+    audio = F.lit("audio")
+
+    def tagged() -> DataFrame:
+        tags = M.flv_tags(sources).where("not config and kind != 'script'").withColumn("index", F.col("offset"))
+        return _samples(tags, "flv", F.col("kind"), None, dts_us=F.col("dts_us"), is_key=F.col("is_key"))
+
+    def movie() -> DataFrame:
+        boxes = M.mp4_boxes(sources)
+        us = lambda c: F.floor(F.col(c) * 1_000_000 / F.col("timescale") + 0.5)
+        rows = M.mp4_samples(boxes).join(M.mp4_tracks(boxes), ["source_id", "track"]).withColumn("index", F.col("sample"))
+        return _samples(rows, "mp4", F.col("kind"), F.col("track"), pts_us=us("pts"), dts_us=us("dts"), is_key=F.col("is_key"))
+
+    parts = {
+        "wav": lambda: _samples(M.wav_packets(M.wav_tracks(sources)), "wav", audio, None, duration_us=F.col("duration_us"), is_key=F.col("is_key")),
+        "mp3": lambda: _samples(A.mp3_frames(sources), "mp3", audio, None, duration_us=F.col("duration_us")),
+        "flv": tagged,
+        "mpegts": lambda: transport_samples(sources),
+        "mpegps": lambda: _samples(transport.ps_packets(sources), "mpegps", F.col("kind"), F.col("stream_id"), dts_us=F.col("dts_us"), is_key=F.col("kind") == "audio"),
+        "mp4": movie,
+    }
+    samples = _union(parts, formats)
     kinds = samples.groupBy("track_id").agg(F.first("source_id").alias("source_id"), F.first("kind").alias("kind"))
     return kinds.join(T.track_summary(samples), "track_id"), samples
 
 
-def overview(spark: SparkSession, path: str) -> DataFrame:
+_STREAM = ["source_id", "format", "kind", "source_track", "codec", "family", "config", "duration_ms", "rate", "channels", "width", "height", "fps"]
+
+
+def _stream(rows: DataFrame, form: str, kind: Column, **columns: Column) -> DataFrame:
+    types = {"config": "binary", "width": "long", "height": "long", "rate": "long", "channels": "long", "fps": "double", "duration_ms": "double"}
+    given = {"format": F.lit(form), "kind": kind, "source_id": F.col("source_id"), **columns}
+    return rows.select(*[given.get(k, F.lit(None)).cast(types.get(k, "string")).alias(k) for k in _STREAM])
+
+
+def streams(sources: DataFrame, formats: Sequence[str] = FORMATS) -> DataFrame:
+    """What the headers of sources say of their streams (source_id, format, kind, source_track, codec, family, config, duration_ms, rate, channels, width,
+    height, fps), for :func:`tracklake.operators.packets.normalised`; what no header says is null."""
+    col, audio, video = F.col, F.lit("audio"), F.lit("video")
+    ms = col("duration_us") / 1000
+    sound = {"rate": col("rate"), "channels": col("channels")}
+
+    def flv_streams() -> DataFrame:
+        tags = M.flv_tags(sources).where("kind = 'video'").join(sources.select(col("source_id").cast("string").alias("source_id"), "data"), "source_id")
+        tags = tags.withColumn("c", F.when(col("config"), B.slice_bytes(col("data"), col("offset"), col("size"))))
+        pictures = tags.groupBy("source_id").agg(F.min_by("c", F.when(col("config"), col("offset"))).alias("config"), F.min_by("codec", "offset").alias("number"), F.max("dts_us").alias("duration_us"))
+        first = F.when(B.uint_be(col("config"), 5, 1).bitwiseAND(31) > 0, F.substring("config", 9, B.uint_be(col("config"), 6, 2).cast("int")))
+        pictures = pictures.withColumn("f", bits.header(F.when(col("number") == "7", first), "h264_sps"))
+        family = F.when(col("number") == "7", "h264").when(col("number") == "12", "h265").otherwise("unknown")
+        shown = _stream(pictures, "flv", video, codec=F.upper(family), family=family, config=col("config"), width=col("f")["width"], height=col("f")["height"], fps=bits.frame_rate(col("f")), duration_ms=ms)
+        heard = flv.audio_streams(sources).join(flv.last_time(sources), "source_id")
+        return shown.unionByName(_stream(heard, "flv", audio, codec=F.upper("codec"), family=col("codec"), duration_ms=ms, **sound))
+
+    def transported() -> DataFrame:
+        packets = M.ts_packets(sources)
+        pes = M.ts_pes(packets, with_data=True)
+        sets = transport.first_configs(transport.numbered_units(pes.where("kind = 'video'"), N.annexb_nals))
+        told = pes.where("kind = 'audio'").select("source_id", "pid", "index", A.adts_header(col("data")).alias("h"), A.asc_of_adts(col("data")).alias("asc"))
+        at = F.when(col("h").isNotNull(), col("index"))
+        told = told.groupBy("source_id", "pid").agg(F.min_by("h", at).alias("h"), F.min_by("asc", at).alias("asc"))
+        key = ["source_id", "pid"]
+        rows = transport.streams(packets).where("kind is not null").join(transport.track_spans(pes), key, "left").join(sets, key, "left").join(told, key, "left")
+        rows = rows.withColumn("f", bits.header(F.when(col("codec") == "h264", col("sps")), "h264_sps"))
+        config = F.when(col("codec") == "h264", mp4.avc_config(col("sps"), col("pps"))).otherwise(col("asc"))
+        return _stream(rows, "mpegts", col("kind"), source_track=col("pid"), codec=col("stream_name"), family=col("codec"), config=config, rate=col("h.rate"), channels=col("h.channels"), width=col("f")["width"], height=col("f")["height"], fps=bits.frame_rate(col("f")), duration_ms=ms)
+
+    def program() -> DataFrame:
+        rows = transport.ps_packets(sources).groupBy("source_id", "stream_id", "kind").agg((F.max("pts_us") - F.min("pts_us")).alias("duration_us"))
+        return _stream(rows, "mpegps", col("kind"), source_track=col("stream_id"), duration_ms=ms)
+
+    def movies() -> DataFrame:
+        boxes, key = M.mp4_boxes(sources), ["source_id", "track"]
+        rows = M.mp4_tracks(boxes).join(mp4.video_entries(boxes).withColumnRenamed("entry", "v"), key, "left").join(mp4.audio_entries(boxes).withColumnsRenamed({"entry": "a", "config": "asc"}), key, "left")
+        family = F.when(col("v").isin("avc1", "avc3"), "h264").when(col("v").isin("hvc1", "hev1"), "h265").when((col("a") == "mp4a") & (col("object_type").isNotNull()), "aac").when(col("a").isin("mp4a", ".mp3"), "mp3").when(col("a").isin("ulaw", "alaw"), "g711").otherwise("unknown")
+        length = F.when(col("timescale") > 0, col("duration") * 1000 / col("timescale"))
+        return _stream(rows, "mp4", col("kind"), source_track=col("track"), codec=F.coalesce("v", "a"), family=family, config=F.coalesce("config", "asc"), width=col("width"), height=col("height"), fps=col("frame_rate"), duration_ms=length, **sound)
+
+    parts = {
+        "wav": lambda: _stream(M.wav_tracks(sources), "wav", audio, codec=F.lit("PCM"), family=F.lit("pcm"), duration_ms=ms, **sound),
+        "mp3": lambda: _stream(A.mp3_tracks(A.mp3_frames(sources)), "mp3", audio, codec=F.lit("MP3"), family=F.lit("mp3"), duration_ms=ms, **sound),
+        "flac": lambda: _stream(A.flac_tracks(sources), "flac", audio, codec=F.lit("FLAC"), family=F.lit("unknown"), duration_ms=ms, **sound),
+        "opus": lambda: _stream(A.opus_tracks(sources), "opus", audio, codec=F.lit("Opus"), family=F.lit("unknown"), **sound),
+        "flv": flv_streams, "mpegts": transported, "mpegps": program, "mp4": movies,
+    }
+    return _union(parts, formats)
+
+
+def track_table(sources: DataFrame, formats: Sequence[str] = FORMATS) -> DataFrame:
+    """The tracks of sources with what their headers say and what their samples add up to."""
+    key = F.concat_ws(":", "format", "kind", "source_track", "source_id")
+    told = K.normalised(streams(sources, formats).withColumns({"index": F.lit(0), "key": key}), "key")
+    summary = analyse(sources, formats)[0].select(F.col("track_id").alias("key"), "n_samples", F.col("duration_us").alias("sampled_us"), "n_bytes", "bitrate")
+    return told.join(summary, "key", "left").drop("key", "index").fillna(0, ["n_samples"])
+
+
+def overview(spark: SparkSession, path: str, formats: Sequence[str] = FORMATS) -> DataFrame:
     """Tracks of the files under a path."""
-    return analyse(M.load_files(spark, path))[0]
+    return track_table(M.load_files(spark, path), formats)
 
 
 def source_hex(sources: DataFrame, offset: int = 0, size: int = 256) -> DataFrame:
@@ -56,7 +180,7 @@ def sample_bytes(samples: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def remux_plan(samples: DataFrame, align: str = "none") -> DataFrame:
-    """Samples of all tracks in the order and at the places that one file would have: deltas and payload offsets.
+    """Samples of all tracks of each source in the order and at the places that one file would have: deltas and payload offsets.
 
     ``align`` keeps of each kind only what the span of the other covers: ``trim_to_video`` or ``trim_to_audio``.
     """
@@ -65,9 +189,45 @@ def remux_plan(samples: DataFrame, align: str = "none") -> DataFrame:
         samples = video.unionByName(T.align_to(audio, video))
     elif align == "trim_to_audio":
         samples = audio.unionByName(T.align_to(video, audio))
-    sizes = samples.groupBy("track_id").agg(F.sum("size").alias("n"))
-    from pyspark.sql import Window
-
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("track_id").rowsBetween(*T.BEFORE)), F.lit(0))).drop("n")
-    placed = T.sample_offsets(T.dts_deltas(samples).join(F.broadcast(starts), "track_id"), "track_id", F.col("start"), ["pts_us", "index"], "size")
+    sizes = samples.groupBy("source_id", "track_id").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("source_id").orderBy("track_id").rowsBetween(*T.BEFORE)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("track_id", "start")
+    placed = T.sample_offsets(T.dts_deltas(samples).join(starts, "track_id"), "track_id", F.col("start"), ["pts_us", "index"], "size")
     return placed.drop("start")
+
+
+REMUXABLE = ("mp4", "flv", "mpegts", "mpegps")
+
+
+def remux(sources: DataFrame, align: str = "none", start_us: int = 0, end_us: int | None = None, formats: Sequence[str] = REMUXABLE) -> tuple[DataFrame, DataFrame]:
+    """(files, errors): MP4 files of the first track of pictures and of sound of each source, without decoding.
+
+    Sources in other containers than ``REMUXABLE`` have none. Units with start codes get lengths, sound in ADTS is cut into its frames, and configurations are
+    those of the headers or what the packets carry. Tracks that can't be written are told as errors and left out.
+    """
+    rows = sources.where(F.col("format").isin(*formats))
+    none = F.lit(None).cast("binary")
+    tracks = streams(rows, formats).withColumn("key", F.concat_ws(":", "format", "kind", "source_track", "source_id"))
+    tracks = tracks.withColumn("n", F.row_number().over(Window.partitionBy("source_id", "kind").orderBy("key"))).where("n = 1")
+    tracks = tracks.select(F.col("source_id").alias("file_id"), F.col("key").alias("track_id"), "kind", F.col("family").alias("codec"), mp4.inferred_config(F.col("family"), F.col("config"), none, none, none, none, F.col("rate"), F.col("channels")).alias("config"), "width", "height", "rate", "channels", "format")
+    # one row for each track, kept so that what follows reads it instead of planning the headers of all files again
+    tracks = tracks.withColumn("problem", mp4.mux_problem()).persist()
+    errors = T.diagnostics(tracks.where("problem is not null"), "mux.unsupported", "error", F.col("problem"), F.col("track_id"))
+    good = tracks.where("problem is null").drop("problem")
+    _, samples = analyse(rows, formats)
+    samples = sample_bytes(samples.where(~F.col("track_id").startswith("mpegts")), rows)
+    if "mpegts" in formats:
+        samples = samples.unionByName(transport_samples(rows, with_data=True), allowMissingColumns=True)
+    samples = samples.where(S.overlaps(start_us, end_us)).join(good.select("track_id", "codec", "format", F.col("rate").alias("r")), "track_id")
+    transported = F.col("format").isin("mpegts", "mpegps")
+    samples = samples.withColumn("parts", F.when(transported & (F.col("codec") == "aac"), N.adts_frames(F.col("data"))).otherwise(F.array("data")))
+    samples = samples.select("*", F.posexplode("parts").alias("part", "one"))
+    bytes_ = F.when(transported & (F.col("kind") == "video"), F.coalesce(N.length_prefixed(N.annexb_nals(F.col("one"))), F.col("one"))).otherwise(F.col("one"))
+    later = F.floor(F.col("part") * 1024 * 1_000_000 / F.coalesce("r", F.lit(48_000)) + 0.5)
+    samples = samples.select(F.col("source_id").alias("file_id"), "track_id", "kind", (F.col("index") * 64 + F.col("part")).alias("index"), (F.col("pts_us") + later).alias("pts_us"), (F.col("dts_us") + later).alias("dts_us"), "duration_us", "is_key", bytes_.alias("data"))
+    if align != "none":
+        keep, cut = ("video", "audio") if align == "trim_to_video" else ("audio", "video")
+        span = samples.where(F.col("kind") == keep).groupBy("file_id").agg((F.max(F.col("pts_us") + F.coalesce("duration_us", F.lit(1))) - F.min("pts_us")).alias("span"))
+        first = F.min("pts_us").over(Window.partitionBy("file_id", "track_id"))
+        samples = samples.withColumn("since", F.col("pts_us") - first).join(span, "file_id", "left").where((F.col("kind") != cut) | F.col("span").isNull() | (F.col("since") < F.col("span"))).drop("since", "span")
+    return mp4.mux(samples.drop("kind"), good.drop("format")), errors

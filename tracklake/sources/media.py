@@ -7,8 +7,8 @@ generator walks the lengths and yields rows; all that can be computed from rows
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.functions import bytesql as B
+from tracklake.functions import pcm
+from tracklake.functions import writers as W
+
+
+#: Rows that a walk over a file hands on at once.
+ROWS_AT_ONCE = 1 << 14
 
 
 def load_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -41,8 +47,8 @@ def _walk(sources: DataFrame, walk: Callable[[bytes], Iterator[tuple]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = list(walk(data.as_py() or b""))
-                if rows:
+                found = walk(data.as_py() or b"")
+                while rows := list(islice(found, ROWS_AT_ONCE)):
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *columns], names=["source_id", *names])
 
@@ -112,39 +118,73 @@ def flv_tags(sources: DataFrame) -> DataFrame:
 
 # --- MPEG transport streams
 
+def packet_offsets(data: np.ndarray) -> np.ndarray:
+    """Where packets start: 188 bytes after the last one while a sync byte stands there, else at the next sync byte."""
+    sync, out, at = np.flatnonzero(data == 0x47), [np.zeros(0, np.int64)], 0
+    while True:
+        k = np.searchsorted(sync, at)
+        if k == len(sync):
+            break
+        places = np.arange(sync[k], len(data) - 187, 188)
+        lost = np.flatnonzero(data[places] != 0x47)
+        end = int(lost[0]) if len(lost) else len(places)
+        out.append(places[:end])
+        if end == len(places):
+            break
+        at = places[end]
+    return np.concatenate(out)
+
+
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.zeros(0, np.uint8)
+            places = packet_offsets(data)
+            for first in range(0, len(places), 4096):
+                some = places[first : first + 4096]
+                packets = pa.FixedSizeBinaryArray.from_buffers(pa.binary(188), len(some), [None, pa.py_buffer(data[some[:, None] + np.arange(188)].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(np.arange(first, first + len(some))), packets.cast(pa.binary())], names=["source_id", "index", "p"])
+
+
 def ts_packets(sources: DataFrame) -> DataFrame:
-    """(source_id, index, pid, start, payload) of 188-byte packets with payload, adaptation fields skipped; native."""
-    rows = sources.where(B.is_mpegts(F.col("data"))).select("source_id", "data", F.explode(F.expr("sequence(0L, length(data) div 188 - 1)")).alias("index"))
-    packet = F.substring("data", (F.col("index") * 188).cast("int") + 1, F.lit(188))
-    rows = rows.select("source_id", "index", packet.alias("p"))
+    """(source_id, index, pid, start, payload) of the packets with payload, adaptation fields skipped; a lost or extra byte costs one packet."""
+    rows = sources.where(B.is_mpegts(F.col("data"))).select(F.col("source_id").cast("string").alias("source_id"), "data")
+    rows = rows.mapInArrow(_packets, "source_id string, index long, p binary")
     head = B.uint_be(F.col("p"), 1, 2)
     control = F.shiftright(B.uint_be(F.col("p"), 3, 1), 4).bitwiseAND(3)
     skip = F.when(control >= 2, 5 + B.uint_be(F.col("p"), 4, 1)).otherwise(4)
     payload = F.expr("substring(p, skip + 1, greatest(0, 188 - skip))")
-    rows = rows.where(B.is_bytes(F.col("p"), 0, b"\x47")).select("source_id", "index", head.bitwiseAND(0x1FFF).alias("pid"), (head.bitwiseAND(0x4000) != 0).alias("start"), control.alias("control"), skip.cast("int").alias("skip"), "p")
+    rows = rows.select("source_id", "index", head.bitwiseAND(0x1FFF).alias("pid"), (head.bitwiseAND(0x4000) != 0).alias("start"), control.alias("control"), skip.cast("int").alias("skip"), "p")
     return rows.where("control in (1, 3)").select("source_id", "index", "pid", "start", payload.alias("payload"))
 
 
-def _stamp(data, at):
+def stamp(data, at):
     """A 33-bit time stamp of five bytes, as microseconds."""
     b = [B.uint_be(data, at + i, 1) for i in range(5)]
     ticks = F.shiftleft(F.shiftright(b[0], 1).bitwiseAND(7), 30) + F.shiftleft(b[1], 22) + F.shiftleft(F.shiftright(b[2], 1), 15) + F.shiftleft(b[3], 7) + F.shiftright(b[4], 1)
     return F.floor(ticks * 100 / 9 + 0.5)
 
 
-def ts_pes(packets: DataFrame) -> DataFrame:
-    """(source_id, pid, index, kind, pts_us, dts_us, size) of PES packets: a running count of starts per PID numbers them, and an aggregate joins their packets."""
+def ts_pes(packets: DataFrame, with_data: bool = False) -> DataFrame:
+    """(source_id, pid, index, kind, pts_us, dts_us, size) of PES packets: a running count of starts per PID numbers them, and an aggregate joins their packets.
+
+    A packet that states its length ends there. ``with_data`` adds the payload; a packet is one access unit, so its bytes are bounded.
+    """
     w = Window.partitionBy("source_id", "pid").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
     rows = packets.where(F.col("pid") > 31).withColumn("pes", F.sum(F.col("start").cast("int")).over(w)).where("pes > 0")
-    out = rows.groupBy("source_id", "pid", "pes").agg(F.min("index").alias("index"), F.min_by("payload", "index").alias("head"), F.sum(F.length("payload")).alias("bytes"))
+    parts = [F.min("index").alias("index"), F.min_by("payload", "index").alias("head"), F.sum(F.length("payload")).alias("bytes")]
+    out = rows.groupBy("source_id", "pid", "pes").agg(*parts, *[W.joined_in_order("payload", "index").alias("all")] * with_data)
     head = F.col("head")
     out = out.where(B.is_bytes(head, 0, b"\x00\x00\x01"))
     stream, flags = B.uint_be(head, 3, 1), F.shiftright(B.uint_be(head, 7, 1), 6)
     kind = F.when(stream.between(0xC0, 0xDF), "audio").when(stream.between(0xE0, 0xEF), "video")
-    pts = F.when(flags >= 2, _stamp(head, 9))
-    dts = F.when(flags == 3, _stamp(head, 14)).otherwise(pts)
-    size = F.col("bytes") - 9 - B.uint_be(head, 8, 1)
-    return out.select("source_id", "pid", "index", kind.alias("kind"), pts.alias("pts_us"), dts.alias("dts_us"), size.alias("size")).where("kind is not null")
+    pts = F.when(flags >= 2, stamp(head, 9))
+    dts = F.when(flags == 3, stamp(head, 14)).otherwise(pts)
+    stated, skip = B.uint_be(head, 4, 2), B.uint_be(head, 8, 1)
+    size = F.col("bytes") - 9 - skip
+    size = F.when(stated > 0, F.least(size, F.greatest(F.lit(0), stated - 3 - skip))).otherwise(size)
+    data = [F.substring(F.col("all"), (10 + skip).cast("int"), size.cast("int")).alias("data")] * with_data
+    return out.select("source_id", "pid", "index", kind.alias("kind"), pts.alias("pts_us"), dts.alias("dts_us"), size.alias("size"), *data).where("kind is not null")
 
 
 # --- ISO base media (MP4)
@@ -258,18 +298,17 @@ def ulaw_sums(rows: DataFrame) -> DataFrame:
 
 # --- sinks
 
-def wav_bytes(rows: DataFrame, samples: str, rate: int, channels: int = 1) -> DataFrame:
-    """Adds ``wav``: a 16-bit WAVE file of an array of floats, interleaved by channel."""
-    from tracklake.functions import pcm
+def wav_bytes(rows: DataFrame, samples: str, rate: int, channels: int = 1, form: str = "pcm16") -> DataFrame:
+    """Adds ``wav``: a WAVE file of an array of floats, interleaved by channel, as ``pcm16`` or ``float32``."""
+    wide = form == "float32"
 
-    def body(values: pa.Array) -> list[bytes]:
-        return [struct.pack(f"<{len(v)}h", *v) for v in values.to_pylist()]
+    def body(values: np.ndarray) -> bytes:
+        return values.astype("<f4").tobytes() if wide else np.floor(np.clip(values, -1, 1) * 32767 + 0.5).astype("<i2").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.set_column(batch.num_columns - 1, "wav", pa.array([h + b for h, b in zip(batch.column("wav").to_pylist(), body(batch.column("_pcm")), strict=True)], pa.binary())).drop_columns("_pcm")
+    def run(heads: pa.Array, values: pa.Array) -> pa.Array:
+        files = [h.as_py() + body(np.asarray(v.values, np.float64)) if v.is_valid else None for h, v in zip(heads, values, strict=True)]
+        return pa.array(files, pa.binary())
 
     frames = F.floor(F.size(samples) / channels)
-    out = rows.withColumn("_pcm", pcm.quantise16(F.col(samples))).withColumn("wav", pcm.wav_header(frames, rate, channels))
-    schema = out.drop("_pcm").schema
-    return out.mapInArrow(run, schema)
+    make = F.arrow_udf(run, "binary", F.ArrowUDFType.SCALAR)
+    return rows.withColumn("wav", make(pcm.wav_header(frames, rate, channels, 4 if wide else 2), F.col(samples).cast("array<double>")))
