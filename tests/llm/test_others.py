@@ -219,3 +219,36 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.toxicity_score for r in toxicity.scored(docs, toxicity.train(docs, none)).collect()] == [0.0, 0.0]
+
+
+def test_toxicity_scores_equal_a_plain_computation(spark):
+    """Every window compressed with both dictionaries, one after the other."""
+    rng = random.Random(8)
+    texts = [text(rng, rng.randint(5, 90)) + (" zuxotty qwivvle scurvex" if i % 4 == 0 else "") for i in range(240)]
+    model = toxicity.fit([t.encode() for t in texts], np.array([int(i % 4 == 0) for i in range(240)]))
+    rows = [*texts[:40], "", "x", "Zuxotty " * 300, None]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(rows)], "doc_id long, text string, toxicity_score double").repartition(2)
+    got = {r.doc_id: r.toxicity_score for r in toxicity.scored(docs, model).collect()}
+    pairs = [[toxicity._compressor(d, careful) for d in (model.ordinary, model.toxic)] for careful in (False, True)]
+    assert 1 <= model.thresholds[0] < model.thresholds[1] <= toxicity.MOST_GAIN
+    for i, t in enumerate(rows):
+        data = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode()
+        count = max(0, -(-(len(data) - toxicity.WINDOW) // toxicity.STRIDE)) + 1 if data else 0
+        gains = []
+        for k in range(count):
+            window = data[k * toxicity.STRIDE : k * toxicity.STRIDE + toxicity.WINDOW]
+            quick, careful = (len(a.compress(window)) - len(b.compress(window)) for a, b in pairs)
+            if quick >= toxicity.QUICK:
+                gains.append(min(max(careful, 0), toxicity.MOST_GAIN))
+        gains.sort(reverse=True)
+        low, high = (sum(g >= x for g in gains) for x in model.thresholds)
+        features = np.array([(gains + [0, 0])[0], (gains + [0, 0])[1], np.log1p(low), np.log1p(high), np.log1p(count)])
+        z = (features - model.mean) / model.scale @ model.weight[1:] + model.weight[0]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+
+
+def test_toxicity_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.scored(docs, toxicity.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))).count() == 0
+    again = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
+    assert toxicity.scored(again, toxicity.train(again, spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, toxic int"))).count() == 3

@@ -42,7 +42,9 @@ BODY, TOXIC_PART = 4000, 400
 GRAM, LEAST_SHARE, LEAST_RATIO = 6, 0.04, 10
 #: Longer strings that toxic texts share are passages and copies, not what makes them toxic.
 LONGEST_PIECE = 24
-QUICK = 1
+QUICK, MOST_GAIN = 1, 12
+#: Share of ordinary texts at most that may have a window of the upper threshold.
+RARE = 0.005
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,7 +52,7 @@ _LOWER[65:91] += 32
 
 @dataclass
 class Model:
-    """Both dictionaries and the fitted weights; a few kilobytes."""
+    """Both dictionaries, the calibrated thresholds and the fitted weights; a few kilobytes."""
 
     ordinary: bytes
     toxic: bytes
@@ -58,6 +60,7 @@ class Model:
     scale: np.ndarray
     weight: np.ndarray
     constant: float | None = None
+    thresholds: tuple[int, int] = (2, 4)
 
 
 def _compressor(dictionary: bytes, careful: bool) -> zstandard.ZstdCompressor:
@@ -80,7 +83,8 @@ class Scorer:
         self.model = model
         self.quick, self.careful = ([_compressor(d, c) for d in (model.ordinary, model.toxic)] for c in (False, True))
 
-    def features(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def gains(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, gain of its windows, largest first, windows of each row): bytes that the toxic dictionary saves more than the ordinary one, at most 12."""
         size = end - start
         count = np.where(size > 0, np.maximum(-(-(size - WINDOW) // STRIDE), 0) + 1, 0)
         row = np.repeat(np.arange(len(size)), count)
@@ -92,14 +96,17 @@ class Scorer:
         gain = _lengths(data, segments[some], self.careful[0]) - _lengths(data, segments[some], self.careful[1])
         row = row[some]
         order = np.lexsort((-gain, row))
-        row, gain = row[order], np.clip(gain[order], 0, 12)
-        out = np.zeros((len(size), 5))
+        return row[order], np.clip(gain[order], 0, MOST_GAIN), count
+
+    def features(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        row, gain, count = self.gains(buf, start, end)
+        out = np.zeros((len(start), 5))
         head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
         out[row[head], 0] = gain[head]
         second = head[np.concatenate([np.diff(head), [len(row) - head[-1]]]) > 1] + 1 if len(head) else head
         out[row[second], 1] = gain[second]
-        for k, least in ((2, 2), (3, 4)):
-            out[:, k] = np.log1p(np.bincount(row[gain >= least], minlength=len(size)))
+        for k, least in zip((2, 3), self.model.thresholds, strict=True):
+            out[:, k] = np.log1p(np.bincount(row[gain >= least], minlength=len(start)))
         out[:, 4] = np.log1p(count)
         return out
 
@@ -191,6 +198,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def calibrated(row: np.ndarray, gain: np.ndarray, toxic: np.ndarray) -> tuple[int, int]:
+    """The threshold that parts toxic from ordinary texts best, by whether any window reaches it, and a higher one that few ordinary texts reach."""
+    best = np.zeros(len(toxic), np.int64)
+    np.maximum.at(best, row, gain)
+    shares = [((best[toxic] >= t).mean(), (best[~toxic] >= t).mean()) for t in range(1, MOST_GAIN + 1)]
+    low = 1 + int(np.argmax([a - b for a, b in shares[:-1]]))
+    high = next((t for t in range(low + 1, MOST_GAIN) if shares[t - 1][1] <= RARE), MOST_GAIN)
+    return low, high
+
+
 def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     """A model of labelled texts: two of three make the dictionaries, the third the thresholds and weights."""
     none = np.zeros(5)
@@ -200,12 +217,15 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
         return Model(b"", b"", none, none, none, float(len(toxic) > 0 and toxic.all()))
     pick = lambda k: [t for t, p, y in zip(texts, part, toxic, strict=True) if p and y == k]
     ordinary, bad = dictionaries(pick(1), pick(0))
-    scorer = Scorer(Model(ordinary, bad, none, np.ones(5), np.zeros(6)))
+    model = Model(ordinary, bad, none, np.ones(5), np.zeros(6))
+    scorer = Scorer(model)
     rest = [t for t, p in zip(texts, part, strict=True) if not p]
     ends = np.cumsum([len(t) for t in rest])
-    features = scorer.features(np.frombuffer(b"".join(rest), np.uint8), ends - [len(t) for t in rest], ends)
+    block = np.frombuffer(b"".join(rest), np.uint8), ends - [len(t) for t in rest], ends
+    model.thresholds = calibrated(*scorer.gains(*block)[:2], toxic[~part] > 0)
+    features = scorer.features(*block)
     mean, scale = features.mean(0), np.maximum(features.std(0), 1e-6)
-    return Model(ordinary, bad, mean, scale, _logistic((features - mean) / scale, toxic[~part].astype(float)))
+    return Model(ordinary, bad, mean, scale, _logistic((features - mean) / scale, toxic[~part].astype(float)), None, model.thresholds)
 
 
 def held_out(id_col: str) -> F.Column:
