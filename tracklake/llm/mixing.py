@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import prefix_sums, written
@@ -114,19 +114,13 @@ def mix(docs: DataFrame, levels: dict[str, F.Column], weights: dict[tuple, float
     taken = taken.select("_key", *leaf, F.col("_begin").alias("_begin"), F.col("_part").alias("_limit"))
     from_full = keyed.join(table.where("_full > 0").select(*leaf, "_full"), leaf).withColumn("epoch", F.explode(F.expr("sequence(0L, _full - 1)"))).select("_row", *leaf, "_tokens", "epoch", F.col("_tokens").alias("tokens_used"))
     partial = keyed.join(taken, ["_key", *leaf]).join(table.select(*leaf, "_full"), leaf)
-    again = F.row_number().over(_rows_of_key())
+    again = F.row_number().over(Window.partitionBy("_key", *leaf).orderBy("_key"))
     partial = partial.withColumn("_begin", F.col("_begin") + (again - 1) * F.col("_tokens")).where("_begin < _limit")
     partial = partial.select("_row", *leaf, "_tokens", F.col("_full").alias("epoch"), F.least("_tokens", F.col("_limit") - F.col("_begin")).alias("tokens_used"))
     out = from_full.unionByName(partial)
     return out.select(F.col("_row").alias("row"), *[F.when(F.col(f"_{k}") != "\0", F.col(f"_{k}")).alias(k) for k in names], F.col("_tokens").alias("tokens"), "epoch", "tokens_used")
 
 
-def _rows_of_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_key").orderBy("_key")
-
-
 def domain() -> F.Column:
     """The domain of a document: the number of its source modulo four, named."""
     number = F.coalesce(F.regexp_extract(F.col("source"), r"(\d+)", 1).try_cast("int"), F.lit(0))
