@@ -75,3 +75,24 @@ def test_run_and_names(spark, tmp_path):
     out = p.run(spark, str(tmp_path))
     assert out.columns[-2:] == ["shard", "slot"] and out.count() > 50
     assert [name for name, _ in p.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
+
+
+def test_columns_with_odd_names(spark, tmp_path):
+    """Blanks, hyphens and the names that stages use inside don't clash, and come through."""
+    corpus(tmp_path, spark)
+    d = str(tmp_path)
+    extra = ["a b", "a-b", "_id", "row", "toxicity_score", "shard", "hits", "kept"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(40)
+    docs = docs.select("*", *[docs["n_chars"].alias(c) for c in extra]).cache()
+    for stage in (p.drop_toxic, p.drop_near_duplicates, p.drop_contaminated, p.mix_sources):
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and 0 < out.count() <= 40
+    shards = p.write_shards(spark, docs, d)
+    assert shards.columns == [*docs.columns, "new_shard", "slot"] and shards.count() == 40
+
+
+def test_no_documents(spark, tmp_path):
+    corpus(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 0")
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
