@@ -51,3 +51,18 @@ def test_bounds_hold():
     exact = ((q[:, None] - x[None]) ** 2).sum(2)
     assert (least <= exact + 1e-9).mean() > 0.999
     assert np.corrcoef(least.ravel(), exact.ravel())[0, 1] > 0.5
+
+
+def test_repeated_ids_have_lists_of_their_own(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 5.0]), (7, [1.0, 1.0]), (8, [0.0, 4.0]), (None, [1.0, 0.0])]
+    got = n.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "id % 100 = 0").collect()
+    assert sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in got) == [(1, 7, 1.0), (1, 8, 1.0), (2, 7, round(17**0.5, 6)), (2, 8, round(17**0.5, 6)), (3, 100, round(26**0.5, 6)), (3, 100, round(26**0.5, 6))]
+
+
+def test_many_queries_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(n, "COMPARED", 2)
+    x = np.random.default_rng(2).standard_normal((300, 8))
+    got = n.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2), "id % 30 = 0").collect()
+    expected = brute(list(range(300)), x, range(0, 300, 30))
+    hits = sum(r.vec_id in {a for a, _ in expected[r.query_id]} for r in got)
+    assert len(got) == 100 and hits >= 95

@@ -10,12 +10,13 @@ estimate the inner product of the vectors; the estimate's bound, ``BOUND`` stand
 quantisation's largest error, gives the least distance a row can have, and only rows whose least distance reaches
 the tenth best so far are measured on the original vectors. Each partition hands on its best rows per query.
 
-Queries are taken in blocks of ``QUERIES_AT_ONCE``, so that what is sent to tasks is bounded; a partition keeps
-that many times k rows. Scans of codes grow with queries times rows, which exact recall asks for.
+Queries are taken in blocks of ``QUERIES_AT_ONCE``, so that what is sent to tasks is bounded (about 20 MB at 64 components); one pass over the codes
+serves a block, and a task compares the block in parts of ``COMPARED``. A partition keeps k rows for each query of a block. Scans of codes grow with queries
+times rows, which exact recall asks for.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part; ties go to the smaller id; an id that repeats counts by rows, and a query skips all rows of
-its own id; with fewer candidates than k all are returned; other columns are ignored.
+components take no part; ties go to the smaller id; rows without id are neither queries nor candidates, as they could not be told; an id that repeats counts
+by rows: each of its rows has a list of its own, and is a candidate for the others; with fewer candidates than k all are returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import drop_written, written
 
 PLANES, BOUND = 6, 3.5
-QUERIES_AT_ONCE = 1024
+QUERIES_AT_ONCE, COMPARED = 16_384, 1024
 #: Rows of codes compared at once with a block of queries.
 ROWS_AT_ONCE = 512
 
@@ -85,14 +86,14 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
 def _index(batches: Iterator[pa.RecordBatch], size: int, centre: np.ndarray, turn: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         code, radius, inner = encode(_matrix(batch.column("v"), size), centre, turn)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(radius), pa.array(inner)], names=["id", "v", "code", "radius", "inner"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(radius), pa.array(inner)], names=["row", "id", "v", "code", "radius", "inner"])
 
 
 class Search:
     """A block of queries, and the best k rows of each so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> None:
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> None:
+        self.rows, self.vectors, self.k = rows, vectors, k
         y = vectors - centre
         self.radius = np.sqrt((y * y).sum(1))
         q = (y / np.maximum(self.radius, 1e-300)[:, None]) @ turn
@@ -112,7 +113,7 @@ class Search:
     def least(self, code: np.ndarray, radius: np.ndarray, inner: np.ndarray) -> np.ndarray:
         """The least squared distance (queries x rows) that the bounds allow."""
         ones = np.bitwise_count(code).sum(1, dtype=np.int64)
-        weighted = np.zeros((len(self.ids), len(code)), np.int32)
+        weighted = np.zeros((len(self.rows), len(code)), np.int32)
         for j in range(PLANES):
             for word in range(code.shape[1]):
                 weighted += np.bitwise_count(self.planes[j, :, word, None] & code[None, :, word]).astype(np.int32) << j
@@ -122,9 +123,9 @@ class Search:
         upper = np.minimum((dot / np.sqrt(self.d) + self.off[:, None]) / inner + slack, 1)
         return self.radius[:, None] ** 2 + radius**2 - 2 * self.radius[:, None] * radius * upper
 
-    def add(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray, radius: np.ndarray, inner: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, code: np.ndarray, radius: np.ndarray, inner: np.ndarray) -> None:
         least = self.least(code, radius, inner)
-        least[self.ids[:, None] == ids] = np.inf
+        least[self.rows[:, None] == rows] = np.inf
         first = np.argpartition(least, min(self.k, len(ids)) - 1, axis=1)[:, : self.k]
         done = np.zeros(least.shape, bool)
         np.put_along_axis(done, first, True, axis=1)
@@ -151,43 +152,48 @@ class Search:
 
 
 def _search(batches: Iterator[pa.RecordBatch], block: tuple, size: int, centre: np.ndarray, turn: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    search = Search(*block, centre, turn, k)
+    parts = [Search(*(x[i : i + COMPARED] for x in block), centre, turn, k) for i in range(0, len(block[0]), COMPARED)]
     for batch in batches:
-        ids, x = batch.column("id").to_numpy(), _matrix(batch.column("v"), size)
+        rows, ids, x = batch.column("row").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("v"), size)
         code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint64).reshape(len(ids), -1)
         radius, inner = (batch.column(c).to_numpy() for c in ("radius", "inner"))
         for i in range(0, len(ids), ROWS_AT_ONCE):
             s = slice(i, i + ROWS_AT_ONCE)
-            search.add(ids[s], x[s], code[s], radius[s], inner[s])
-    query, place = np.nonzero(np.isfinite(search.best))
-    yield pa.RecordBatch.from_arrays([pa.array(search.ids[query]), pa.array(search.who[query, place]), pa.array(search.best[query, place])], names=["query_id", "vec_id", "score"])
+            for search in parts:
+                search.add(rows[s], ids[s], x[s], code[s], radius[s], inner[s])
+    for search in parts:
+        query, place = np.nonzero(np.isfinite(search.best))
+        yield pa.RecordBatch.from_arrays([pa.array(search.rows[query]), pa.array(search.who[query, place]), pa.array(search.best[query, place])], names=["query_row", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each row for which ``is_query`` (SQL over id) holds."""
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_row long, vec_id long, score double"
     rows, size = usable(vectors, id_col, vector_col)
     if not size:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     centre, turn = centre_of(rows, size), rotation(size)
-    index = written(rows.mapInArrow(lambda b: _index(b, size, centre, turn), "id long, v array<double>, code binary, radius double, inner double"), "codes")
-    queries = index.where(is_query).select("id", "v")
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "v")  # written below, so that a row keeps its number
+    index = written(numbered.mapInArrow(lambda b: _index(b, size, centre, turn), "row long, id long, v array<double>, code binary, radius double, inner double"), "codes")
+    queries = index.where(is_query).select("row", "v")
     blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
     found = []
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).distinct().collect()
+        part = queries.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).collect()
         if part:
-            block = spark.sparkContext.broadcast((np.array([r.id for r in part]), np.array([r.v for r in part])))
+            block = spark.sparkContext.broadcast((np.array([r.row for r in part]), np.array([r.v for r in part])))
             found.append(written(index.mapInArrow(lambda x, q=block: _search(x, q.value, size, centre, turn, k), schema), "near"))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    out = every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    drop_written(index)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
+    best = written(every.withColumn("rank", rank).where(F.col("rank") <= k), "nearest")
+    names = index.where(is_query).select(F.col("row").alias("query_row"), F.col("id").alias("query_id"))
+    out = written(best.join(names, "query_row").select("query_id", "rank", "vec_id", "score"), "neighbours")
+    drop_written(index, best, *found)
     return out
 
 
