@@ -82,7 +82,7 @@ def budgets(supply: dict[tuple, int], weights: dict[tuple, float], total: int, e
 
 def words(text: F.Column) -> F.Column:
     """Tokens of a text for budgets: its words."""
-    return F.size(F.expr("filter(split(_text, '[ \\\\t-\\\\r]+'), x -> x != '')")).cast("long")
+    return F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long")
 
 
 def mix(docs: DataFrame, levels: dict[str, F.Column], weights: dict[tuple, float], share: float, epochs: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
