@@ -82,3 +82,34 @@ def test_empty_table_and_query(spark, tmp_path):
     rows = r.op10_suffix_dedup(spark, str(tmp_path)).collect()
     assert sorted((x.n_bytes, x.n_removed, x.n_spans) for x in rows) == [(0, 0, 0)] + [(1000, 1000, 1)] * 3
     assert {x.kept_sha256 for x in rows} == {hashlib.sha256(b"").hexdigest()}
+
+
+@pytest.mark.parametrize(("words", "run"), [(12, 7), (9, 9)])
+def test_passages_are_found(spark, words, run):
+    """All texts that share a window of words have some, texts that share no run have none."""
+    rng = random.Random(words)
+    one = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 3)))
+    texts = [[one() for _ in range(rng.randint(0, 60))] for _ in range(40)]
+    for _ in range(25):
+        i, j = rng.randrange(40), rng.randrange(40)
+        at = rng.randrange(len(texts[j]) + 1)
+        texts[j][at:at] = texts[i][: rng.randint(5, 30)]
+    texts += [["x"] * 40, ["ab", "c"] * 30, texts[3], [], [one() for _ in range(300)]]
+    rows = [(i, rng.choice((" ", "\n ")).join(t), 7) for i, t in enumerate(texts)] + [(90, None, 7), (91, " ", 7), (None, " ".join(texts[5]), 7), (None, " ".join(texts[5]), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_passages int").repartition(3)
+    got = r.remove_repeats(docs, passages=r.repeated_passages(docs, words=words, run=run)).collect()
+    split = [(i, (t or "").split()) for i, t, _ in rows]
+
+    def shared(size):
+        seen = {}
+        for _, w in split:
+            for p in range(len(w) - size + 1):
+                seen[tuple(w[p : p + size])] = seen.get(tuple(w[p : p + size]), 0) + 1
+        return {i: sum(seen[tuple(w[p : p + size])] > 1 for p in range(len(w) - size + 1)) for i, w in split if i is not None}
+
+    known, surely, maybe = {x.doc_id: x.n_passages for x in got if x.doc_id is not None}, shared(words), shared(run)
+    assert len(got) == len(rows) and any(surely.values()) and not all(maybe.values())
+    for i in known:
+        assert known[i] > 0 or not surely[i]
+        assert known[i] <= maybe[i]
+        assert words > run or known[i] == surely[i]

@@ -45,6 +45,12 @@ class Powers:
 _powers = Powers()
 
 
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first ``n`` powers of the step, or of its inverse."""
+    _powers.need(n + 1)
+    return (_powers.down if inverse else _powers.up)[:n]
+
+
 def byte_table(seed: int, lower: bool) -> np.ndarray:
     """A random 64-bit value for each byte; with ``lower``, A-Z have the values of a-z."""
     table = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)

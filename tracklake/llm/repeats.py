@@ -17,8 +17,12 @@ whole corpus would not divide over tasks, so the windows are divided first, with
 4. Groups of more than ``GROUP_CONTEXTS`` different contexts don't go to one task: their windows are
    counted by hash instead, which is exact too.
 
+Strings of 400 bytes say nothing of shorter passages. :func:`repeated_passages` reports those by words beside the removal, without
+removing anything: of each window of ``PASSAGE`` words the run of ``RUN`` words with the least hash is kept, which equal windows share, and the kept runs that
+also stand elsewhere are counted. About two words in nineteen start a kept run.
+
 Defined cases: a null text is empty; texts shorter than a window lose nothing; a row given twice repeats
-all its windows, whatever its id, null included; other columns are ignored.
+all its windows, whatever its id, null included; very long texts are scanned in pieces that overlap by a window; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +34,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytescan as bs
 from .shared import drop_written, small_batches, written
 
 LENGTH, ANCHOR = 400, 32
+#: Words of a passage that is reported for sure, and of the runs by which passages find one another.
+PASSAGE, RUN = 50, 32
 #: Different contexts of an anchor that one task takes; bytes of contexts that it sorts at once.
 GROUP_CONTEXTS, BATCH_BYTES = 4096, 1 << 20
 #: Bytes of a text scanned at once.
@@ -287,7 +294,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = gathered.where("large").mapInArrow(lambda b: _windows(b, length), "h1 long, h2 long, key long, span long, n long")
     again = written(windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "again")
     hit = windows.where("n = 1").join(again, ["h1", "h2"]).select("key", "span")
-    spans = known.union(whole).union(part).union(hit).groupBy("key").agg(F.collect_list("span").alias("spans"))
+    # a set: rows that are equal share a key, and each brings the same spans
+    spans = known.union(whole).union(part).union(hit).groupBy("key").agg(F.collect_set("span").alias("spans"))
     out = written(spans, "spans")
     drop_written(every, seen, found, classes, large, gathered, again)
     return out
@@ -312,24 +320,67 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts.append(spans[:, 0])
             stops.append(spans[:, 1])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64()))],
-            names=["id", "n_bytes", "kept", "starts", "ends"],
+            [batch.column("id"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), batch.column("n_passages")],
+            names=["id", "n_bytes", "kept", "starts", "ends", "n_passages"],
         )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passages: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_bytes, kept binary, starts, ends), the bytes that stay and
-    the spans [start, end) that were removed."""
+    the spans [start, end) that were removed; n_passages, by the table of :func:`repeated_passages` where it is given."""
     spans = repeated_spans(docs, id_col, text_col, length)
-    keyed = _keyed(docs, id_col, text_col).join(spans, "key", "left").select("id", "text", "spans")
-    kind = docs.schema[id_col].dataType.simpleString()
-    return keyed.mapInArrow(_remove, f"id {kind}, n_bytes long, kept binary, starts array<long>, ends array<long>").withColumnRenamed("id", id_col)
+    keyed = _keyed(docs, id_col, text_col).join(spans, "key", "left")
+    beside = F.lit(0).cast("long") if passages is None else F.coalesce("n_passages", F.lit(0))
+    if passages is not None:
+        keyed = keyed.join(passages.hint("merge"), "key", "left")  # in the order of the join before
+    kind = docs.schema[id_col].dataType
+    out = keyed.select("id", "text", "spans", beside.alias("n_passages"))
+    schema = T.StructType([T.StructField("id", kind)]).add("n_bytes", "long").add("kept", "binary").add("starts", T.ArrayType(T.LongType())).add("ends", T.ArrayType(T.LongType())).add("n_passages", "long")
+    return out.mapInArrow(_remove, schema).withColumnRenamed("id", id_col)
+
+
+def _passages(batches: Iterator[pa.RecordBatch], words: int, run: int) -> Iterator[pa.RecordBatch]:
+    """Of all runs of ``run`` words inside each window of ``words`` words, the one of least hash, the leftmost of equals; each place once."""
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        for block in bs.blocks(batch.column("text"), most_rows=1 << 14):
+            w = bs.words(block, bs.NOT_SPACE)
+            h = bs.run_hash(bs.prefix(block.buf, _TABLE), w.start, w.end)
+            n, width = len(h), words - run + 1
+            full = np.flatnonzero(np.arange(n) - np.repeat(w.first, w.count) + words <= np.repeat(w.count, w.count))
+            if not len(full):
+                continue
+            total = np.concatenate([[bs.U64(0)], np.cumsum(h * bs.powers(n), dtype=bs.U64)])
+            runs = bs.mix((total[run:] - total[:-run]) * bs.powers(n - run + 1, inverse=True), 31)
+            least, at = runs[full], full.copy()
+            for step in range(1, width):
+                other = runs[full + step]
+                better = other < least
+                least, at = np.where(better, other, least), np.where(better, full + step, at)
+            at = np.unique(at)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[block.first + w.row[at]]), pa.array(runs[at].view(np.int64))], names=["key", "h"])
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE, run: int = RUN) -> DataFrame:
+    """Rows (key, n_passages): how many runs of ``run`` words, chosen by their hashes, a text shares with another place.
+
+    Every passage of at least ``words`` words (between blanks, as they are) that also stands elsewhere has one, as both places choose alike; texts that share no
+    ``run`` words have none.
+    """
+    small_batches(docs.sparkSession)
+    texts = _keyed(docs, id_col, text_col).select("key", "text")
+    every = written(texts.mapInArrow(lambda b: _passages(b, words, run), "key long, h long"), "passages")
+    again = written(every.groupBy("h").count().where("count > 1").select("h"), "again")
+    out = written(every.join(again, "h").groupBy("key").agg(F.count("*").alias("n_passages")), "passage-counts")
+    drop_written(every, again)
+    return out
 
 
 def op10_suffix_dedup(spark, sf_dir):
-    """What 400-byte repeats leave of every document."""
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """What 400-byte repeats leave of every document, and its passages of 50 words that are also found elsewhere."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = remove_repeats(docs, passages=repeated_passages(docs))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
