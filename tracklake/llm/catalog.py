@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import archives, decontaminate, lines, minhash, mixing, neighbours, packing, repeats, resharding, toxicity
+from . import archives, codes, decontaminate, divergence, langid, lines, minhash, mixing, neighbours, packing, repeats, resharding, toxicity
 
-MODULES = [minhash, packing, decontaminate, archives, mixing, toxicity, neighbours, resharding, lines, repeats]
+MODULES = [minhash, packing, decontaminate, archives, mixing, toxicity, neighbours, resharding, lines, repeats, divergence, codes, langid]
 
 
 def queries() -> dict:
