@@ -43,6 +43,17 @@ def test_decode_request_tells_what_is_missing(spark):
     nothing = K.decode_request(samples(spark, empty=range(6)), tracks, K.Targets(positions=(1,)))[1]
     assert [r.code for r in nothing.collect()] == ["video_request.missing_packet_data"]
     assert [r.code for r in K.decode_request(samples(spark), tracks, K.Targets(limit=0))[1].collect()] == ["video_request.empty_targets"]
+    whole, notes = K.decode_request(samples(spark), tracks, K.Targets())
+    assert whole.count() == 6 and not notes.collect()
+    some, notes = K.decode_request(samples(spark), tracks, K.Targets(), most_packets=4)
+    assert some.count() == 4 and [(r.code, r.message) for r in notes.collect()] == [("video_request.truncated", "only the first 4 packets are taken, 2 are not")]
+
+
+def test_long_ranges_are_told(spark):
+    chosen = spark.createDataFrame([("a", 0), ("a", 400_000_000), ("b", 5)], "track_id string, pts_us long")
+    assert not K.audio_range(chosen).where("too_long").collect()
+    ranges = K.audio_range(chosen, most_us=300_000_000)
+    assert [(r.code, r.message) for r in K.range_errors(ranges).collect()] == [("audio_request.range_too_long", "400.0 seconds")]
 
 
 def test_filters_equal_a_plain_loop(spark):

@@ -36,10 +36,21 @@ def test_bytes_of_whole_texts(spark, tmp_path):
         data, t = (text or "").encode(), re.sub("[^a-z ]", "x", text or "")
         assert got["g711_ulaw"][i].total == sum(map(linear, data))
         units = [t[k : k + 20].encode().hex() for k in range(0, len(t), 20)]
-        assert (i in got["annexb_split"]) == (i in got["length_prefix"]) == bool(t)
-        if t:
-            assert (got["annexb_split"][i].n_units, got["annexb_split"][i].units) == (len(units), units)
-            assert got["length_prefix"][i].data == (len(t).to_bytes(4, "big") + t.encode()).hex()
-        assert (i in got["adts_strip"]) == (len(data) > 2)
-        if len(data) > 2:
-            assert got["adts_strip"][i].raw == data[0 if i % 2 == 0 else 2 :].hex()
+        assert (got["annexb_split"][i].n_units, got["annexb_split"][i].units) == (len(units), units)
+        assert got["length_prefix"][i].data == ((len(t).to_bytes(4, "big") + t.encode()).hex() if t else None)
+        head, skip = (b"\xff\xf1\x50\x80\x00\x00\xfc", 0) if i % 2 == 0 else (b"\xff\xf0\x50\x80\x00\x00\xfc", 2)
+        assert got["adts_strip"][i].raw == (data[skip:] if len(data) > skip else head + data).hex()
+
+
+def test_pictures_and_pages_whole(spark, tmp_path):
+    texts = ["", None, "é" * 100, "a" * 256, "b" * 257, "€😀\n" * 500]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.doc_id, r.picture): r.y for r in catalog.QUERIES["q_nv12_to_i420"](spark, str(tmp_path)).collect()}
+    whole = {i: (t or "").encode() for i, t in enumerate(texts)}
+    assert {k: max(p for i, p in got if i == k) + 1 for k in whole} == {i: max(1, -(-len(b) // 256)) for i, b in whole.items()}
+    for (i, p), y in got.items():
+        data = whole[i][256 * p : 256 * p + 256].ljust(256, b"\0")
+        assert y == b"".join(data[32 * r : 32 * r + 7] for r in range(5)).hex()
+    shown = {r.page_id: r.n for r in catalog.QUERIES["q_printable"](spark, str(tmp_path)).collect()}
+    assert shown == {i: None if t is None else len(whole[i]) for i, t in enumerate(texts)}

@@ -443,30 +443,37 @@ def _(spark, d):
 
 # --- packets
 
-_TEXT = "regexp_replace(text, '[^a-z ]', 'x', 'g')"
+_TEXT = "regexp_replace(coalesce(text, ''), '[^a-z ]', 'x', 'g')"
+_HEX = "lower(hex(encode(coalesce(text, ''))))"
 
 
-@query("q_annexb_split", f"WITH t AS (SELECT doc_id, regexp_extract_all({_TEXT}, '.{{1,20}}') AS u FROM documents WHERE len(text) > 0) SELECT doc_id, len(u)::INT AS n_units, list_transform(u, lambda x: lower(hex(encode(x)))) AS units FROM t")
+def plain_texts(spark, d) -> DataFrame:
+    """Every document with its text in small letters, spaces and x; null texts are empty."""
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z ]", "x").alias("t"))
+
+
+@query("q_annexb_split", f"WITH t AS (SELECT doc_id, regexp_extract_all({_TEXT}, '.{{1,20}}') AS u FROM documents) SELECT doc_id, len(u)::INT AS n_units, list_transform(u, lambda x: lower(hex(encode(x)))) AS units FROM t")
 def _(spark, d):
     """A start code before every 20 characters of a text; the units as hex, in order."""
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "x").alias("t")).where("length(t) > 0")
     data = F.concat(F.encode(F.regexp_replace("t", "(?s)(.{1,20})", "\x00\x00\x00\x01$1"), "utf-8"), F.lit(b"\x00\x00"))
-    out = docs.select("doc_id", N.annexb_nals(data).alias("u"))
+    out = plain_texts(spark, d).select("doc_id", N.annexb_nals(data).alias("u"))
     return out.select("doc_id", F.size("u").alias("n_units"), F.transform("u", lambda u: F.lower(F.hex(u))).alias("units"))
 
 
-@query("q_length_prefix", f"WITH t AS (SELECT doc_id, {_TEXT} AS t FROM documents) SELECT doc_id, printf('%08x', len(t)) || lower(hex(encode(t))) AS data FROM t WHERE len(t) > 0")
+@query("q_length_prefix", f"WITH t AS (SELECT doc_id, {_TEXT} AS t FROM documents) SELECT doc_id, CASE WHEN len(t) > 0 THEN printf('%08x', len(t)) || lower(hex(encode(t))) END AS data FROM t")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "x").alias("t")).where("length(t) > 0")
+    """One unit a text; an empty one makes no unit, and no unit has no length."""
     data = F.concat(F.lit(b"\x00\x00\x01"), F.encode("t", "utf-8"))
-    return docs.select("doc_id", F.lower(F.hex(N.length_prefixed(N.annexb_nals(data)))).alias("data"))
+    return plain_texts(spark, d).select("doc_id", F.lower(F.hex(N.length_prefixed(N.annexb_nals(data)))).alias("data"))
 
 
-@query("q_adts_strip", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(hex(encode(text))) ELSE lower(hex(encode(text))[5:]) END AS raw FROM documents WHERE strlen(text) > 2")
+@query("q_adts_strip", f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN len({_HEX}) > 0 THEN {_HEX} ELSE 'fff150800000fc' END
+  WHEN len({_HEX}) > 4 THEN {_HEX}[5:] ELSE 'fff050800000fc' || {_HEX} END AS raw FROM documents""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where("octet_length(text) > 2")
+    """Headers without and with a checksum; what is too short for the header it tells stays as it is."""
     head = F.when(F.col("doc_id") % 2 == 0, F.lit(b"\xff\xf1\x50\x80\x00\x00\xfc")).otherwise(F.lit(b"\xff\xf0\x50\x80\x00\x00\xfc"))
-    return docs.select("doc_id", F.lower(F.hex(N.without_adts(F.concat(head, F.encode("text", "utf-8"))))).alias("raw"))
+    data = F.concat(head, F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    return table(spark, d, "documents").select("doc_id", F.lower(F.hex(N.without_adts(data))).alias("raw"))
 
 
 @query("q_bitstream_format", f"""WITH b AS (SELECT doc_id, lang, {_PREFIX} || hex(encode(text)) AS h FROM documents), f AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'video' ELSE 'audio' END AS kind, CASE WHEN lang IN ('de', 'en') THEN 'aac' ELSE 'mp3' END AS family, {_SNIFFED} AS container FROM b)

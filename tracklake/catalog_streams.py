@@ -82,32 +82,38 @@ def _(spark, d):
 # --- pictures and sound
 
 def pictures(spark, d) -> DataFrame:
-    """Buffers of 7 x 5 pictures with 32 bytes a row: 5 rows of luma, then 3 of blue and red in turn, taken from texts of 256 bytes and more."""
-    data = F.encode("text", "utf-8")
-    return table(spark, d, "documents").where("octet_length(text) >= 256").select("doc_id", data.alias("data"))
+    """Buffers of 7 x 5 pictures with 32 bytes a row: 5 rows of luma, then 3 of blue and red in turn. A text makes as many as it fills, the last one (or, without
+    text, the only one) filled up with zeros."""
+    docs = table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("t"))
+    each = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("t") / 256)).cast("int") - 1)
+    rows = docs.select("doc_id", F.posexplode(F.transform(each, lambda i: F.substring("t", i * 256 + 1, F.lit(256)))).alias("picture", "t"))
+    return rows.select("doc_id", "picture", F.rpad("t", F.lit(256), F.lit(b"\0")).alias("data"))
 
 
-_PLANES = "WITH h AS (SELECT doc_id, lower(hex(encode(text))) AS h FROM documents WHERE strlen(text) >= 256), p AS (SELECT doc_id, " + " || ".join(f"h[{64 * r + 1}:{64 * r + 14}]" for r in range(5)) + " AS y, " + " || ".join(f"h[{320 + 64 * r + 4 * i + 1}:{320 + 64 * r + 4 * i + 2}]" for r in range(3) for i in range(4)) + " AS u, " + " || ".join(f"h[{320 + 64 * r + 4 * i + 3}:{320 + 64 * r + 4 * i + 4}]" for r in range(3) for i in range(4)) + " AS v FROM h)"
+_CUT = lambda row, at: f"h[{64 * row + 2 * at + 1}:{64 * row + 2 * at + 2}]"
+_PLANES = f"""WITH b AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents), n AS (SELECT doc_id, h, unnest(range(greatest(1, (len(h) + 511) // 512))) AS picture FROM b),
+h AS (SELECT doc_id, picture::INT AS picture, rpad(h[picture * 512 + 1 : picture * 512 + 512], 512, '0') AS h FROM n),
+p AS (SELECT doc_id, picture, {" || ".join(f"h[{64 * r + 1}:{64 * r + 14}]" for r in range(5))} AS y, {" || ".join(_CUT(5 + r, 2 * i) for r in range(3) for i in range(4))} AS u, {" || ".join(_CUT(5 + r, 2 * i + 1) for r in range(3) for i in range(4))} AS v FROM h)"""
 
 
 @query("q_nv12_to_i420", f"{_PLANES} SELECT * FROM p")
 def _(spark, d):
     lit = F.lit
     got = planes.nv12_to_i420(F.col("data"), (lit(0), lit(32)), (lit(160), lit(32)), lit(7), lit(5))
-    rows = pictures(spark, d).select("doc_id", got.alias("p"))
-    return rows.select("doc_id", *[F.lower(F.hex(F.col(f"p.{k}"))).alias(k) for k in "yuv"])
+    rows = pictures(spark, d).select("doc_id", "picture", got.alias("p"))
+    return rows.select("doc_id", "picture", *[F.lower(F.hex(F.col(f"p.{k}"))).alias(k) for k in "yuv"])
 
 
-@query("q_i420_pack", f"{_PLANES} SELECT doc_id, y || u || v AS packed, true AS same, doc_id::VARCHAR || '.yuv' AS file_name, 59::BIGINT AS n_bytes FROM p")
+@query("q_i420_pack", f"{_PLANES} SELECT doc_id, picture, y || u || v AS packed, true AS same, doc_id::VARCHAR || '.yuv' AS file_name, 59::BIGINT AS n_bytes FROM p")
 def _(spark, d):
     """Planes packed into a file, told as an export, and cut out again."""
     lit = F.lit
     got = planes.nv12_to_i420(F.col("data"), (lit(0), lit(32)), (lit(160), lit(32)), lit(7), lit(5))
-    rows = pictures(spark, d).select("doc_id", got.alias("p"))
-    rows = rows.select("doc_id", "p", planes.yuv_file(F.col("doc_id"), F.col("p"), lit(7), lit(5), lit(0)).alias("f"))
+    rows = pictures(spark, d).select("doc_id", "picture", got.alias("p"))
+    rows = rows.select("doc_id", "picture", "p", planes.yuv_file(F.col("doc_id"), F.col("p"), lit(7), lit(5), lit(0)).alias("f"))
     note = planes.export_note(F.col("f"))
     again = planes.i420_planes(F.col("f.data"), lit(7), lit(5))
-    return rows.select("doc_id", F.lower(F.hex("f.data")).alias("packed"), (again == F.col("p")).alias("same"), F.get_json_object(note, "$.fileName").alias("file_name"), F.get_json_object(note, "$.byteLength").cast("long").alias("n_bytes"))
+    return rows.select("doc_id", "picture", F.lower(F.hex("f.data")).alias("packed"), (again == F.col("p")).alias("same"), F.get_json_object(note, "$.fileName").alias("file_name"), F.get_json_object(note, "$.byteLength").cast("long").alias("n_bytes"))
 
 
 @query("q_effect_chain", """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 0.5) AS x FROM embeddings), n AS (SELECT vec_id, x, list_transform(range(0, len(x) // 2 + len(x) % 2), lambda i: x[2 * i + 1]) AS y FROM s)
@@ -225,10 +231,14 @@ def _(spark, d):
     return views.select("track_id", "source_type", "base_offset", F.length("data").cast("long").alias("n_bytes"), F.md5(F.lower(F.hex("data"))).alias("digest"))
 
 
-@query("q_printable", r"SELECT page_id, strlen(regexp_replace(html, '[^\x20-\x7e]', '.', 'g'))::BIGINT AS n, md5(regexp_replace(html, '[^\x20-\x7e]', '.', 'g')) AS digest FROM pages WHERE strlen(html) = length(html)")
+#: Every byte of a character beyond ASCII is a point.
+_POINTS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[\x{80}-\x{7ff}]', '..', 'g'), '[\x{800}-\x{ffff}]', '...', 'g'), '[\x{10000}-\x{10ffff}]', '....', 'g'), '[^\x20-\x7e]', '.', 'g')"
+
+
+@query("q_printable", f"SELECT page_id, strlen({_POINTS})::BIGINT AS n, md5({_POINTS}) AS digest FROM pages")
 def _(spark, d):
-    """The text beside a hex view, of pages of plain ASCII."""
-    rows = table(spark, d, "pages").where("octet_length(html) = length(html)").select("page_id", K.printable(F.encode("html", "utf-8")).alias("t"))
+    """The text beside a hex view, of whole pages."""
+    rows = table(spark, d, "pages").select("page_id", K.printable(F.encode("html", "utf-8")).alias("t"))
     return rows.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 

@@ -17,9 +17,6 @@ from tracklake.functions import pcm as P
 from tracklake.functions import writers as W
 from tracklake.operators import timeline as T
 
-#: Packets of pictures that one request decodes at once, and the longest stretch of sound, in microseconds.
-MOST_PACKETS, MOST_AUDIO_US = 7_200, 300_000_000
-
 
 def normalised(streams: DataFrame, *keep: str) -> DataFrame:
     """Tracks of streams (source_id, format, kind, source_track, index, codec, family, config, duration_ms, rate, channels, width, height, fps, ...).
@@ -132,10 +129,10 @@ def target_samples(samples: DataFrame, t: Targets) -> DataFrame:
     return rows.withColumn("is_target", hit).drop("_first")
 
 
-def decode_request(samples: DataFrame, tracks: DataFrame, targets: Targets) -> tuple[DataFrame, DataFrame]:
+def decode_request(samples: DataFrame, tracks: DataFrame, targets: Targets, most_packets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(packets to decode, diagnostics) for the targets of each track: all from the last key sample before a target to it.
 
-    At most ``MOST_PACKETS`` of a track are kept, the first in decode order, and the rest is told as a warning.
+    With ``most_packets`` only so many of a track are kept, the first in decode order, and a warning tells how many are not; a player that decodes at once takes 7,200.
     """
     marked = target_samples(samples, targets)
     needed = T.gop_closure(marked)
@@ -149,21 +146,32 @@ def decode_request(samples: DataFrame, tracks: DataFrame, targets: Targets) -> t
     notes = told("targets = 0", "video_request.empty_targets", "warning", F.lit("no sample matches"))
     notes = notes.unionByName(told("orphans > 0", "video_request.no_preceding_keyframe", "warning", F.concat(F.col("orphans").cast("string"), F.lit(" targets before any key sample"))))
     notes = notes.unionByName(told("targets > 0 and packets = 0", "video_request.missing_packet_data", "error", F.lit("the samples have no bytes")))
-    notes = notes.unionByName(told(f"packets > {MOST_PACKETS}", "video_request.truncated", "warning", F.lit(f"only the first {MOST_PACKETS} packets are taken")))
-    return packets.where(F.col("n") <= MOST_PACKETS), notes
+    if most_packets is None:
+        return packets, notes
+    left_out = F.concat(F.lit(f"only the first {most_packets} packets are taken, "), (F.col("packets") - most_packets).cast("string"), F.lit(" are not"))
+    return packets.where(F.col("n") <= most_packets), notes.unionByName(told(f"packets > {most_packets}", "video_request.truncated", "warning", left_out))
+
 
+def audio_range(selected: DataFrame, end_us: int | None = None, most_us: int | None = None) -> DataFrame:
+    """(track_id, start_us, end_us, too_long) that decoding a selection of sound covers; without an end, up to the last selected time.
 
-def audio_range(selected: DataFrame, end_us: int | None = None) -> DataFrame:
-    """(track_id, start_us, end_us) that decoding a selection of sound covers; without an end, up to the last selected time."""
+    ``too_long`` marks ranges of more than ``most_us``, which :func:`range_errors` tells; a player takes 300 seconds.
+    """
     last = F.max("pts_us") if end_us is None else F.lit(end_us).cast("long")
     rows = selected.groupBy("track_id").agg(F.min("pts_us").alias("start_us"), last.alias("end_us"))
-    return rows.withColumn("too_long", F.col("end_us") - F.col("start_us") > MOST_AUDIO_US)
+    return rows.withColumn("too_long", F.lit(False) if most_us is None else F.col("end_us") - F.col("start_us") > most_us)
+
+
+def range_errors(ranges: DataFrame) -> DataFrame:
+    """(source_id, severity, code, message) of the ranges of sound that are too long to be decoded at once."""
+    seconds = F.round((F.col("end_us") - F.col("start_us")) / 1e6, 3).cast("string")
+    return T.diagnostics(ranges.where("too_long"), "audio_request.range_too_long", "error", F.concat(seconds, F.lit(" seconds")), F.col("track_id"))
 
 
 def g711_clips(packets: DataFrame, ranges: DataFrame, rate: int = 8000, channels: int = 1, law: str = "ulaw") -> DataFrame:
     """(track_id, planes array<array<double>>, pts_us) of G.711 packets (track_id, pts_us, data): side by side, as floats, cut to each track's range.
 
-    A track's range is bounded by ``MOST_AUDIO_US``; longer ones have no row.
+    Ranges that are ``too_long`` have no row here but one in :func:`range_errors`.
     """
     decode = B.ulaw_to_pcm16 if law == "ulaw" else B.alaw_to_pcm16
     near = packets.join(ranges.where("not too_long"), "track_id").where("pts_us < end_us")
