@@ -10,9 +10,10 @@ from .functions import bitstream as N
 from .functions import bytesql as B
 from .functions import writers as W
 from .operators import timeline as T
+from .plans import workflows as flows
 from .registry import EV, ev, query, table
 from .sources import audio as A
-from .sources import flv, mp4, transport
+from .sources import flv, mp4, transport, walk
 from .sources import media as M
 
 #: Rows of a track that one file holds.
@@ -145,9 +146,10 @@ def _(spark, d):
     tables = F.concat(_padded(pat, 0, True), _padded(pmt, 256, True))
     pes = F.concat(F.lit(b"\0\0\1"), F.when(key, F.lit(b"\xe0")).otherwise(F.lit(b"\xc0")), F.lit(b"\0\0\x80\x80\5"), W.stamp33(ticks), F.lit(b"data"))
     packet = F.concat(F.when(F.col("k") == 0, tables).when((F.col("k") > 10) & (F.col("k") % 7 == 0), F.lit(b"\xff")).otherwise(F.lit(b"")), _padded(pes, F.when(key, 257).otherwise(258), True))
-    packets = M.ts_packets(files(parts(spark, d).withColumn("packet", packet), "packet"))
-    found = transport.streams(packets).select("source_id", "pid", "stream_type", "stream_name", "codec")
-    return M.ts_pes(packets).join(found, ["source_id", "pid"]).select(track(), "pid", "stream_type", "stream_name", "codec", "pts_us")
+    rows = flows.Walk(files(parts(spark, d).withColumn("packet", packet), "packet"), ("mpegts",)).rows
+    told = transport.streams(flows.sections_of(rows)).select("source_id", F.col("pid").alias("track"), "stream_type", "stream_name", "codec")
+    pes = M.pes_times(rows.where("what = 'pes'")).join(told, ["source_id", "track"])
+    return pes.select(track(), F.col("track").alias("pid"), "stream_type", "stream_name", "codec", "pts_us")
 
 
 @query("q_track_spans", f"WITH {EV} SELECT track_id::VARCHAR AS source_id, CASE WHEN is_key THEN 257 ELSE 258 END::BIGINT AS pid, count(*) AS n, CASE WHEN count(*) >= 2 THEN max(pts) - min(pts) END AS duration_us FROM ev GROUP BY ALL")
@@ -273,17 +275,17 @@ def _(spark, d):
 
 # --- units
 
-_PIECES = "regexp_extract_all(regexp_replace(text, '[^a-z ]', 'x', 'g'), '.{1,20}')"
+_PIECES = "regexp_extract_all(regexp_replace(coalesce(text, ''), '[^a-z ]', 'x', 'g'), '.{1,20}')"
 
 
 def pieces(spark, d) -> DataFrame:
-    """The units of each text: its pieces of 20 characters."""
-    t = F.regexp_replace("text", "[^a-z ]", "x")
+    """The units of each text: its pieces of 20 characters; none for null and empty texts."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z ]", "x")
     units = F.transform(F.regexp_extract_all(t, F.lit("(.{1,20})"), 1), lambda p: F.encode(p, "utf-8"))
-    return table(spark, d, "documents").where("length(text) > 0").select("doc_id", units.alias("units"))
+    return table(spark, d, "documents").select("doc_id", units.alias("units"))
 
 
-@query("q_avcc_to_annexb", f"WITH u AS (SELECT doc_id, {_PIECES} AS u FROM documents WHERE len(text) > 0) SELECT doc_id, md5(array_to_string(list_transform(u, lambda x: '00000001' || lower(hex(encode(x)))), '')) AS codes, md5(array_to_string(list_transform(u, lambda x: printf('%08x', len(x)) || lower(hex(encode(x)))), '')) AS lengths FROM u")
+@query("q_avcc_to_annexb", f"WITH u AS (SELECT doc_id, {_PIECES} AS u FROM documents) SELECT doc_id, CASE WHEN len(u) > 0 THEN md5(array_to_string(list_transform(u, lambda x: '00000001' || lower(hex(encode(x)))), '')) END AS codes, CASE WHEN len(u) > 0 THEN md5(array_to_string(list_transform(u, lambda x: printf('%08x', len(x)) || lower(hex(encode(x)))), '')) END AS lengths FROM u")
 def _(spark, d):
     """Packets with lengths made ones with start codes, and back."""
     from .operators import packets as K
@@ -294,18 +296,18 @@ def _(spark, d):
     return rows.select("doc_id", *[F.md5(F.lower(F.hex(k))).alias(k) for k in ("codes", "lengths")])
 
 
-@query("q_unit_rows", f"""WITH u AS (SELECT doc_id, {_PIECES} AS u FROM documents WHERE len(text) > 0), e AS (SELECT doc_id, unnest(u) AS x, generate_subscripts(u, 1) - 1 AS n FROM u)
+@query("q_unit_rows", f"""WITH u AS (SELECT doc_id, {_PIECES} AS u FROM documents), e AS (SELECT doc_id, unnest(u) AS x, generate_subscripts(u, 1) - 1 AS n FROM u)
 SELECT doc_id, n::BIGINT AS n, (ascii(x) & 31)::BIGINT AS kind, lower(hex(encode(x))) AS payload FROM e""")
 def _(spark, d):
     rows = pieces(spark, d).select("doc_id", N.length_prefixed(F.col("units"), 2).alias("data"))
     return N.unit_rows(rows, "data", size=2).select("doc_id", F.col("n").cast("long").alias("n"), F.col("kind").cast("long").alias("kind"), F.lower(F.hex("payload")).alias("payload"))
 
 
-@query("q_strict_split", f"WITH u AS (SELECT doc_id, {_PIECES} AS u FROM documents WHERE len(text) > 0) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN len(u) END::BIGINT AS strict, len(u)::BIGINT AS loose FROM u")
+@query("q_strict_split", f"WITH u AS (SELECT doc_id, {_PIECES} AS u FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND len(u) > 0 THEN len(u) END::BIGINT AS strict, len(u)::BIGINT AS loose FROM u")
 def _(spark, d):
     """A stray byte after every second packet makes the strict split give none."""
     tail = F.when(F.col("doc_id") % 2 == 0, F.lit(b"")).otherwise(F.lit(b"\0"))
-    data = F.concat(N.length_prefixed(F.col("units")), tail)
+    data = F.concat(F.coalesce(N.length_prefixed(F.col("units")), F.lit(b"")), tail)
     count = lambda strict: F.size(N.units_of_lengths(F.col("data"), 4, strict)).cast("long")
     rows = pieces(spark, d).select("doc_id", data.alias("data")).select("doc_id", N.units_of_lengths(F.col("data"), 4, True).alias("s"), count(False).alias("loose"))
     return rows.select("doc_id", F.when(F.col("s").isNotNull(), F.size("s")).cast("long").alias("strict"), "loose")
@@ -379,23 +381,19 @@ g AS (SELECT *, row_number() OVER w - 1 AS sample, greatest(1, coalesce(lead(d)
 SELECT g.track_id::VARCHAR AS source_id, kind, sample, n::BIGINT AS size, coalesce(sum(delta) OVER (PARTITION BY g.track_id, kind ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS dts, p - d AS shift,
   CASE WHEN kind = 'audio' OR keys = 0 THEN true ELSE is_key END AS is_key, n::BIGINT AS good FROM g LEFT JOIN k ON k.track_id = g.track_id""")
 def _(spark, d):
-    """Movies written and read again: times, offsets and key flags, and how many bytes at each place are those that were written."""
+    """Movies written and read again by one walk: times, offsets and key flags, and how many bytes at each place are those that were written."""
     made = mp4.mux(*movies(spark, d)).select(F.col("file_id").alias("source_id"), "data")
-    boxes = M.mp4_boxes(made)
-    rows = M.mp4_samples(boxes).join(M.mp4_tracks(boxes).select("source_id", "track", "kind"), ["source_id", "track"]).join(made, "source_id")
-    good = F.length(F.regexp_replace(F.hex(B.slice_bytes(F.col("data"), F.col("offset"), F.col("size"))), "[^AB]", "")) / 2
-    return rows.select("source_id", "kind", "sample", "size", "dts", (F.col("pts") - F.col("dts")).alias("shift"), "is_key", good.cast("long").alias("good"))
+    rows = walk.files(made, ("mp4",), with_data=True).where("what = 'sample'")
+    good = F.length(F.regexp_replace(F.hex("data"), "[^AB]", "")) / 2
+    return rows.select("source_id", "kind", F.col("index").alias("sample"), "size", F.col("ticks").alias("dts"), "shift", "is_key", good.cast("long").alias("good"))
 
 
 @query("q_mp4_tracks", f"""{_MOVIE} SELECT DISTINCT track_id::VARCHAR AS source_id, kind, dense_rank() OVER (PARTITION BY track_id ORDER BY kind DESC)::BIGINT AS track_id, CASE kind WHEN 'video' THEN 'avc1' ELSE 'mp4a' END AS entry,
   CASE kind WHEN 'video' THEN 320 END::BIGINT AS width, CASE kind WHEN 'audio' THEN 44100 END::BIGINT AS rate, CASE kind WHEN 'audio' THEN 2 END::BIGINT AS channels, sum(delta) OVER (PARTITION BY track_id, kind)::BIGINT AS duration FROM g""")
 def _(spark, d):
     made = mp4.mux(*movies(spark, d)).select(F.col("file_id").alias("source_id"), "data")
-    boxes = M.mp4_boxes(made)
-    rows = M.mp4_tracks(boxes).join(mp4.track_ids(boxes), ["source_id", "track"])
-    both = mp4.video_entries(boxes).select("source_id", "track", "entry", "width", F.lit(None).cast("long").alias("rate"), F.lit(None).cast("long").alias("channels"))
-    both = both.unionByName(mp4.audio_entries(boxes).select("source_id", "track", "entry", F.lit(None).cast("long").alias("width"), "rate", "channels"))
-    return rows.join(both, ["source_id", "track"]).select("source_id", "kind", "track_id", "entry", "width", "rate", "channels", "duration")
+    rows = mp4.track_headers(M.mp4_boxes(made))
+    return rows.select("source_id", "kind", "track_id", F.coalesce("v", "a").alias("entry"), "width", "rate", "channels", "duration")
 
 
 @query("q_movie_summary", f"{_MOVIE} SELECT track_id::VARCHAR AS source_id, count(DISTINCT kind) AS n_tracks, count(DISTINCT kind) FILTER (kind = 'video') AS n_video, count(DISTINCT kind) FILTER (kind = 'audio') AS n_audio FROM g GROUP BY track_id")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,37 +42,47 @@ def _first_frame(data: bytes) -> int:
     return 10 + size + (10 if data[5] & 16 else 0)
 
 
+def frame_walk(data: bytes) -> Iterator[tuple]:
+    """Index, offset, size and header of the frames of an MP3 file."""
+    at, found = _first_frame(data), 0
+    while at + 4 <= len(data):
+        header = int.from_bytes(data[at : at + 4], "big")
+        size = frame_length(header)
+        if size and at + size <= len(data) + 1:
+            yield found, at, size, header
+            at, found = at + size, found + 1
+        elif found:
+            return
+        else:
+            at = data.find(b"\xff", at + 1)
+            if at < 0:
+                return
+
+
 def mp3_frames(sources: DataFrame) -> DataFrame:
     """(source_id, index, offset, size, rate, channels, bitrate, n_samples, pts_us, duration_us) of the frames of MP3 files.
 
     The first frame is looked for byte by byte; the walk ends where no further frame stands. A last frame may lack a byte.
     """
+    return timed_frames(_walk(sources.where(B.is_mp3(F.col("data"))), frame_walk, "index long, offset long, size long, header long"))
+
+
+def timed_frames(rows: DataFrame) -> DataFrame:
+    """What the headers of rows (source_id, index, offset, size, header) say of their frames, with times by the samples before them."""
+    rows = header_fields(rows)
+    before = F.coalesce(F.sum("n_samples").over(Window.partitionBy("source_id").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    us = lambda n: F.floor(n * 1_000_000 / F.col("rate") + 0.5)
+    return rows.withColumns({"pts_us": us(before), "duration_us": us(F.col("n_samples"))})
 
-    def walk(data: bytes) -> Iterator[tuple]:
-        at, found = _first_frame(data), 0
-        while at + 4 <= len(data):
-            header = int.from_bytes(data[at : at + 4], "big")
-            size = frame_length(header)
-            if size and at + size <= len(data) + 1:
-                yield found, at, size, header
-                at, found = at + size, found + 1
-            elif found:
-                return
-            else:
-                at = data.find(b"\xff", at + 1)
-                if at < 0:
-                    return
 
-    rows = _walk(sources.where(B.is_mp3(F.col("data"))), walk, "index long, offset long, size long, header long")
+def header_fields(rows: DataFrame) -> DataFrame:
+    """Rate, channels, bitrate and number of samples of frames, by their ``header``."""
     bits = lambda shift, n: F.shiftright("header", shift).bitwiseAND((1 << n) - 1)
     first = bits(19, 2) == 3
     pick = lambda values, at: F.get(F.array(*[F.lit(x) for x in values]), at.cast("int")).cast("long")
     rate = F.when(first, pick(SAMPLING[3], bits(10, 2))).when(bits(19, 2) == 2, pick(SAMPLING[2], bits(10, 2))).otherwise(pick(SAMPLING[0], bits(10, 2)))
     bitrate = F.when(first, pick(RATES_1, bits(12, 4))).otherwise(pick(RATES_2, bits(12, 4))) * 1000
-    rows = rows.withColumns({"rate": rate, "channels": F.when(bits(6, 2) == 3, 1).otherwise(2).cast("long"), "bitrate": bitrate, "n_samples": F.when(first, 1152).otherwise(576).cast("long")})
-    before = F.coalesce(F.sum("n_samples").over(Window.partitionBy("source_id").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    us = lambda n: F.floor(n * 1_000_000 / F.col("rate") + 0.5)
-    return rows.withColumns({"pts_us": us(before), "duration_us": us(F.col("n_samples"))}).drop("header")
+    return rows.withColumns({"rate": rate, "channels": F.when(bits(6, 2) == 3, 1).otherwise(2).cast("long"), "bitrate": bitrate, "n_samples": F.when(first, 1152).otherwise(576).cast("long")}).drop("header")
 
 
 def mp3_tracks(frames: DataFrame) -> DataFrame:
@@ -120,26 +131,41 @@ def asc_of_adts(data: Column) -> Column:
     return F.when(h.isNotNull(), F.unhex(F.lpad(F.hex(word.cast("long")), 4, "0")))
 
 
+def _sound_config(config: bytes) -> dict | None:
+    """The fields of one AAC configuration; those that its bytes don't reach are None."""
+    if len(config) < 2:
+        return None
+    bits = "".join(f"{b:08b}" for b in config[:16])
+    take = lambda at, n: int(bits[at : at + n] or "0", 2)
+    known = lambda index, at: take(at, 24) if index == 15 else dict(enumerate(B.AAC_RATES)).get(index, 0)
+    kind, index = take(0, 5), take(5, 4)
+    at = 33 if index == 15 else 9
+    early, after, told = at + 4, at + 7, kind in (5, 29)  # an extension that is told first stands before the three flags of the sound's own configuration
+    out = {"object_type": kind, "rate": known(index, 9), "channels": take(at, 4), "extension_type": None, "extension_rate": None, "sbr": False, "ps": None}
+    if told and len(config) >= 3:
+        rate = take(early, 4)
+        return out | {"extension_type": take(early + (28 if rate == 15 else 4), 5), "extension_rate": known(rate, early + 4)}
+    if not told and len(config) >= 4 and take(after, 11) == 0x2B7:
+        out["extension_type"] = take(after + 11, 5)
+        if out["extension_type"] == 5 and take(after + 16, 1):
+            rate = take(after + 17, 4)
+            more = after + (45 if rate == 15 else 21)
+            ps = bool(take(more + 11, 1)) if len(bits) >= more + 12 and take(more, 11) == 0x548 else None
+            out |= {"sbr": True, "extension_rate": known(rate, after + 21), "ps": ps}
+    return out
+
+
+_CONFIG = pa.struct([("object_type", pa.int32()), ("rate", pa.int32()), ("channels", pa.int32()), ("extension_type", pa.int32()), ("extension_rate", pa.int32()), ("sbr", pa.bool_()), ("ps", pa.bool_())])
+
+
+def _sound_configs(configs: pa.Array) -> pa.Array:
+    return pa.array([_sound_config(c.as_py() or b"") for c in configs], _CONFIG)
+
+
 def audio_config(config: Column) -> Column:
     """struct of an AAC configuration: object type, rate and channels, and the extension for spectral band replication.
 
-    A null or shorter one than two bytes gives null. Fields are cut natively from the bits as one text of 0 and 1.
+    A null or shorter one than two bytes gives null. There is one for each track, and each says by its bits where the next ones are.
     """
-    bits = F.array_join(F.transform(B.bytes_of(F.substring(config, 1, 16)), lambda b: F.lpad(F.bin(b.cast("long")), 8, "0")), "")
-    take = lambda at, n: F.conv(F.substring(bits, at + 1, F.lit(n)), 2, 10).cast("int")
-    known = lambda index, at: F.when(index == 15, take(at, 24)).otherwise(F.coalesce(F.get(F.array(*[F.lit(r) for r in B.AAC_RATES]), index), F.lit(0)))
-    object_type, index = take(F.lit(0), 5), take(F.lit(5), 4)
-    at = F.when(index == 15, 33).otherwise(9)
-    explicit = object_type.isin(5, 29) & (F.length(config) >= 3)
-    after = at + 7
-    sync = ~object_type.isin(5, 29) & (F.length(config) >= 4) & (take(after, 11) == 0x2B7)
-    early = at + 4  # an extension that is told first stands before the three flags of the sound's own configuration
-    extension = F.when(explicit, take(early + F.when(take(early, 4) == 15, 28).otherwise(4), 5)).when(sync, take(after + 11, 5))
-    sbr = sync & (extension == 5) & (take(after + 16, 1) == 1)
-    extension_rate = F.when(explicit, known(take(early, 4), early + 4)).when(sbr, known(take(after + 17, 4), after + 21))
-    ps_at = after + F.when(take(after + 17, 4) == 15, 45).otherwise(21)
-    ps = F.when(sbr & (F.length(bits) >= ps_at + 12) & (take(ps_at, 11) == 0x548), take(ps_at + 11, 1) == 1)
-    return F.when(
-        F.length(config) >= 2,
-        F.struct(object_type.alias("object_type"), known(index, F.lit(9)).alias("rate"), take(at, 4).alias("channels"), extension.alias("extension_type"), extension_rate.alias("extension_rate"), sbr.alias("sbr"), ps.alias("ps")),
-    )
+    read = F.arrow_udf(_sound_configs, "object_type int, rate int, channels int, extension_type int, extension_rate int, sbr boolean, ps boolean", F.ArrowUDFType.SCALAR)
+    return read(config)

@@ -5,14 +5,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions import bytesql as B
-from tracklake.functions.writers import float_be
 
+from . import walk
 from .audio import RATES_1, SAMPLING, audio_config
-from .media import _walk, flv_tags
 
 
 def headers(sources: DataFrame) -> DataFrame:
@@ -54,25 +54,28 @@ def amf_values(data: bytes, at: int, path: str = "") -> tuple[list[tuple[str, fl
 
 def script_values(sources: DataFrame) -> DataFrame:
     """(source_id, key, number, text): the values of script tags; of a key that comes again the last counts."""
+    return values_of(walk.files(sources, ("flv",)))
 
-    def walk(data: bytes) -> Iterator[tuple]:
-        at, order = 13, 0
-        while at + 11 <= len(data):
-            kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "big")
-            if kind == 18:
-                body, place = data[at + 11 : at + 11 + size], 0
+
+def values_of(rows: DataFrame) -> DataFrame:
+    """The values of the script tags in rows of :func:`tracklake.sources.walk.files`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, at, body in zip(*(batch.column(k).to_pylist() for k in ("source_id", "offset", "body")), strict=True):
                 try:
                     _, place = amf_values(body, 0)  # the event's name
-                    for key, number, text in amf_values(body, place)[0]:
-                        yield key, None if number is None else struct.pack(">d", number), text, order
-                        order += 1
+                    out += [(name, key, number, text, at, n) for n, (key, number, text) in enumerate(amf_values(body, place)[0])]
                 except _Cut:
                     pass
-            at += 15 + size
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["source_id", "key", "number", "text", "at", "n"])
 
-    rows = _walk(sources.where(B.is_flv(F.col("data"))), walk, "key string, raw binary, text string, n long")
-    last = rows.groupBy("source_id", "key").agg(F.max_by(F.struct("raw", "text"), "n").alias("v"))
-    return last.select("source_id", "key", float_be(F.col("v.raw"), 0, 8).alias("number"), F.col("v.text").alias("text"))
+    tags = rows.where("format = 'flv' and what = 'tag' and kind = 'script'").select("source_id", "offset", "body")
+    found = tags.mapInArrow(run, "source_id string, key string, number double, text string, at long, n long")
+    last = found.groupBy("source_id", "key").agg(F.max_by(F.struct("number", "text"), F.struct("at", "n")).alias("v"))
+    return last.select("source_id", "key", F.col("v.number").alias("number"), F.col("v.text").alias("text"))
 
 
 def _mp3(payload: Column) -> Column:
@@ -95,29 +98,27 @@ def audio_streams(sources: DataFrame) -> DataFrame:
     Formats 2 and 14 are MP3, by its first frame; 7 and 8 are G.711, always 8,000 a second and mono; all others AAC, by its configuration. Where neither tells,
     script values do (``audiosamplerate``, ``stereo``, ``audiochannels``); ``scale`` is the time base.
     """
-    tags = flv_tags(sources).where("kind = 'audio'").join(sources.select(F.col("source_id").cast("string").alias("source_id"), "data"), "source_id")
-    payload = B.slice_bytes(F.col("data"), F.col("offset"), F.col("size"))
-    config = audio_config(F.when(F.col("config"), payload))
+    return sound_of(walk.files(sources, ("flv",)))
+
+
+def sound_of(rows: DataFrame) -> DataFrame:
+    """:func:`audio_streams` by rows of :func:`tracklake.sources.walk.files`."""
+    tags = rows.where("format = 'flv' and what = 'tag' and kind = 'audio'")
     first = tags.groupBy("source_id").agg(
-        F.min_by(F.col("codec").cast("int"), "offset").alias("sound_format"),
-        F.min_by(config, F.when(F.col("config"), F.col("offset"))).alias("asc"),
-        F.min_by(_mp3(payload), F.when(~F.col("config"), F.col("offset"))).alias("mp3"),
-    )
+        F.min_by(F.col("number").cast("int"), "offset").alias("sound_format"),
+        F.min_by("body", F.when(F.col("config"), F.col("offset"))).alias("asc"),
+        F.min_by("body", F.when(~F.col("config"), F.col("offset"))).alias("mp3"),
+    ).withColumns({"asc": audio_config(F.col("asc")), "mp3": _mp3(F.col("mp3"))})
     value = lambda k: F.max(F.when(F.lower(F.regexp_replace(F.col("key"), "_", "")) == k, F.coalesce("number", F.col("text").try_cast("double"))))
-    script = script_values(sources).groupBy("source_id").agg(value("audiosamplerate").alias("r"), value("stereo").alias("s"), value("audiochannels").alias("c"))
-    rows = first.join(script, "source_id", "left")
+    script = values_of(rows).groupBy("source_id").agg(value("audiosamplerate").alias("r"), value("stereo").alias("s"), value("audiochannels").alias("c"))
+    known = first.join(script, "source_id", "left")
     fmt = F.col("sound_format")
     told_rate = F.when(F.col("r") > 0, F.col("r").cast("long"))
     told_channels = F.when(F.col("r") > 0, F.when(F.col("s").isNotNull(), F.when(F.col("s") != 0, 2).otherwise(1)).otherwise(F.coalesce("c", F.lit(1)))).cast("long")
     asc = F.when((F.col("asc.rate") > 0) & (F.col("asc.channels") > 0), F.col("asc"))
     pick = lambda mp3, aac, told, law: F.when(fmt.isin(7, 8), law).when(fmt.isin(2, 14), F.coalesce(mp3, told)).otherwise(F.coalesce(aac.cast("long"), told))
     codec = F.when(fmt.isin(2, 14), "mp3").when(fmt.isin(7, 8), "g711").otherwise("aac")
-    return rows.select(
+    return known.select(
         "source_id", "sound_format", codec.alias("codec"), pick(F.col("mp3.rate"), asc["rate"], told_rate, F.lit(8000)).alias("rate"),
         pick(F.col("mp3.channels"), asc["channels"], told_channels, F.lit(1)).alias("channels"), F.when(fmt.isin(7, 8), 8000).otherwise(1000).alias("scale"),
     )
-
-
-def last_time(sources: DataFrame) -> DataFrame:
-    """(source_id, duration_us): the latest decode time of all tags, which is how long a file that says nothing else is taken to be."""
-    return flv_tags(sources).groupBy("source_id").agg(F.max("dts_us").alias("duration_us"))

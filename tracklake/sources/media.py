@@ -57,17 +57,18 @@ def _walk(sources: DataFrame, walk: Callable[[bytes], Iterator[tuple]], schema:
 
 # --- RIFF/WAVE
 
-def wav_chunks(sources: DataFrame) -> DataFrame:
-    """(source_id, name, offset, size) of the chunks of WAVE files, wherever ``data`` lies."""
+def chunk_walk(data: bytes) -> Iterator[tuple]:
+    """(name, offset, size) of the chunks of a WAVE file."""
+    at = 12
+    while at + 8 <= len(data):
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        yield data[at : at + 4].decode("latin-1"), at + 8, min(size, len(data) - at - 8)
+        at += 8 + size + size % 2
 
-    def walk(data: bytes) -> Iterator[tuple]:
-        at = 12
-        while at + 8 <= len(data):
-            size = int.from_bytes(data[at + 4 : at + 8], "little")
-            yield data[at : at + 4].decode("latin-1"), at + 8, min(size, len(data) - at - 8)
-            at += 8 + size + size % 2
 
-    return _walk(sources.where(B.is_wav(F.col("data"))), walk, "name string, offset long, size long")
+def wav_chunks(sources: DataFrame) -> DataFrame:
+    """(source_id, name, offset, size) of the chunks of WAVE files, wherever ``data`` lies."""
+    return _walk(sources.where(B.is_wav(F.col("data"))), chunk_walk, "name string, offset long, size long")
 
 
 def wav_tracks(sources: DataFrame) -> DataFrame:
@@ -76,6 +77,11 @@ def wav_tracks(sources: DataFrame) -> DataFrame:
     rows = sources.join(chunks.where("fmt is not null and body is not null"), "source_id")
     data, at = F.col("data"), F.col("fmt.offset")
     rows = rows.select("source_id", B.uint_le(data, at + 4, 4).alias("rate"), B.uint_le(data, at + 2, 2).alias("channels"), B.uint_le(data, at + 14, 2).alias("bits"), F.col("body.offset").alias("data_offset"), F.col("body.size").alias("bytes"))
+    return pcm_length(rows)
+
+
+def pcm_length(rows: DataFrame) -> DataFrame:
+    """Frames and duration of rows with ``bytes`` of PCM sound."""
     rows = rows.withColumn("frames", F.expr("bytes div greatest(1, channels * bits div 8)")).drop("bytes")
     return rows.withColumn("duration_us", F.floor(F.col("frames") * 1_000_000 / F.col("rate") + 0.5))
 
@@ -90,30 +96,31 @@ def wav_packets(tracks: DataFrame, size: int = 4096) -> DataFrame:
 
 # --- FLV
 
+def tag_walk(data: bytes) -> Iterator[tuple]:
+    """Kind, times, key flag, codec, configuration flag, offset and size of the tags of an FLV file."""
+    at = 13
+    while at + 11 <= len(data):
+        kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "big")
+        if kind not in (8, 9, 18) or not size or at + 11 + size > len(data):
+            return
+        time = int.from_bytes(bytes([data[at + 7]]) + data[at + 4 : at + 7], "big", signed=True)
+        head, skip, shift, config = data[at + 11], 1, 0, False
+        if kind == 9 and head & 15 in (7, 12) and size >= 5:
+            config, skip = data[at + 12] == 0, 5
+            shift = int.from_bytes(data[at + 13 : at + 16], "big", signed=True)
+        elif kind == 8 and head >> 4 == 10 and size >= 2:
+            config, skip = data[at + 12] == 0, 2
+        codec = str(head & 15 if kind == 9 else head >> 4)
+        yield {8: "audio", 9: "video", 18: "script"}[kind], (time + shift) * 1000, time * 1000, kind == 8 or head >> 4 == 1, codec, config, at + 11 + skip, size - skip
+        at += 15 + size
+
+
 def flv_tags(sources: DataFrame) -> DataFrame:
     """(source_id, kind, pts_us, dts_us, is_key, codec, config, offset, size) of the tags of FLV files.
 
     Configuration packets have ``config``; audio is always key. Times are those of the format, in milliseconds there.
     """
-
-    def walk(data: bytes) -> Iterator[tuple]:
-        at = 13
-        while at + 11 <= len(data):
-            kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "big")
-            if kind not in (8, 9, 18) or not size or at + 11 + size > len(data):
-                return
-            time = int.from_bytes(bytes([data[at + 7]]) + data[at + 4 : at + 7], "big", signed=True)
-            head, skip, shift, config = data[at + 11], 1, 0, False
-            if kind == 9 and head & 15 in (7, 12) and size >= 5:
-                config, skip = data[at + 12] == 0, 5
-                shift = int.from_bytes(data[at + 13 : at + 16], "big", signed=True)
-            elif kind == 8 and head >> 4 == 10 and size >= 2:
-                config, skip = data[at + 12] == 0, 2
-            codec = str(head & 15 if kind == 9 else head >> 4)
-            yield {8: "audio", 9: "video", 18: "script"}[kind], (time + shift) * 1000, time * 1000, kind == 8 or head >> 4 == 1, codec, config, at + 11 + skip, size - skip
-            at += 15 + size
-
-    return _walk(sources.where(B.is_flv(F.col("data"))), walk, "kind string, pts_us long, dts_us long, is_key boolean, codec string, config boolean, offset long, size long")
+    return _walk(sources.where(B.is_flv(F.col("data"))), tag_walk, "kind string, pts_us long, dts_us long, is_key boolean, codec string, config boolean, offset long, size long")
 
 
 # --- MPEG transport streams
@@ -174,17 +181,27 @@ def ts_pes(packets: DataFrame, with_data: bool = False) -> DataFrame:
     rows = packets.where(F.col("pid") > 31).withColumn("pes", F.sum(F.col("start").cast("int")).over(w)).where("pes > 0")
     parts = [F.min("index").alias("index"), F.min_by("payload", "index").alias("head"), F.sum(F.length("payload")).alias("bytes")]
     out = rows.groupBy("source_id", "pid", "pes").agg(*parts, *[W.joined_in_order("payload", "index").alias("all")] * with_data)
+    return pes_of(out, ["source_id", "pid", "index"], "all" if with_data else None)
+
+
+def pes_of(rows: DataFrame, keys: list[str], data: str | None = None) -> DataFrame:
+    """Kind, times, size and (from the column ``data``) payload of rows (keys, head, bytes) of what may be elementary packets of sound or pictures; others are left out."""
     head = F.col("head")
-    out = out.where(B.is_bytes(head, 0, b"\x00\x00\x01"))
-    stream, flags = B.uint_be(head, 3, 1), F.shiftright(B.uint_be(head, 7, 1), 6)
+    out = pes_times(rows.where(B.is_bytes(head, 0, b"\x00\x00\x01")), "head")
+    stream = B.uint_be(head, 3, 1)
     kind = F.when(stream.between(0xC0, 0xDF), "audio").when(stream.between(0xE0, 0xEF), "video")
-    pts = F.when(flags >= 2, stamp(head, 9))
-    dts = F.when(flags == 3, stamp(head, 14)).otherwise(pts)
     stated, skip = B.uint_be(head, 4, 2), B.uint_be(head, 8, 1)
     size = F.col("bytes") - 9 - skip
     size = F.when(stated > 0, F.least(size, F.greatest(F.lit(0), stated - 3 - skip))).otherwise(size)
-    data = [F.substring(F.col("all"), (10 + skip).cast("int"), size.cast("int")).alias("data")] * with_data
-    return out.select("source_id", "pid", "index", kind.alias("kind"), pts.alias("pts_us"), dts.alias("dts_us"), size.alias("size"), *data).where("kind is not null")
+    payload = [F.substring(F.col(data), (10 + skip).cast("int"), size.cast("int")).alias("data")] if data else []
+    return out.select(*keys, kind.alias("kind"), "pts_us", "dts_us", size.alias("size"), *payload).where("kind is not null")
+
+
+def pes_times(rows: DataFrame, head: str = "body") -> DataFrame:
+    """Adds the times that the heads of elementary packets say."""
+    flags = F.shiftright(B.uint_be(F.col(head), 7, 1), 6)
+    pts = F.when(flags >= 2, stamp(F.col(head), 9))
+    return rows.withColumns({"pts_us": pts, "dts_us": F.when(flags == 3, stamp(F.col(head), 14)).otherwise(pts)})
 
 
 # --- ISO base media (MP4)
@@ -192,76 +209,89 @@ def ts_pes(packets: DataFrame, with_data: bool = False) -> DataFrame:
 INNER = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"mfra"}
 
 
+def box_walk(data: bytes) -> Iterator[tuple]:
+    """Name, track, offset, size and body of the boxes of an MP4 file; boxes of boxes and the media data have no body."""
+    track, stack = 0, [(0, len(data))]
+    while stack:
+        at, end = stack.pop()
+        if at + 8 > end:
+            continue
+        size, name, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
+        if size == 1 and at + 16 <= end:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        elif size == 0:
+            size = end - at
+        if size < head or at + size > end:
+            continue
+        stack.append((at + size, end))
+        track += name == b"trak"
+        if name in INNER:
+            stack.append((at + head, at + size))
+        yield name.decode("latin-1"), track, at, size, None if name in INNER or name == b"mdat" else data[at + head : at + size]
+
+
 def mp4_boxes(sources: DataFrame) -> DataFrame:
     """(source_id, name, track, offset, size, body) of the boxes of MP4 files, in file order; ``track`` counts trak boxes from 1, and the
     media data has no body here."""
+    return _walk(sources.where(B.is_mp4(F.col("data"))), box_walk, "name string, track long, offset long, size long, body binary")
 
-    def walk(data: bytes) -> Iterator[tuple]:
-        track, stack = 0, [(0, len(data))]
-        while stack:
-            at, end = stack.pop()
-            if at + 8 > end:
-                continue
-            size, name, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
-            if size == 1 and at + 16 <= end:
-                size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
-            elif size == 0:
-                size = end - at
-            if size < head or at + size > end:
-                continue
-            stack.append((at + size, end))
-            track += name == b"trak"
-            if name in INNER:
-                stack.append((at + head, at + size))
-            yield name.decode("latin-1"), track, at, size, None if name in INNER or name == b"mdat" else data[at + head : at + size]
-
-    return _walk(sources.where(B.is_mp4(F.col("data"))), walk, "name string, track long, offset long, size long, body binary")
-
-
-def _entries(boxes: DataFrame, name: str, at: int, fields: list[tuple[str, int]]) -> DataFrame:
-    """Entries of a table box whose count lies 4 bytes before ``at``: (source_id, track, n, fields), natively."""
-    width = sum(size for _, size in fields)
-    rows = boxes.where(F.col("name") == name).withColumn("count", B.uint_be(F.col("body"), at - 4, 4)).where("count > 0")
-    rows = rows.withColumn("n", F.explode(F.expr("sequence(0L, count - 1)")))
-    place, out = F.lit(at) + F.col("n") * width, []
-    for field, size in fields:
-        out.append(B.uint_be(F.col("body"), place, size).alias(field))
-        place = place + size
-    return rows.select("source_id", "track", "n", *out)
+
+#: The tables of a track from which its samples follow.
+TABLES = ["stsz", "stts", "ctts", "stss", "stsc", "stco", "co64"]
+
+
+def sample_table(tables: dict[str, bytes | None]) -> dict[str, np.ndarray]:
+    """Offset, size, decode and presentation time and key flag of the samples of a track, in its own scale, by its tables.
+
+    Runs of sizes, times and shifts are repeated; a sample lies after those before it in its chunk. Samples without a chunk have no row; past the last
+    run of times its delta goes on.
+    """
+    numbers = lambda name, skip, width, kind=">u4": np.frombuffer((t := tables.get(name) or b"")[skip : skip + (len(t) - skip) // width * width if len(t) > skip else skip], kind).astype(np.int64)
+    head = lambda name, at: int.from_bytes((tables.get(name) or b"")[at : at + 4], "big")
+    runs = lambda name, width, kind=">u4": numbers(name, 8, 4 * width, kind)[: head(name, 4) * width].reshape(-1, width)
+    count = head("stsz", 8)
+    sizes = np.full(count, head("stsz", 4)) if head("stsz", 4) else numbers("stsz", 12, 4)[:count]
+    at = np.concatenate([runs("stco", 1)[:, 0], numbers("co64", 8, 8, ">u8")[: head("co64", 4)]])
+    per, each = runs("stsc", 3), np.zeros(len(at), np.int64)
+    for first, n, _ in per:  # one entry for each change
+        each[max(0, first - 1) :] = min(n, count)
+    chunk = np.repeat(np.arange(len(at)), each)[: len(sizes)]
+    sizes = sizes[: len(chunk)]
+    ends = np.cumsum(sizes)
+    before = np.concatenate([[0], ends])[np.searchsorted(chunk, np.arange(len(at)))] if len(at) else ends
+    repeated = lambda r: np.repeat(r[:, 1], np.minimum(r[:, 0], len(sizes)))[: len(sizes)]
+    deltas = repeated(runs("stts", 2))
+    deltas = np.concatenate([deltas, np.full(len(sizes) - len(deltas), deltas[-1] if len(deltas) else 0)])
+    shifts = repeated(runs("ctts", 2, ">i4"))
+    dts = np.cumsum(deltas) - deltas
+    keys = np.ones(len(sizes), bool)
+    if head("stss", 4):
+        keys[:] = False
+        listed = runs("stss", 1)[:, 0] - 1
+        keys[listed[(listed >= 0) & (listed < len(keys))]] = True
+    pts = dts + np.concatenate([shifts, np.zeros(len(sizes) - len(shifts), np.int64)])
+    return {"offset": at[chunk] + ends - sizes - before[chunk], "size": sizes, "dts": dts, "pts": pts, "is_key": keys}
 
 
 def mp4_samples(boxes: DataFrame) -> DataFrame:
     """(source_id, track, sample, offset, size, dts, pts, is_key) from the tables of each track, times in its own scale.
 
-    Run lengths become rows with prefix sums; the run of samples per chunk is looked up as of each chunk.
+    One exchange brings the tables of a track together; a track's tables are what a task holds at once.
     """
-    t = ["source_id", "track"]
-    w = lambda order: Window.partitionBy(*t).orderBy(order)
-    before = (Window.unboundedPreceding, -1)
-    sized = boxes.where("name = 'stsz'").select(*t, B.uint_be(F.col("body"), 4, 4).alias("one"), B.uint_be(F.col("body"), 8, 4).alias("count"), "body").where("count > 0")
-    sized = sized.withColumn("sample", F.explode(F.expr("sequence(0L, count - 1)")))
-    sizes = sized.select(*t, "sample", F.when(F.col("one") > 0, F.col("one")).otherwise(B.uint_be(F.col("body"), 12 + F.col("sample") * 4, 4)).alias("size"))
-
-    def runs(name: str, value: str) -> DataFrame:
-        rows = _entries(boxes, name, 8, [("count", 4), (value, 4)]).withColumn("first", F.coalesce(F.sum("count").over(w("n").rowsBetween(*before)), F.lit(0)))
-        return rows.where("count > 0").withColumn("sample", F.explode(F.expr("sequence(first, first + count - 1)"))).select(*t, "sample", value)
-
-    times = runs("stts", "delta")
-    shifts = runs("ctts", "shift").withColumn("shift", F.when(F.col("shift") >= 1 << 31, F.col("shift") - (1 << 32)).otherwise(F.col("shift")))
-    keys = _entries(boxes, "stss", 8, [("number", 4)]).select(*t, (F.col("number") - 1).alias("sample"), F.lit(True).alias("listed"))
-    chunks = _entries(boxes, "stco", 8, [("at", 4)]).unionByName(_entries(boxes, "co64", 8, [("high", 4), ("low", 4)]).selectExpr(*t, "n", "high * 4294967296 + low as at"))
-    per = _entries(boxes, "stsc", 8, [("first", 4), ("each", 4), ("entry", 4)]).selectExpr(*t, "first - 1 as n", "each", "cast(null as long) as at")
-    both = chunks.selectExpr(*t, "n", "cast(null as long) as each", "at").unionByName(per)
-    both = both.withColumn("each", F.last("each", ignorenulls=True).over(Window.partitionBy(*t).orderBy("n", F.col("at").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))).where("at is not null")
-    both = both.withColumn("start", F.coalesce(F.sum("each").over(w("n").rowsBetween(*before)), F.lit(0))).where("each > 0")
-    placed = both.withColumn("sample", F.explode(F.expr("sequence(start, start + each - 1)"))).select(*t, "sample", F.col("n").alias("chunk"), "at")
-    rows = sizes.join(placed, [*t, "sample"]).join(times, [*t, "sample"], "left").join(shifts, [*t, "sample"], "left").join(keys, [*t, "sample"], "left")
-    tables = keys.select(*t).distinct().withColumn("has_keys", F.lit(True))
-    rows = rows.join(tables, t, "left").withColumn("delta", F.coalesce("delta", F.last("delta", ignorenulls=True).over(w("sample").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    offset = F.col("at") + F.coalesce(F.sum("size").over(Window.partitionBy(*t, "chunk").orderBy("sample").rowsBetween(*before)), F.lit(0))
-    rows = rows.withColumn("dts", F.coalesce(F.sum("delta").over(w("sample").rowsBetween(*before)), F.lit(0))).withColumn("offset", offset)
-    key = F.when(F.col("has_keys"), F.coalesce("listed", F.lit(False))).otherwise(True)
-    return rows.select(*t, "sample", "offset", "size", "dts", (F.col("dts") + F.coalesce("shift", F.lit(0))).alias("pts"), key.alias("is_key"))
+    pick = [F.min_by("body", F.when(F.col("name") == n, F.col("offset"))).alias(n) for n in TABLES]
+    tables = boxes.where(F.col("name").isin(*TABLES)).groupBy("source_id", "track").agg(*pick)
+    names = ["offset", "size", "dts", "pts", "is_key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = sample_table(row)
+                for at in range(0, len(found["size"]), ROWS_AT_ONCE):
+                    some = {k: v[at : at + ROWS_AT_ONCE] for k, v in found.items()}
+                    n = len(some["size"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["source_id"]] * n, pa.string()), pa.array([row["track"]] * n, pa.int64()), pa.array(np.arange(at, at + n)), *[pa.array(some[k]) for k in names]], names=["source_id", "track", "sample", *names])
+
+    return tables.mapInArrow(run, "source_id string, track long, sample long, offset long, size long, dts long, pts long, is_key boolean")
 
 
 def mp4_tracks(boxes: DataFrame) -> DataFrame:

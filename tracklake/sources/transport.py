@@ -90,35 +90,40 @@ def first_configs(units: DataFrame) -> DataFrame:
     return units.where(kind.isin(7, 8)).groupBy("source_id", "pid").agg(pick(7).alias("sps"), pick(8).alias("pps"))
 
 
+def packet_walk(data: bytes) -> Iterator[tuple]:
+    """Index, stream id, head, offset and size of the elementary packets of a program stream."""
+    at, found = data.find(b"\0\0\1"), 0
+    while 0 <= at and at + 6 <= len(data):
+        kind = data[at + 3]
+        if kind < 0xBC:  # a pack header (BA), the system's end (B9) or a start code inside a stream
+            at = data.find(b"\0\0\1", at + 4)
+            continue
+        stated = int.from_bytes(data[at + 4 : at + 6], "big")
+        following = data.find(b"\0\0\1", at + 6)
+        end = at + 6 + stated if stated else following if following >= 0 else len(data)
+        if 0xC0 <= kind <= 0xEF and at + 9 <= len(data):
+            start = min(at + 9 + data[at + 8], end)
+            yield found, kind, data[at : at + 19], start, max(0, min(end, len(data)) - start)
+            found += 1
+        at = data.find(b"\0\0\1", end)
+
+
 def ps_packets(sources: DataFrame) -> DataFrame:
     """(source_id, index, stream_id, kind, pts_us, dts_us, offset, size) of the elementary packets of program streams.
 
     Pack and system headers are stepped over by their start codes; a packet of stated length ends there, one without at the next start code. ``offset`` and
     ``size`` are those of the payload.
     """
+    return timed_packets(_walk(sources.where(B.is_mpegps(F.col("data"))), packet_walk, "index long, stream_id long, head binary, offset long, size long"))
+
 
-    def walk(data: bytes) -> Iterator[tuple]:
-        at, found = data.find(b"\0\0\1"), 0
-        while 0 <= at and at + 6 <= len(data):
-            kind = data[at + 3]
-            if kind < 0xBC:  # a pack header (BA), the system's end (B9) or a start code inside a stream
-                at = data.find(b"\0\0\1", at + 4)
-                continue
-            stated = int.from_bytes(data[at + 4 : at + 6], "big")
-            following = data.find(b"\0\0\1", at + 6)
-            end = at + 6 + stated if stated else following if following >= 0 else len(data)
-            if 0xC0 <= kind <= 0xEF and at + 9 <= len(data):
-                start = min(at + 9 + data[at + 8], end)
-                yield found, kind, data[at : at + 19], start, max(0, min(end, len(data)) - start)
-                found += 1
-            at = data.find(b"\0\0\1", end)
-
-    rows = _walk(sources.where(B.is_mpegps(F.col("data"))), walk, "index long, stream_id long, head binary, offset long, size long")
+def timed_packets(rows: DataFrame, *more: str) -> DataFrame:
+    """Kinds and times of rows (source_id, index, stream_id, head, offset, size), with ``more`` of their columns."""
     head, flags = F.col("head"), F.shiftright(B.uint_be(F.col("head"), 7, 1), 6)
     kind = F.when(F.col("stream_id") < 0xE0, "audio").otherwise("video")
     pts = F.when((flags >= 2) & (F.length(head) >= 14), stamp(head, 9))
     dts = F.when((flags == 3) & (F.length(head) >= 19), stamp(head, 14)).otherwise(pts)
-    return rows.select("source_id", "index", "stream_id", kind.alias("kind"), pts.alias("pts_us"), dts.alias("dts_us"), "offset", "size")
+    return rows.select("source_id", "index", "stream_id", kind.alias("kind"), pts.alias("pts_us"), dts.alias("dts_us"), "offset", "size", *more)
 
 
 def numbered_units(pes: DataFrame, split) -> DataFrame:

@@ -6,7 +6,6 @@ executors and a restarted query goes on from its checkpoint. :func:`replayed` ru
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracklake.tables import shared_folder
+
 OUT = "track_id long, idx long, pts_us long, clock_us long, overruns long"
 
 
@@ -259,12 +260,7 @@ def replayed(stream: DataFrame, folder: str | None = None) -> DataFrame:
     ``folder`` must be shared by all executors; unset, it is below spark.checkpoint.dir, or in a local session a temporary one.
     """
     spark = stream.sparkSession
-    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tracklake-stream-")
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}" if folder else shared_folder(spark, "stream")
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start(f"{path}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
