@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import catalog_containers, catalog_streams  # noqa: F401  they register their queries
+from . import catalog_streams, catalog_workflows  # noqa: F401  they register their queries
+from .catalog_containers import transport_files
 from .functions import bitstream as N
 from .functions import bytesql as B
 from .functions import pcm as P
@@ -519,15 +520,7 @@ def _(spark, d):
 
 @query("q_ts_roundtrip", f"WITH {EV}, p AS (SELECT *, (pts // 1000) % 80000000 * 90 AS ticks FROM ev) SELECT track_id::VARCHAR AS source_id, CASE WHEN is_key THEN 256 ELSE 257 END::BIGINT AS pid, CASE WHEN is_key THEN 'video' ELSE 'audio' END AS kind, floor(ticks * 100 / 9::DOUBLE + 0.5)::BIGINT AS pts_us FROM p")
 def _(spark, d):
-    ticks = F.floor(F.col("pts_us") / 1000) % 80_000_000 * 90
-    byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
-    stamp = F.concat(byte(F.lit(0x21) + F.shiftleft(F.shiftright(ticks, 30).bitwiseAND(7), 1)), byte(F.shiftright(ticks, 22).bitwiseAND(255)), byte(F.shiftleft(F.shiftright(ticks, 15).bitwiseAND(127), 1) + 1), byte(F.shiftright(ticks, 7).bitwiseAND(255)), byte(F.shiftleft(ticks.bitwiseAND(127), 1) + 1))
-    key = F.col("is_key")
-    head = F.concat(F.lit(b"\x47"), F.when(key, F.lit(b"\x41\x00")).otherwise(F.lit(b"\x41\x01")), F.lit(b"\x10"))
-    pes = F.concat(F.lit(b"\x00\x00\x01"), F.when(key, F.lit(b"\xe0")).otherwise(F.lit(b"\xc0")), F.lit(b"\x00\x00\x80\x80\x05"), stamp, F.lit(b"\xff" * 170))
-    part = F.floor((F.row_number().over(Window.partitionBy("track_id").orderBy("index")) - 1) / FILE_ROWS)
-    files = ev(spark, d).withColumns({"packet": F.concat(head, pes), "part": part}).groupBy("track_id", "part").agg(W.joined_in_order("packet", "index").alias("data"))
-    out = M.ts_pes(M.ts_packets(files.select(F.concat_ws(":", "track_id", "part").alias("source_id"), "data")))
+    out = M.ts_pes(M.ts_packets(transport_files(spark, d)))
     return out.select(F.get(F.split("source_id", ":"), F.lit(0)).alias("source_id"), "pid", "kind", "pts_us")
 
 

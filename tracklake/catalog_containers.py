@@ -37,6 +37,19 @@ def track() -> Column:
     return F.get(F.split("source_id", ":"), F.lit(0)).alias("source_id")
 
 
+def transport_files(spark, d) -> DataFrame:
+    """(source_id, data): one packet for each event, pictures and sound under two numbers."""
+    ticks = F.floor(F.col("pts_us") / 1000) % 80_000_000 * 90
+    byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
+    stamp = F.concat(byte(F.lit(0x21) + F.shiftleft(F.shiftright(ticks, 30).bitwiseAND(7), 1)), byte(F.shiftright(ticks, 22).bitwiseAND(255)), byte(F.shiftleft(F.shiftright(ticks, 15).bitwiseAND(127), 1) + 1), byte(F.shiftright(ticks, 7).bitwiseAND(255)), byte(F.shiftleft(ticks.bitwiseAND(127), 1) + 1))
+    key = F.col("is_key")
+    head = F.concat(F.lit(b"\x47"), F.when(key, F.lit(b"\x41\x00")).otherwise(F.lit(b"\x41\x01")), F.lit(b"\x10"))
+    pes = F.concat(F.lit(b"\x00\x00\x01"), F.when(key, F.lit(b"\xe0")).otherwise(F.lit(b"\xc0")), F.lit(b"\x00\x00\x80\x80\x05"), stamp, F.lit(b"\xff" * 170))
+    part = F.floor((F.row_number().over(Window.partitionBy("track_id").orderBy("index")) - 1) / FILE_ROWS)
+    files = ev(spark, d).withColumns({"packet": F.concat(head, pes), "part": part}).groupBy("track_id", "part").agg(W.joined_in_order("packet", "index").alias("data"))
+    return files.select(F.concat_ws(":", "track_id", "part").alias("source_id"), "data")
+
+
 # --- sound files
 
 _RATE1, _SAMPLING = [f"([{', '.join(map(str, x))}])" for x in (A.RATES_1, A.SAMPLING[3])]
