@@ -104,7 +104,7 @@ def test_hevc_picture_set_and_slice(spark):
     sets = {"pic_width_in_luma_samples": 1920, "pic_height_in_luma_samples": 1080, "log2_min_luma_coding_block_size_minus3": 0, "log2_diff_max_min_luma_coding_block_size": 3, "log2_max_pic_order_cnt_lsb_minus4": 4}
     head = Writer().u(0, 1).u(1, 6).u(0, 6).u(1, 3).u(0, 1).ue(1).u(0, 1).u(300, 9).u(3, 2).ue(1).u(1, 1).u(77, 8).u(0, 1).ue(1).ue(0).ue(0).u(1, 1)
     got = spark.createDataFrame([(bytearray(head.bytes()), sets, f)], "u binary, s map<string,bigint>, p map<string,bigint>").select(bits.slice_header(F.col("u"), F.col("s"), F.col("p"), "h265").alias("f")).first().f
-    assert (got["slice_segment_address"], got["slice_type"], got["slice_pic_order_cnt_lsb"], got["delta_poc_s0_minus1[0]"]) == (300, 1, 77, 0)
+    assert (got["slice_segment_address"], got["slice_type"], got["slice_pic_order_cnt_lsb"], got["slice_ref_pic_set.delta_poc[0]"], got["slice_ref_pic_set.used_by_curr_pic_flag[0]"]) == (300, 1, 77, -1, 1)
 
 
 def test_video_parameter_set():

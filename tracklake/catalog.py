@@ -98,6 +98,16 @@ def _(spark, d):
     return plain(T.gop_closure(ev(spark, d)), F.col("gop").cast("long").alias("gop"))
 
 
+#: All events as one track, and rows of a range: few, so that the tables of any size have several.
+_ALONE, RANGE = _GOP.replace("user_id AS track_id", "0::BIGINT AS track_id"), 4096
+
+
+@query("q_one_track_closure", f"{_ALONE} SELECT track_id, idx, pts, gop::BIGINT AS gop FROM n WHERE need = 1")
+def _(spark, d):
+    """All events as one track, cut into ranges."""
+    return plain(T.gop_closure(ev(spark, d).withColumn("track_id", F.lit(0).cast("long")), per=RANGE), F.col("gop").cast("long").alias("gop"))
+
+
 @query("q_gop_orphans", f"{_GOP} SELECT track_id, idx, pts FROM n WHERE need = 1 AND gop = 0 AND is_target")
 def _(spark, d):
     return plain(T.orphan_targets(ev(spark, d)))
@@ -202,6 +212,12 @@ def _(spark, d):
     return T.non_monotonic(chunks(spark, d).withColumnRenamed("l_orderkey", "track_id"), LINE_ORDER, "l_shipdate")
 
 
+@query("q_one_track_monotonic", f"SELECT 0::BIGINT AS track_id, sum(bad)::BIGINT AS violations FROM (SELECT coalesce((l_shipdate <= lag(l_shipdate) OVER (ORDER BY {LINE}))::BIGINT, 0) AS bad FROM lineitem)")
+def _(spark, d):
+    """All lines as one track, cut into ranges."""
+    return T.non_monotonic(chunks(spark, d).withColumn("track_id", F.lit(0).cast("long")), LINE_ORDER, "l_shipdate", per=RANGE)
+
+
 @query("q_duplicate_ids", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE}) > 1")
 def _(spark, d):
     n = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER))
@@ -241,6 +257,13 @@ def _(spark, d):
     return T.run_lengths(chunks(spark, d), ["l_orderkey"], LINE_ORDER, "l_quantity")
 
 
+@query("q_one_track_runs", f"""WITH s AS (SELECT l_quantity, row_number() OVER w AS n, CASE WHEN row_number() OVER w = 1 OR l_quantity IS DISTINCT FROM lag(l_quantity) OVER w THEN 1 ELSE 0 END AS head FROM lineitem WINDOW w AS (ORDER BY {LINE})),
+r AS (SELECT *, sum(head) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM s) SELECT 0::BIGINT AS track_id, run, l_quantity, count(*) AS n FROM r GROUP BY ALL""")
+def _(spark, d):
+    """Run lengths of all lines as one track, cut into ranges."""
+    return T.run_lengths(chunks(spark, d).withColumn("track_id", F.lit(0).cast("long")), ["track_id"], LINE_ORDER, "l_quantity", per=RANGE)
+
+
 @query("q_stts_decode_dts", """WITH r AS (SELECT p_brand, p_partkey, p_size AS n, (p_partkey % 7 + 1)::BIGINT AS delta FROM part),
 s AS (SELECT *, coalesce(sum(n) OVER w, 0)::BIGINT AS a, coalesce(sum(n * delta) OVER w, 0)::BIGINT AS t FROM r WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT p_brand, a + i AS sample, delta, t + i * delta AS dts FROM (SELECT *, unnest(range(n::BIGINT)) AS i FROM s)""")

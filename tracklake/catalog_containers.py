@@ -272,6 +272,23 @@ def _(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", f("slice_type").alias("slice_type"), B.picture_of_slice("h264", f("slice_type")).alias("picture"), f("frame_num").alias("frame_num"), f("pic_order_cnt_lsb").alias("poc"), f("slice_qp_delta").alias("qp"))
 
 
+@query("q_active_sets", f"""WITH {EV}, u AS (SELECT track_id, idx, size, CASE WHEN is_key THEN 'sps' WHEN is_target THEN 'pps' ELSE 'slice' END AS kind, CASE WHEN is_key THEN size % 2 ELSE size % 3 END AS n FROM ev),
+p AS (SELECT *, last_value(CASE WHEN kind = 'pps' THEN size // 3 % 2 END IGNORE NULLS) OVER (PARTITION BY track_id, n ORDER BY idx ROWS UNBOUNDED PRECEDING) AS seq FROM u WHERE kind <> 'sps'),
+b AS (SELECT track_id, idx, kind, n AS seq, size FROM u WHERE kind = 'sps' UNION ALL SELECT track_id, idx, kind, seq, size FROM p WHERE kind = 'slice'),
+s AS (SELECT *, last_value(CASE WHEN kind = 'sps' THEN 4 + size % 9 END IGNORE NULLS) OVER (PARTITION BY track_id, seq ORDER BY idx ROWS UNBOUNDED PRECEDING) AS bits FROM b)
+SELECT track_id, idx, CASE WHEN seq IS NOT NULL THEN (size % 4096) >> (12 - bits)::INT END::BIGINT AS frame_num FROM s WHERE kind = 'slice'""")
+def _(spark, d):
+    """Streams in which two sequence sets and three picture sets come again and again with other contents; each slice is read under those it has at its place."""
+    size, ue = F.col("size"), lambda x: W.ue_bits(F.lit(x).cast("long") if isinstance(x, int) else x.cast("long"))
+    sps = F.concat(F.lit(f"{0x67:08b}{77:08b}{0:08b}{30:08b}"), ue(size % 2), ue(size % 9), ue(2), ue(1), F.lit("0"), ue(19), ue(10), F.lit("11001"))
+    pps = F.concat(F.lit(f"{0x68:08b}"), ue(size % 3), ue(F.expr("size div 3 % 2")), F.lit("00" + "1" * 3 + "000" + "111" + "000" + "1"))
+    slice_ = F.concat(F.lit(f"{0x41:08b}" + "11"), ue(size % 3), F.lpad(F.bin(size % 4096), 12, "0"), F.lit("0001"))
+    unit = F.when(F.col("is_key"), sps).when(F.col("is_target"), pps).otherwise(slice_)
+    units = ev(spark, d).select("track_id", F.col("index").alias("idx"), N.with_emulation_prevention(W.bits_to_bytes(unit)).alias("unit"))
+    slices = bits.with_active_sets(units, ["track_id"], ["idx"])
+    return slices.select("track_id", "idx", bits.slice_header(F.col("unit"), F.col("sps"), F.col("pps")).alias("f"), "sps").select("track_id", "idx", F.when(F.col("sps").isNotNull(), F.col("f")["frame_num"]).alias("frame_num"))
+
+
 @query("q_sei_messages", r"""WITH t AS (SELECT doc_id, md5(coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS n FROM documents)
 SELECT doc_id, 5::BIGINT AS type, (16 + n)::BIGINT AS size, regexp_replace(m, '(.{8})(.{4})(.{4})(.{4})(.{12})', '\1-\2-\3-\4-\5') AS uuid, false AS captions FROM t
 UNION ALL SELECT doc_id, 4, 11, NULL, true FROM t""")

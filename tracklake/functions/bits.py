@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Fields = dict[str, int]
@@ -147,7 +147,7 @@ _VUI = [
 def _crop(b: Bits, f: Fields) -> None:
     """Width and height of what is shown."""
     chroma, lines = f.get("chroma_format_idc", 1), 2 - f["frame_mbs_only_flag"]
-    across, down = (1, 1) if chroma == 3 else (2, 1) if chroma == 2 else (2, 2)
+    across, down = (1, 1) if chroma in (0, 3) else (2, 1) if chroma == 2 else (2, 2)
     crop = lambda *names: sum(f.get(f"frame_crop_{n}_offset", 0) for n in names)
     f["width"] = (f["pic_width_in_mbs_minus1"] + 1) * 16 - crop("left", "right") * across
     f["height"] = (f["pic_height_in_map_units_minus1"] + 1) * lines * 16 - crop("top", "bottom") * down * lines
@@ -168,14 +168,30 @@ SPS = [
     ("frame_cropping_flag", 1), *[(f"frame_crop_{side}_offset", "ue", _on("frame_cropping_flag")) for side in ("left", "right", "top", "bottom")],
     ("size", _crop), ("vui_parameters_present_flag", 1), ("vui", lambda b, f: b.read(_VUI, f), _on("vui_parameters_present_flag")),
 ]
+
+
+def _slice_groups(b: Bits, f: Fields) -> None:
+    """Which macroblocks belong to which slice group, read over but for the kind of map."""
+    groups = f["num_slice_groups_minus1"]
+    f["slice_group_map_type"] = kind = b.ue()
+    if kind == 0:
+        f.update({f"run_length_minus1[{i}]": b.ue() for i in range(groups + 1)})
+    elif kind == 2:
+        for i in range(groups):
+            f[f"top_left[{i}]"], f[f"bottom_right[{i}]"] = b.ue(), b.ue()
+    elif kind in (3, 4, 5):
+        f["slice_group_change_direction_flag"], f["slice_group_change_rate_minus1"] = b.u(1), b.ue()
+    elif kind == 6:
+        f["pic_size_in_map_units_minus1"] = count = b.ue()
+        b.u((count + 1) * groups.bit_length())
+
+
 PPS = [
     *NAL, ("pic_parameter_set_id", "ue"), ("seq_parameter_set_id", "ue"), ("entropy_coding_mode_flag", 1),
-    ("bottom_field_pic_order_in_frame_present_flag", 1), ("num_slice_groups_minus1", "ue"),
-    *[(name, kind, _off("num_slice_groups_minus1")) for name, kind in (
-        ("num_ref_idx_l0_default_active_minus1", "ue"), ("num_ref_idx_l1_default_active_minus1", "ue"), ("weighted_pred_flag", 1), ("weighted_bipred_idc", 2),
-        ("pic_init_qp_minus26", "se"), ("pic_init_qs_minus26", "se"), ("chroma_qp_index_offset", "se"), ("deblocking_filter_control_present_flag", 1),
-        ("constrained_intra_pred_flag", 1), ("redundant_pic_cnt_present_flag", 1),
-    )],
+    ("bottom_field_pic_order_in_frame_present_flag", 1), ("num_slice_groups_minus1", "ue"), ("groups", _slice_groups, _on("num_slice_groups_minus1")),
+    ("num_ref_idx_l0_default_active_minus1", "ue"), ("num_ref_idx_l1_default_active_minus1", "ue"), ("weighted_pred_flag", 1), ("weighted_bipred_idc", 2),
+    ("pic_init_qp_minus26", "se"), ("pic_init_qs_minus26", "se"), ("chroma_qp_index_offset", "se"), ("deblocking_filter_control_present_flag", 1),
+    ("constrained_intra_pred_flag", 1), ("redundant_pic_cnt_present_flag", 1),
 ]
 
 
@@ -200,11 +216,11 @@ def _marking(b: Bits, f: Fields) -> None:
             return
 
 
-def weights(b: Bits, f: Fields, lists: dict[str, int], chroma: bool, deltas: bool) -> None:
-    """Weights of predicted pictures: for each list so many references; HEVC writes chroma as differences."""
+def weights(b: Bits, f: Fields, lists: dict[str, int], chroma: bool) -> None:
+    """Weights of predicted pictures: for each list so many references."""
     f["luma_log2_weight_denom"] = b.ue()
     if chroma:
-        f["delta_chroma_log2_weight_denom" if deltas else "chroma_log2_weight_denom"] = b.se() if deltas else b.ue()
+        f["chroma_log2_weight_denom"] = b.ue()
     for name, count in lists.items():
         for i in range(count):
             f[f"luma_weight_{name}_flag[{i}]"] = flag = b.u(1)
@@ -243,7 +259,7 @@ def slice_steps(sps: Fields, pps: Fields) -> list[tuple]:
         ("num_ref_idx_l1_active_minus1", "ue", lambda f: f.get("num_ref_idx_active_override_flag") and f["slice_type"] % 5 == 1),
         ("ref_pic_list_modification_flag_l0", 1, _slice_kind(0, 1, 3)), ("l0", _modifications(""), _on("ref_pic_list_modification_flag_l0")),
         ("ref_pic_list_modification_flag_l1", 1, _slice_kind(1)), ("l1", _modifications("_l1"), _on("ref_pic_list_modification_flag_l1")),
-        ("weights", lambda b, f: weights(b, f, {k: refs(f, k) for k in (("l0", "l1") if f["slice_type"] % 5 == 1 else ("l0",))}, chroma, False), is_weighted),
+        ("weights", lambda b, f: weights(b, f, {k: refs(f, k) for k in (("l0", "l1") if f["slice_type"] % 5 == 1 else ("l0",))}, chroma), is_weighted),
         ("no_output_of_prior_pics_flag", 1, lambda f: f["nal_ref_idc"] and idr(f)), ("long_term_reference_flag", 1, lambda f: f["nal_ref_idc"] and idr(f)),
         ("adaptive_ref_pic_marking_mode_flag", 1, lambda f: f["nal_ref_idc"] and not idr(f)), ("marking", _marking, _on("adaptive_ref_pic_marking_mode_flag")),
         ("cabac_init_idc", "ue", lambda f: cabac and f["slice_type"] % 5 in (0, 1, 3)), ("slice_qp_delta", "se"),
@@ -320,30 +336,57 @@ def _hevc_scaling(b: Bits, f: Fields) -> None:
                 b.se()
 
 
+Pocs = list[tuple[int, int]]
+
+
+def _reference_set(b: Bits, known: list[Pocs], in_slice: bool = False) -> Pocs:
+    """(difference of order, whether it is used) of one set of short-term reference pictures, the nearest first, those before the picture before those after it.
+
+    It may be written as a change of a set that is known: the last one, or in a slice one so many back.
+    """
+    if known and b.u(1):
+        back = b.ue() if in_slice else 0
+        delta = (1 - 2 * b.u(1)) * (b.ue() + 1)
+        base, flags = known[max(0, len(known) - 1 - back)], []
+        for _ in range(len(base) + 1):
+            used = b.u(1)
+            flags.append((used, 1 if used else b.u(1)))
+        steps = [x + delta for x, _ in base] + [delta]
+        found = [(x, used) for x, (used, take) in zip(steps, flags, strict=True) if take and x]
+    else:
+        sizes, found = (b.ue(), b.ue()), []
+        for sign, n in zip((-1, 1), sizes, strict=True):
+            at = 0
+            for _ in range(min(n, 16)):
+                at += sign * (b.ue() + 1)
+                found.append((at, b.u(1)))
+    return sorted((x for x in found if x[0] < 0), reverse=True) + sorted(x for x in found if x[0] > 0)
+
+
+def _told_set(f: Fields, name: str, pocs: Pocs) -> None:
+    down = sum(x < 0 for x, _ in pocs)
+    f[f"{name}.num_negative_pics"], f[f"{name}.num_positive_pics"] = down, len(pocs) - down
+    for j, (x, used) in enumerate(pocs):
+        f[f"{name}.delta_poc[{j}]"], f[f"{name}.used_by_curr_pic_flag[{j}]"] = x, used
+
+
+def _known_set(f: Fields, i: int) -> Pocs:
+    name = f"short_term_ref_pic_set[{i}]"
+    count = f.get(f"{name}.num_negative_pics", 0) + f.get(f"{name}.num_positive_pics", 0)
+    return [(f[f"{name}.delta_poc[{j}]"], f[f"{name}.used_by_curr_pic_flag[{j}]"]) for j in range(count)]
+
+
 def _reference_sets(b: Bits, f: Fields) -> None:
     """Short-term reference picture sets; one may be written as a change of the set before it."""
-    pocs: list[list[tuple[int, int]]] = []
+    sets: list[Pocs] = []
     for i in range(min(f["num_short_term_ref_pic_sets"], 64)):
-        if i and b.u(1):
-            delta = (1 - 2 * b.u(1)) * (b.ue() + 1)
-            base, flags = pocs[-1], []
-            for _ in range(len(base) + 1):
-                used = b.u(1)
-                flags.append((used, 1 if used else b.u(1)))
-            steps = [x + delta for x, _ in base] + [delta]
-            found = [(x, used) for x, (used, take) in zip(steps, flags, strict=True) if take and x]
-        else:
-            sizes, found = (b.ue(), b.ue()), []
-            for sign, n in zip((-1, 1), sizes, strict=True):
-                at = 0
-                for _ in range(min(n, 16)):
-                    at += sign * (b.ue() + 1)
-                    found.append((at, b.u(1)))
-        down, up = sorted((x for x in found if x[0] < 0), reverse=True), sorted(x for x in found if x[0] > 0)
-        pocs.append(down + up)
-        f[f"short_term_ref_pic_set[{i}].num_negative_pics"], f[f"short_term_ref_pic_set[{i}].num_positive_pics"] = len(down), len(up)
-        for j, (x, used) in enumerate(pocs[-1]):
-            f[f"short_term_ref_pic_set[{i}].delta_poc[{j}]"], f[f"short_term_ref_pic_set[{i}].used_by_curr_pic_flag[{j}]"] = x, used
+        sets.append(_reference_set(b, sets))
+        _told_set(f, f"short_term_ref_pic_set[{i}]", sets[-1])
+
+
+def _long_term_sets(b: Bits, f: Fields) -> None:
+    for i in range(min(f["num_long_term_ref_pics_sps"], 32)):
+        f[f"lt_ref_pic_poc_lsb_sps[{i}]"], f[f"used_by_curr_pic_lt_sps_flag[{i}]"] = b.u(f["log2_max_pic_order_cnt_lsb_minus4"] + 4), b.u(1)
 
 
 _HEVC_VUI = [
@@ -368,7 +411,7 @@ HEVC_SPS = [
     ("log2_diff_max_min_pcm_luma_coding_block_size", "ue", _on("pcm_enabled_flag")), ("pcm_loop_filter_disabled_flag", 1, _on("pcm_enabled_flag")),
     ("num_short_term_ref_pic_sets", "ue"), ("sets", _reference_sets), ("long_term_ref_pics_present_flag", 1),
     ("num_long_term_ref_pics_sps", "ue", _on("long_term_ref_pics_present_flag")),
-    ("long_term", lambda b, f: [b.u(f["log2_max_pic_order_cnt_lsb_minus4"] + 5) for _ in range(f["num_long_term_ref_pics_sps"])], _on("long_term_ref_pics_present_flag")),
+    ("long_term", _long_term_sets, _on("long_term_ref_pics_present_flag")),
     ("sps_temporal_mvp_enabled_flag", 1), ("strong_intra_smoothing_enabled_flag", 1), ("vui_parameters_present_flag", 1),
     ("vui", lambda b, f: b.read(_HEVC_VUI, f), _on("vui_parameters_present_flag")),
 ]
@@ -391,27 +434,104 @@ HEVC_PPS = [
 ]
 
 
+_B, _P = 0, 1  # kinds of slices that are predicted
+
+
+def _hevc_weights(b: Bits, f: Fields, lists: dict[str, int], chroma: bool) -> None:
+    """Weights of predicted pictures: for each list first all flags, then the differences."""
+    f["luma_log2_weight_denom"] = b.ue()
+    if chroma:
+        f["delta_chroma_log2_weight_denom"] = b.se()
+    for name, count in lists.items():
+        for part in ("luma", *["chroma"] * chroma):
+            f.update({f"{part}_weight_{name}_flag[{i}]": b.u(1) for i in range(count)})
+        for i in range(count):
+            if f[f"luma_weight_{name}_flag[{i}]"]:
+                f[f"delta_luma_weight_{name}[{i}]"], f[f"luma_offset_{name}[{i}]"] = b.se(), b.se()
+            for j in range(2 if f.get(f"chroma_weight_{name}_flag[{i}]") else 0):
+                f[f"delta_chroma_weight_{name}[{i}][{j}]"], f[f"delta_chroma_offset_{name}[{i}][{j}]"] = b.se(), b.se()
+
+
 def hevc_slice_steps(sps: Fields, pps: Fields) -> list[tuple]:
-    """The head of a slice segment under its parameter sets, up to its reference sets and first flags."""
+    """The header of a slice segment under its parameter sets; without a sequence set only what comes before fields that depend on it."""
     block = sps.get("log2_min_luma_coding_block_size_minus3", 0) + 3 + sps.get("log2_diff_max_min_luma_coding_block_size", 1)
     across, down = (-(-sps.get(f"pic_{side}_in_luma_samples", n) >> block) for side, n in (("width", 1920), ("height", 1080)))
+    chroma = bool(sps.get("chroma_format_idc", 1)) and not sps.get("separate_colour_plane_flag")
+    order, long_sets, count = sps.get("log2_max_pic_order_cnt_lsb_minus4", 4) + 4, sps.get("num_long_term_ref_pics_sps", 0), sps.get("num_short_term_ref_pic_sets", 0)
     own = lambda f: not f.get("dependent_slice_segment_flag")
     moves = lambda f: own(f) and f["nal_unit_type"] not in (19, 20)
-    pictures = [(f"num_{kind}_pics", "ue", lambda f: f.get("short_term_ref_pic_set_sps_flag") == 0) for kind in ("negative", "positive")]
-    each = lambda n, side: _each(lambda f: f.get(n, 0), [(f"delta_poc_{side}_minus1", "ue"), (f"used_by_curr_pic_{side}_flag", 1)])
+    predicted = lambda f: own(f) and f["slice_type"] in (_B, _P)
+    both = lambda f: own(f) and f["slice_type"] == _B
+    refs = lambda f, k: f.get(f"num_ref_idx_{k}_active_minus1", pps.get(f"num_ref_idx_{k}_default_active_minus1", 0)) + 1
+    lists = lambda f: ("l0", "l1") if f["slice_type"] == _B else ("l0",)
+
+    def inline(b: Bits, f: Fields) -> None:
+        _told_set(f, "slice_ref_pic_set", _reference_set(b, [_known_set(sps, i) for i in range(count)], in_slice=True))
+
+    def long_term(b: Bits, f: Fields) -> None:
+        from_sps = f["num_long_term_sps"] = b.ue() if long_sets else 0
+        f["num_long_term_pics"] = b.ue()
+        for i in range(min(from_sps + f["num_long_term_pics"], 33)):
+            if i < from_sps:
+                f[f"lt_idx_sps[{i}]"] = k = b.u((long_sets - 1).bit_length())
+                f[f"used_by_curr_pic_lt_flag[{i}]"] = sps.get(f"used_by_curr_pic_lt_sps_flag[{k}]", 0)
+            else:
+                f[f"poc_lsb_lt[{i}]"], f[f"used_by_curr_pic_lt_flag[{i}]"] = b.u(order), b.u(1)
+            f[f"delta_poc_msb_present_flag[{i}]"] = b.u(1)
+            if f[f"delta_poc_msb_present_flag[{i}]"]:
+                f[f"delta_poc_msb_cycle_lt[{i}]"] = b.ue()
+
+    def current(f: Fields) -> int:
+        """Pictures that the lists are made of."""
+        if f["nal_unit_type"] in (19, 20):
+            return 0
+        near = [f.get(k, 0) for k in f if k.startswith("slice_ref_pic_set.used")] if not f.get("short_term_ref_pic_set_sps_flag") else [u for _, u in _known_set(sps, f.get("short_term_ref_pic_set_idx", 0))]
+        return sum(near) + sum(v for k, v in f.items() if k.startswith("used_by_curr_pic_lt_flag"))
+
+    def changes(b: Bits, f: Fields) -> None:
+        for name in lists(f):
+            f[f"ref_pic_list_modification_flag_{name}"] = b.u(1)
+            if f[f"ref_pic_list_modification_flag_{name}"]:
+                f.update({f"list_entry_{name}[{i}]": b.u((current(f) - 1).bit_length()) for i in range(refs(f, name))})
+
+    def entry_points(b: Bits, f: Fields) -> None:
+        f["num_entry_point_offsets"] = n = b.ue()
+        if n:
+            f["offset_len_minus1"] = size = b.ue()
+            f.update({f"entry_point_offset_minus1[{i}]": b.u(size + 1) for i in range(min(n, 1 << 16))})
+
+    weighted = lambda f: (f["slice_type"] == _P and pps.get("weighted_pred_flag")) or (f["slice_type"] == _B and pps.get("weighted_bipred_flag"))
+    collocated = lambda f: refs(f, "l0" if f.get("collocated_from_l0_flag", 1) else "l1") > 1
+    filtered = lambda f: f.get("slice_sao_luma_flag") or f.get("slice_sao_chroma_flag") or not f.get("slice_deblocking_filter_disabled_flag", pps.get("pps_deblocking_filter_disabled_flag", 0))
+    first = [
+        *HEVC_NAL, ("first_slice_segment_in_pic_flag", 1), ("no_output_of_prior_pics_flag", 1, lambda f: 16 <= f["nal_unit_type"] <= 23), ("slice_pic_parameter_set_id", "ue"),
+    ]
+    if not sps:
+        return first
     return [
-        *HEVC_NAL, ("first_slice_segment_in_pic_flag", 1), ("no_output_of_prior_pics_flag", 1, lambda f: 16 <= f["nal_unit_type"] <= 23),
-        ("slice_pic_parameter_set_id", "ue"),
-        ("dependent_slice_segment_flag", 1, lambda f: not f["first_slice_segment_in_pic_flag"] and pps.get("dependent_slice_segments_enabled_flag")),
+        *first, ("dependent_slice_segment_flag", 1, lambda f: not f["first_slice_segment_in_pic_flag"] and pps.get("dependent_slice_segments_enabled_flag")),
         ("slice_segment_address", (across * down - 1).bit_length(), lambda f: not f["first_slice_segment_in_pic_flag"]),
         ("reserved", lambda b, f: b.u(pps.get("num_extra_slice_header_bits", 0)), own), ("slice_type", "ue", own),
         ("pic_output_flag", 1, lambda f: own(f) and pps.get("output_flag_present_flag")), ("colour_plane_id", 2, lambda f: own(f) and sps.get("separate_colour_plane_flag")),
-        ("slice_pic_order_cnt_lsb", sps.get("log2_max_pic_order_cnt_lsb_minus4", 4) + 4, moves), ("short_term_ref_pic_set_sps_flag", 1, moves),
-        *pictures, ("s0", each("num_negative_pics", "s0")), ("s1", each("num_positive_pics", "s1")),
-        ("short_term_ref_pic_set_idx", max(0, sps.get("num_short_term_ref_pic_sets", 1) - 1).bit_length(), lambda f: f.get("short_term_ref_pic_set_sps_flag") and sps.get("num_short_term_ref_pic_sets", 0) > 1),
-        ("slice_temporal_mvp_enabled_flag", 1, lambda f: moves(f) and sps.get("sps_temporal_mvp_enabled_flag") and not sps.get("long_term_ref_pics_present_flag")),
-        ("slice_sao_luma_flag", 1, lambda f: own(f) and sps.get("sample_adaptive_offset_enabled_flag") and not sps.get("long_term_ref_pics_present_flag")),
-        ("slice_sao_chroma_flag", 1, lambda f: "slice_sao_luma_flag" in f and sps.get("chroma_format_idc", 1)),
+        ("slice_pic_order_cnt_lsb", order, moves), ("short_term_ref_pic_set_sps_flag", 1, moves), ("set", inline, lambda f: f.get("short_term_ref_pic_set_sps_flag") == 0),
+        ("short_term_ref_pic_set_idx", max(0, count - 1).bit_length(), lambda f: f.get("short_term_ref_pic_set_sps_flag") and count > 1),
+        ("long_term", long_term, lambda f: moves(f) and sps.get("long_term_ref_pics_present_flag")), ("slice_temporal_mvp_enabled_flag", 1, lambda f: moves(f) and sps.get("sps_temporal_mvp_enabled_flag")),
+        ("slice_sao_luma_flag", 1, lambda f: own(f) and sps.get("sample_adaptive_offset_enabled_flag")), ("slice_sao_chroma_flag", 1, lambda f: "slice_sao_luma_flag" in f and chroma),
+        ("num_ref_idx_active_override_flag", 1, predicted), ("num_ref_idx_l0_active_minus1", "ue", _on("num_ref_idx_active_override_flag")),
+        ("num_ref_idx_l1_active_minus1", "ue", lambda f: f.get("num_ref_idx_active_override_flag") and f["slice_type"] == _B),
+        ("changes", changes, lambda f: predicted(f) and pps.get("lists_modification_present_flag") and current(f) > 1), ("mvd_l1_zero_flag", 1, both),
+        ("cabac_init_flag", 1, lambda f: predicted(f) and pps.get("cabac_init_present_flag")),
+        ("collocated_from_l0_flag", 1, lambda f: both(f) and f.get("slice_temporal_mvp_enabled_flag")),
+        ("collocated_ref_idx", "ue", lambda f: predicted(f) and f.get("slice_temporal_mvp_enabled_flag") and collocated(f)),
+        ("weights", lambda b, f: _hevc_weights(b, f, {k: refs(f, k) for k in lists(f)}, chroma), lambda f: predicted(f) and weighted(f)),
+        ("five_minus_max_num_merge_cand", "ue", predicted), ("slice_qp_delta", "se", own),
+        *[(f"slice_{c}_qp_offset", "se", lambda f: own(f) and pps.get("pps_slice_chroma_qp_offsets_present_flag")) for c in ("cb", "cr")],
+        ("deblocking_filter_override_flag", 1, lambda f: own(f) and pps.get("deblocking_filter_override_enabled_flag")),
+        ("slice_deblocking_filter_disabled_flag", 1, _on("deblocking_filter_override_flag")),
+        *[(f"slice_{c}_offset_div2", "se", lambda f: f.get("slice_deblocking_filter_disabled_flag") == 0) for c in ("beta", "tc")],
+        ("slice_loop_filter_across_slices_enabled_flag", 1, lambda f: own(f) and pps.get("pps_loop_filter_across_slices_enabled_flag") and filtered(f)),
+        ("entry_points", entry_points, lambda f: pps.get("tiles_enabled_flag") or pps.get("entropy_coding_sync_enabled_flag")),
+        ("slice_segment_header_extension_length", "ue", lambda f: pps.get("slice_segment_header_extension_present_flag")),
     ]
 
 
@@ -451,6 +571,39 @@ def slice_header(unit: Column, sps: Column, pps: Column, codec: str = "h264") ->
     return F.arrow_udf(run, "map<string,bigint>", F.ArrowUDFType.SCALAR)(unit, sps, pps)
 
 
+#: What tells a set or a slice by, and the fields that hold the numbers of sets: (kinds of units, syntax, own number, number of the set it refers to).
+_SETS = {
+    "h264": {"sps": ((7,), SPS, "seq_parameter_set_id", None), "pps": ((8,), PPS, "pic_parameter_set_id", "seq_parameter_set_id"), "slice": ((1, 2, 5), slice_steps({}, {}), None, "pic_parameter_set_id")},
+    "h265": {"sps": ((33,), HEVC_SPS, "sps_seq_parameter_set_id", None), "pps": ((34,), HEVC_PPS, "pps_pic_parameter_set_id", "pps_seq_parameter_set_id"), "slice": ((*range(10), *range(16, 22)), hevc_slice_steps({}, {}), None, "slice_pic_parameter_set_id")},
+}
+
+
+def with_active_sets(units: DataFrame, stream: list[str], order: list[str], codec: str = "h264", per: int | None = None) -> DataFrame:
+    """The slices among rows (stream, order, unit) with ``sps`` and ``pps``: the fields of the last picture set of its number before it, and of that one's sequence set.
+
+    A set that comes again replaces the one of its number from there on; slices without a set before them have null. ``per`` cuts streams into ranges of so
+    many units, for streams that are too long for a task (:mod:`tracklake.operators.buckets`).
+    """
+    from tracklake.operators.buckets import bucketed, over
+
+    first, kinds = F.conv(F.hex(F.substring("unit", 1, 1)), 16, 10).cast("int"), _SETS[codec]
+    kind = first.bitwiseAND(31) if codec == "h264" else F.shiftright(first, 1).bitwiseAND(63)
+    parts = []
+    for name, (numbers, steps, number, refers) in kinds.items():
+        fields = F.col("_f")
+        rows = units.withColumn("_kind", kind).where(F.col("_kind").isin(*numbers)).withColumns({"_kind": F.lit(name), "_f": header(F.col("unit"), steps)})
+        parts.append(rows.withColumns({"_own": fields[number] if number else F.lit(None).cast("long"), "_refers": fields[refers] if refers else F.lit(None).cast("long"), "_f": F.col("_f") if number else F.lit(None).cast("map<string,bigint>")}))
+    cut = lambda rows, group: bucketed(rows, group, order, per) if per else rows
+    sps, pps, slices = parts
+    group = [*stream, "_n"]
+    both = pps.withColumn("_n", F.col("_own")).unionByName(slices.withColumn("_n", F.col("_refers")))
+    found = over(cut(both, group), group, order, lasts={"pps": F.col("_f"), "_seq": F.when(F.col("_kind") == "pps", F.col("_refers"))}).where("_kind = 'slice'").drop("_bucket", "_n")
+    none = F.lit(None)
+    both = sps.withColumns({"_n": F.col("_own"), "pps": none.cast("map<string,bigint>"), "_seq": none.cast("long")}).unionByName(found.withColumn("_n", F.col("_seq")))
+    found = over(cut(both, group), group, order, lasts={"sps": F.when(F.col("_kind") == "sps", F.col("_f"))}).where("_kind = 'slice'")
+    return found.withColumn("sps", F.when(F.col("_seq").isNotNull(), F.col("sps"))).drop("_bucket", "_n", "_kind", "_f", "_own", "_refers", "_seq")
+
+
 def frame_rate(fields: Column, codec: str = "h264") -> Column:
     """Pictures a second by a sequence set's timing: two ticks a picture for H.264, one for H.265."""
     step = fields["num_units_in_tick"] * (2 if codec == "h264" else 1)

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.operators.buckets import bucketed, over
+
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def gop_closure(samples: DataFrame) -> DataFrame:
+def gop_closure(samples: DataFrame, per: int | None = None) -> DataFrame:
     """Rows that decoding the targets (``is_target``) needs: from the last key sample at or before each target to it.
 
     A running count of keys numbers the groups; a row is needed if a target stands at or after it in its group. One sort per track serves
-    both windows. Targets before any key need every row up to them, in group 0.
+    both windows. Targets before any key need every row up to them, in group 0. With ``per``, tracks are cut into ranges of so many rows, for tracks that
+    are too long for a task: the count is carried from range to range, and each group's last target is joined to its rows.
     """
+    if per:
+        rows = over(bucketed(samples, ["track_id"], ["dts_us", "index"], per), ["track_id"], ["dts_us", "index"], sums={"gop": F.col("is_key").cast("int")}).drop("_bucket")
+        last = rows.where("is_target").groupBy("track_id", "gop").agg(F.max(F.struct("dts_us", "index")).alias("_last"))
+        return rows.join(last, ["track_id", "gop"]).where(F.struct("dts_us", "index") <= F.col("_last")).drop("_last")
     w = Window.partitionBy("track_id").orderBy("dts_us", "index")
     gop = F.sum(F.col("is_key").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = Window.partitionBy("track_id", "gop").orderBy("dts_us", "index").rowsBetween(0, Window.unboundedFollowing)
@@ -25,11 +32,17 @@ def orphan_targets(samples: DataFrame) -> DataFrame:
     return gop_closure(samples).where("gop = 0 and is_target")
 
 
-def durations(samples: DataFrame, fallback_us: int) -> DataFrame:
-    """Own duration if positive, else the time to the next sample if positive, else a constant."""
-    step = F.lead("pts_us").over(Window.partitionBy("track_id").orderBy("pts_us", "index")) - F.col("pts_us")
-    own, gap = (F.when(x > 0, x) for x in (F.col("duration_us"), step))
-    return samples.withColumn("duration_us", F.coalesce(own, gap, F.lit(fallback_us)))
+def ranged(rows: DataFrame, group: list[str], order: list[str], per: int | None) -> DataFrame:
+    """Rows cut into ranges of ``per``, or as they are."""
+    return bucketed(rows, group, order, per) if per else rows
+
+
+def durations(samples: DataFrame, fallback_us: int, per: int | None = None) -> DataFrame:
+    """Own duration if positive, else the time to the next sample if positive, else a constant; ``per`` as in :func:`gop_closure`."""
+    group, order = ["track_id"], ["pts_us", "index"]
+    rows = over(ranged(samples, group, order, per), group, order, after={"_next": F.col("pts_us")})
+    own, gap = (F.when(x > 0, x) for x in (F.col("duration_us"), F.col("_next") - F.col("pts_us")))
+    return rows.withColumn("duration_us", F.coalesce(own, gap, F.lit(fallback_us))).drop("_next", "_bucket")
 
 
 def frame_durations(samples: DataFrame, fallback_us: int = 33_333) -> DataFrame:
@@ -65,22 +78,21 @@ def inferred_frame_rate(samples: DataFrame) -> DataFrame:
     return samples.groupBy("track_id").agg(rate.cast("int").alias("frame_rate"))
 
 
-def non_monotonic(samples: DataFrame, order: list[str], value: str) -> DataFrame:
-    """(track_id, violations): how often a value does not exceed the one before it."""
-    last = F.lag(value).over(Window.partitionBy("track_id").orderBy(*order))
-    return samples.withColumn("_bad", F.coalesce((F.col(value) <= last).cast("long"), F.lit(0))).groupBy("track_id").agg(F.sum("_bad").alias("violations"))
+def non_monotonic(samples: DataFrame, order: list[str], value: str, per: int | None = None) -> DataFrame:
+    """(track_id, violations): how often a value does not exceed the one before it; ``per`` as in :func:`gop_closure`."""
+    rows = over(ranged(samples, ["track_id"], order, per), ["track_id"], order, before={"_last": F.col(value)})
+    return rows.withColumn("_bad", F.coalesce((F.col(value) <= F.col("_last")).cast("long"), F.lit(0))).groupBy("track_id").agg(F.sum("_bad").alias("violations"))
 
 
 def diagnostics(rows: DataFrame, code: str, severity: str, message: Column, source: Column) -> DataFrame:
     return rows.select(source.cast("string").alias("source_id"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))
 
 
-def run_lengths(rows: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of equal values in order: (group, run, value, n), by islands."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    head = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"), F.lit(1))
-    head = F.when(F.row_number().over(w) == 1, 1).otherwise(head)
-    numbered = rows.withColumn("_head", head).withColumn("run", F.sum("_head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def run_lengths(rows: DataFrame, group: list[str], order: list[str], value: str, per: int | None = None) -> DataFrame:
+    """Runs of equal values in order: (group, run, value, n), by islands; ``per`` as in :func:`gop_closure`."""
+    rows = over(ranged(rows, group, order, per), group, order, before={"_before": F.struct(value)})
+    head = (F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before")[value])).cast("int")
+    numbered = over(rows.withColumn("_head", head), group, order, sums={"run": F.col("_head")})
     return numbered.groupBy(*group, "run", value).agg(F.count("*").alias("n"))
 
 
