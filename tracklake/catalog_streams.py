@@ -10,6 +10,7 @@ from .functions import names, planes
 from .functions import pcm as P
 from .functions import writers as W
 from .operators import packets as K
+from .operators import sound
 from .operators import timeline as T
 from .registry import EV, ev, query, table, vectors
 from .streaming import rings
@@ -132,6 +133,28 @@ def _(spark, d):
     return vectors(spark, d).select("vec_id", F.transform(out, lambda x: F.floor(x * 1e6 + 0.5)).alias("samples"))
 
 
+def clips(spark, d) -> DataFrame:
+    """The vectors of a label as one clip of sound, a block each."""
+    return vectors(spark, d).select(F.col("label").alias("clip"), F.col("vec_id").alias("place"), F.col("embedding").cast("array<double>").alias("samples"))
+
+
+@query("q_filtered_clips")
+def _(spark, d):
+    """A low-pass filter over clips that lie in many rows; no SQL, as for q_biquad."""
+    out = sound.filtered_clips(clips(spark, d), *P.biquad("lowpass", 1000.0, 8000))
+    return out.select("clip", "place", F.transform("samples", lambda x: F.floor(x * 1e6 + 0.5)).alias("samples"))
+
+
+@query("q_spectrum", """WITH c AS (SELECT label, flatten(list(embedding ORDER BY vec_id)) AS x FROM embeddings GROUP BY label), w AS (SELECT label, x, unnest(range((len(x) - 32) // 16 + 1)) AS k FROM c),
+s AS (SELECT label, k, list_transform(range(32), lambda i: x[k * 16 + i + 1]::DOUBLE * (0.42::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 32) + 0.08::DOUBLE * cos(4 * pi() * i / 32)) / 32) AS s FROM w),
+b AS (SELECT label, k, s, unnest(range(16)) AS bin FROM s),
+m AS (SELECT label, k, bin, list_sum(list_transform(range(32), lambda i: s[i + 1] * cos(2 * pi() * bin * i / 32))) AS re, list_sum(list_transform(range(32), lambda i: s[i + 1] * sin(2 * pi() * bin * i / 32))) AS im FROM b)
+SELECT label AS clip, k AS "window", list(floor(sqrt(re * re + im * im) * 1e9::DOUBLE + 0.5)::BIGINT ORDER BY bin) AS magnitudes FROM m GROUP BY label, k""")
+def _(spark, d):
+    """Spectra of clips that lie in many rows, windows of 32 samples, half overlapping; in thousand millionths."""
+    return sound.spectrum(clips(spark, d), 32).withColumn("magnitudes", F.transform("magnitudes", lambda x: F.floor(x * 1e9 + 0.5)))
+
+
 @query("q_wav_float", "SELECT vec_id::VARCHAR AS source_id, 3::BIGINT AS kind, 32::BIGINT AS bits, len(embedding)::BIGINT AS frames, (44 + 4 * len(embedding))::BIGINT AS n_bytes FROM embeddings")
 def _(spark, d):
     from .sources import media as M

@@ -108,27 +108,41 @@ def biquad(kind: str, frequency: float, rate: int, q: float = 1.0, gain_db: floa
     return [x / a[0] for x in b], [x / a[0] for x in a]
 
 
+def flat_lists(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all numbers, where each list starts, sizes) of a list array; a null list is empty."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(values), 0))
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(sizes) - sizes, sizes
+
+
+def as_lists(values: pa.Array, sizes: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """Numbers as lists of such sizes, null where ``values`` are."""
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+    return pc.if_else(values.is_null(), pa.scalar(None, lists.type), lists) if values.null_count else lists
+
+
+def second_order(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, b: list[float], a: list[float], state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(output, states at the end) of a second-order filter over lists side by side, one step for each place; from states at the start, or from rest."""
+    out = np.zeros(len(flat))
+    state = np.zeros((2, len(sizes))) if state is None else state
+    for place in range(int(sizes.max(initial=0))):
+        live = np.flatnonzero(sizes > place)
+        x = flat[start[live] + place]
+        y = b[0] * x + state[0, live]
+        state[0, live], state[1, live] = b[1] * x - a[1] * y + state[1, live], b[2] * x - a[2] * y
+        out[start[live] + place] = y
+    return out, state
+
+
 def filtered(samples: Column, b: list[float], a: list[float]) -> Column:
     """Samples through a second-order filter that starts at rest.
 
     A filter's output depends on its own last outputs, which no array function can express without copying the array at each step; so it runs over
-    Arrow lists, all arrays of a batch side by side, one step for each place.
+    Arrow lists, all arrays of a batch side by side. Clips that lie in many rows are filtered by :func:`tracklake.operators.sound.filtered_clips`.
     """
 
     def run(values: pa.Array) -> pa.Array:
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(values), 0))
-        ends = np.cumsum(sizes)
-        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        start, out = ends - sizes, np.zeros(len(flat))
-        state = np.zeros((2, len(sizes)))
-        for place in range(int(sizes.max(initial=0))):
-            live = np.flatnonzero(sizes > place)
-            x = flat[start[live] + place]
-            y = b[0] * x + state[0, live]
-            state[0, live], state[1, live] = b[1] * x - a[1] * y + state[1, live], b[2] * x - a[2] * y
-            out[start[live] + place] = y
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
-        return pc.if_else(values.is_null(), pa.scalar(None, lists.type), lists) if values.null_count else lists
+        flat, start, sizes = flat_lists(values)
+        return as_lists(values, sizes, second_order(flat, start, sizes, b, a)[0])
 
     return F.arrow_udf(run, "array<double>", F.ArrowUDFType.SCALAR)(samples.cast("array<double>"))
 
