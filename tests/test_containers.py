@@ -3,11 +3,13 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracklake.functions import bits
 from tracklake.functions import bitstream as N
+from tracklake.functions import writers as W
 from tracklake.plans import workflows as flows
 from tracklake.sources import audio as A
 from tracklake.sources import flv, mp4, transport
@@ -75,6 +77,18 @@ def test_random_syntax_round_trip():
         assert bits.parse(escaped(w.bytes()), steps) == values
 
 
+def test_columns_read_what_rows_read(spark):
+    rng = random.Random(5)
+    for _ in range(30):
+        steps = [(f"f{i}", rng.choice(["ue", "se", rng.randint(1, 32)])) for i in range(rng.randint(1, 12))]
+        units = [bytes(rng.choice([0, 0, 0, 1, 3, rng.randrange(256)]) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, b"", b"\0" * 9]
+        got = bits.read_columns(pa.array(units, pa.binary()), steps).to_pylist()
+        assert [dict(x) for x in got] == [bits.parse(u, steps) for u in units]
+    texts = ["", "1", "01", "11111111", "111111110", None, "0" * 17 + "1"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", W.bits_to_bytes(F.col("t")).alias("b")).collect()
+    assert {r.i: r.b and bytes(r.b) for r in rows} == {i: None if t is None else (t and bytes(int(t[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(t), 8))) or bytearray() for i, t in enumerate(texts)}
+
+
 def test_slice_with_lists_and_weights():
     sets, pictures = {"log2_max_frame_num_minus4": 0, "pic_order_cnt_type": 2, "frame_mbs_only_flag": 1}, {"weighted_pred_flag": 1, "deblocking_filter_control_present_flag": 0}
     w = Writer().u(0b01100001, 8).ue(0).ue(0).ue(0).u(5, 4).u(1, 1).ue(1).u(1, 1).ue(0).ue(7).ue(3)

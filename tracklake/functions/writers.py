@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +29,24 @@ def joined_in_order(data: str, *order: str) -> Column:
     return joined(F.transform(parts, lambda p: p["_data"]))
 
 
+def _packed(texts: pa.Array) -> pa.Array:
+    """Texts of 0 and 1 as bytes, all of a batch at once."""
+    texts = texts.cast(pa.large_string())
+    start = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    bits = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[start[0] : start[-1]] == 49
+    sizes = np.diff(start)
+    room = -(-sizes // 8)
+    ends = np.cumsum(room)
+    wide = np.zeros(8 * int(room.sum()), bool)
+    wide[np.arange(len(bits)) + np.repeat(8 * (ends - room) - (start[:-1] - start[0]), sizes)] = bits
+    data = np.packbits(wide)
+    out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    return pc.if_else(texts.is_null(), pa.scalar(None, pa.binary()), out) if texts.null_count else out
+
+
 def bits_to_bytes(bits: Column) -> Column:
     """A text of 0 and 1 as bytes, filled up with 0."""
-    n = F.ceil(F.length(bits) / 8).cast("int")
-    whole = F.rpad(bits, n * 8, F.lit("0"))
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.conv(F.substring(whole, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    return F.when(F.length(bits) > 0, F.unhex(F.array_join(each, ""))).otherwise(F.lit(b""))
+    return F.arrow_udf(_packed, "binary", F.ArrowUDFType.SCALAR)(bits)
 
 
 def ue_bits(value: Column) -> Column:
