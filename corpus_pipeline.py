@@ -30,8 +30,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # written, so that the join to them is chosen by their real size
     gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
     twice = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    once = docs.join(gone.union(twice), "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(docs.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]  # names may hold points
+    once = docs.join(gone.union(twice), "doc_id", "left_anti").select(*columns)
+    return once.unionByName(docs.join(twice, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
