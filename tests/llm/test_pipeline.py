@@ -78,10 +78,10 @@ def test_run_and_names(spark, tmp_path):
 
 
 def test_columns_with_odd_names(spark, tmp_path):
-    """Blanks, hyphens and the names that stages use inside don't clash, and come through."""
+    """Blanks, hyphens, points and the names that stages use inside don't clash, and come through."""
     corpus(tmp_path, spark)
     d = str(tmp_path)
-    extra = ["a b", "a-b", "_id", "row", "toxicity_score", "shard", "hits", "kept"]
+    extra = ["a b", "a-b", "a.b", "_id", "row", "toxicity_score", "shard", "hits", "kept"]
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(40)
     docs = docs.select("*", *[docs["n_chars"].alias(c) for c in extra]).cache()
     for stage in (p.drop_toxic, p.drop_near_duplicates, p.drop_contaminated, p.mix_sources):
