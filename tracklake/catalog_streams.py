@@ -13,7 +13,7 @@ from .operators import packets as K
 from .operators import sound
 from .operators import timeline as T
 from .registry import EV, ev, query, table, vectors
-from .streaming import rings
+from .streaming import live, rings
 
 # --- numbers and names
 
@@ -343,3 +343,39 @@ def _(spark, d):
     """Deltas summed up by track, and the longest track of each group of tracks that share a movie."""
     ticks = T.dts_deltas(ev(spark, d)).groupBy("track_id").agg(F.sum("delta").alias("ticks"))
     return ticks.withColumn("movie_ticks", F.max("ticks").over(Window.partitionBy(F.col("track_id") % 10)))
+
+
+# --- live sessions
+
+#: What the watermark has passed when a stream has read all events: ten seconds before the last of them.
+_PASSED = "pts < ((SELECT max(pts) FROM ev) // 1000 - 10000) * 1000"
+
+
+def live_events(spark, d):
+    rows = ev(spark, d, stream=True).select("track_id", F.col("index").alias("idx"), "pts_us", "is_key", "is_target")
+    return rows.withColumn("ts", F.timestamp_micros("pts_us"))
+
+
+@query("q_released", f"WITH {EV} SELECT track_id, idx, pts AS pts_us, row_number() OVER (PARTITION BY track_id ORDER BY pts, idx) AS n FROM ev WHERE {_PASSED}")
+def _(spark, d):
+    """Packets of a stream, released when the watermark passes their times; what the watermark has not passed is held."""
+    return rings.replayed(live.released(live_events(spark, d)))
+
+
+@query("q_control_gate", f"""WITH {EV}, k AS (SELECT *, CASE WHEN is_key THEN 'start' WHEN is_target THEN 'stop' END AS action FROM ev),
+s AS (SELECT *, last_value(action IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY pts, action IS NULL, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'start' AS open FROM k)
+SELECT track_id, CASE WHEN action IS NULL THEN 'media' WHEN action = 'start' THEN CASE WHEN open THEN 'already_recording' ELSE 'started' END WHEN open THEN 'stopped' ELSE 'not_recording' END AS event, idx, CASE WHEN action IS NULL THEN pts END AS pts_us
+FROM s WHERE (action IS NOT NULL OR open) AND {_PASSED}""")
+def _(spark, d):
+    """A gate that a control stream opens (signups) and shuts (purchases), with what it refuses."""
+    rows = live_events(spark, d)
+    control = rows.where("is_key or is_target").withColumn("action", F.when(F.col("is_key"), "start").otherwise("stop"))
+    return rings.replayed(live.control_gate(rows.where("not is_key and not is_target"), control))
+
+
+@query("q_presentable_within", f"""WITH {EV}, c AS (SELECT DISTINCT track_id, pts AS clock_us FROM ev WHERE is_target), p AS (SELECT track_id, pts FROM ev WHERE NOT is_target)
+SELECT c.track_id, clock_us, coalesce(max(pts) FILTER (pts <= clock_us), min(pts)) AS pts_us FROM c LEFT JOIN p ON c.track_id = p.track_id AND abs(pts - clock_us) <= 172800000000 GROUP BY ALL""")
+def _(spark, d):
+    """The packet that is shown at each tick, within two days: the same plan serves two streams."""
+    rows = ev(spark, d).withColumn("ts", F.timestamp_micros("pts_us"))
+    return live.presentable(rows.where("is_target"), rows.where("not is_target"), "2 days")
