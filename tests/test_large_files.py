@@ -39,7 +39,7 @@ def write(folder, **files):
         (folder / name).write_bytes(data)
 
 
-@pytest.mark.parametrize("split", [499, 4096, 1 << 20])
+@pytest.mark.parametrize("split", [700, 4096, 1 << 20])
 def test_transport_splits(spark, tmp_path, split):
     data = {"a.ts": transport_stream(), "b.ts": transport_stream(30, 2, junk=False), "c.ts": b"", "d.ts": bytes(3000)}
     write(tmp_path, **data)
@@ -78,7 +78,7 @@ def sound(n=80, seed=3, tail=b"TAG", head=b"ID3\4\0\0\0\0\0\x0a" + bytes(10)):
     return out + tail
 
 
-@pytest.mark.parametrize("split", [641, 5000, 1 << 20])
+@pytest.mark.parametrize("split", [1500, 5000, 1 << 20])
 def test_mp3_splits(spark, tmp_path, split):
     big = b"ID3\4\0\0" + bytes([0, 0, 40, 0]) + bytes(5120)
     files = {"a.mp3": sound(), "b.mp3": sound(40, 4, head=big), "c.mp3": sound(20, 5) + sound(5, 6), "d.mp3": b"ID3" + bytes(100), "e.mp3": b"\xff\xfb" + bytes(9000) + sound(9, 7, head=b"")}
@@ -230,7 +230,7 @@ def test_bytes_are_cut_per_file(spark):
     with flows.Walk(every, ("flv", "mp4"), with_data=True) as found:
         assert got == {(r.track_id, r["index"]): bytes(r.data) for r in flows.samples_of(found.rows, True, ("flv", "mp4")).collect()} and len(got) == 135
     joined = flows.sample_bytes(samples, every)._jdf.queryExecution().optimizedPlan().toString()
-    assert joined.count("+- Join") + joined.count("Join Inner") == 1 and "collect_list" in joined
+    assert sum("Join " in line for line in joined.splitlines()) == 1 and "collect_list" in joined
 
 
 def test_sample_tables_that_end_early():
