@@ -218,7 +218,7 @@ def _(spark, d):
 
 @query("q_audio_range", f"WITH {EV} SELECT track_id, min(pts) AS start_us, max(pts) AS end_us, max(pts) - min(pts) > 300000000 AS too_long FROM ev WHERE is_key GROUP BY track_id")
 def _(spark, d):
-    return K.audio_range(ev(spark, d).where("is_key"))
+    return K.audio_range(ev(spark, d).where("is_key"), most_us=300_000_000)
 
 
 @query("q_g711_clips", """WITH b AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n, list_transform(range(0, 8), lambda i: (p_partkey * 7 + i * 31) % 256) AS codes FROM part),
