@@ -30,31 +30,44 @@ from .sink import filesystem
 
 #: Bytes of a split, and what a split sees of the next one: enough for a packet and for a frame's header.
 SPLIT, AHEAD = 32 << 20, 188 + 64
+#: Bytes of small ranges that one task reads together.
+LEAST = 1 << 20
 #: Packets or frames in a row that make a guess.
 CHAIN = 4
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, split: int, start: int, stop: int, size: int) -> None:
-        super().__init__((path, split, start, stop, size))
+class Ranges(InputPartition):
+    """What one task reads: a range (path, split, start, stop, size), or several of small files."""
+
+    def __init__(self, ranges: list[tuple]) -> None:
+        super().__init__(ranges)
 
 
 class RangeReader(DataSourceReader):
     def __init__(self, path: str, split: int) -> None:
         self.path, self.split = path, split
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         store, path = filesystem(self.path)
         found = store.get_file_info(path)
         files = [found] if found.type == fs.FileType.File else [f for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
-        return [Range(f.path, k, at, min(at + self.split, f.size), f.size) for f in sorted(files, key=lambda f: f.path) for k, at in enumerate(range(0, f.size, self.split))]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        path, split, start, stop, size = partition.value
+        out, held = [[]], 0
+        for f in sorted(files, key=lambda f: f.path):
+            for k, at in enumerate(range(0, f.size, self.split)):
+                stop = min(at + self.split, f.size)
+                if out[-1] and held + stop - at > max(self.split, LEAST):
+                    out.append([])
+                    held = 0
+                out[-1].append((f.path, k, at, stop, f.size))
+                held += stop - at
+        return [Ranges(x) for x in out if x]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(self.path)
-        with store.open_input_file(path) as f:
-            data = f.read_at(min(stop + AHEAD, size) - start, start)
-        yield pa.RecordBatch.from_pydict({"path": [path], "split": [split], "start": [start], "stop": [stop], "size": [size], "data": [data]})
+        for path, split, start, stop, size in partition.value:
+            with store.open_input_file(path) as f:
+                data = f.read_at(min(stop + AHEAD, size) - start, start)
+            yield pa.RecordBatch.from_pydict({"path": [path], "split": [split], "start": [start], "stop": [stop], "size": [size], "data": [data]})
 
 
 class ByteRanges(DataSource):
