@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import catalog_streams, catalog_workflows  # noqa: F401  they register their queries
+from . import catalog_assets, catalog_streams, catalog_workflows  # noqa: F401  they register their queries
 from .catalog_containers import transport_files
 from .functions import bitstream as N
 from .functions import bytesql as B

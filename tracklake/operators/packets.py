@@ -15,6 +15,7 @@ from tracklake.functions import bitstream as N
 from tracklake.functions import bytesql as B
 from tracklake.functions import pcm as P
 from tracklake.functions import writers as W
+from tracklake.operators import selection as S
 from tracklake.operators import timeline as T
 
 
@@ -58,7 +59,7 @@ def encoded_packets(samples: DataFrame, tracks: DataFrame) -> DataFrame:
 
     ``tracks`` (track_id, kind, family, format) has one row for each track and is joined by its size. Sound in raw AAC loses its ADTS headers.
     """
-    rows = samples.where(F.length("data") > 0).join(tracks.select("track_id", "kind", "family", "format"), "track_id")
+    rows = samples.where(F.length("data") > 0).drop("kind", "family", "format").join(tracks.select("track_id", "kind", "family", "format"), "track_id")
     layout = N.bitstream_format(F.col("kind"), F.col("format"), F.col("family"))
     data = F.when(layout == "aac_raw", N.without_adts(F.col("data"))).otherwise(F.col("data"))
     return rows.select(F.concat("sample_id", F.lit(":packet")).alias("packet_id"), "sample_id", "track_id", "family", layout.alias("layout"), data.alias("data"), "pts_us", "dts_us", "duration_us", "is_key")
@@ -134,7 +135,11 @@ def decode_request(samples: DataFrame, tracks: DataFrame, targets: Targets, most
 
     With ``most_packets`` only so many of a track are kept, the first in decode order, and a warning tells how many are not; a player that decodes at once takes 7,200.
     """
-    marked = target_samples(samples, targets)
+    return decode_marked(target_samples(samples, targets), tracks, most_packets)
+
+
+def decode_marked(marked: DataFrame, tracks: DataFrame, most_packets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """As :func:`decode_request`, of samples whose ``is_target`` is known."""
     needed = T.gop_closure(marked)
     n = F.row_number().over(Window.partitionBy("track_id").orderBy(*feed_order()))
     packets = encoded_packets(needed, tracks).withColumn("n", n)
@@ -168,6 +173,68 @@ def range_errors(ranges: DataFrame) -> DataFrame:
     return T.diagnostics(ranges.where("too_long"), "audio_request.range_too_long", "error", F.concat(seconds, F.lit(" seconds")), F.col("track_id"))
 
 
+#: What a decoder of pictures is asked for where nothing is said: each track's first key sample.
+FIRST_KEY = S.Criteria(frame_type="key", limit=1)
+
+
+def _decodable(tracks: DataFrame, kind: str, node: str, bare: Column) -> tuple[DataFrame, DataFrame]:
+    """(tracks of a kind that have a decoder's configuration or need none (``bare``), errors of the others)."""
+    law = F.col("law") if "law" in tracks.columns else F.lit(None).cast("string")
+    codec = decoder_config(F.col("kind"), F.col("family"), F.col("config"), law)
+    problem = F.when(~F.col("kind").eqNullSafe(kind), F.lit(f"is not {kind}")).when(codec.isNull() & ~F.coalesce(bare, F.lit(False)), "has no decoder configuration")
+    rows = tracks.withColumns({"decoder": codec, "_problem": problem})
+    errors = T.diagnostics(rows.where("_problem is not null"), f"{node}.track", "error", F.col("_problem"), F.col("track_id"))
+    return rows.where("_problem is null").drop("_problem"), errors
+
+
+def video_decode(samples: DataFrame, tracks: DataFrame, criteria: S.Criteria = FIRST_KEY, track_id: str | None = None, nth: object = 0, eager: bool = False, most_packets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(packets for a decoder in their order ``n``, notes) of one video track of each source (source_id, track_id, index, kind, family, format, config).
+
+    Without ``eager`` the packets are those of the selected samples, as a player streams them (all of a track's, if nothing is selected), and a note
+    says that no picture is asked for; with it, also those that decoding the selected pictures needs.
+    """
+    picked, _, errors = S.select_tracks(tracks, samples, track_id, "video", nth)
+    good, unfit = _decodable(picked, "video", "video_decode", F.lit(False))
+    own = samples.join(good.select("track_id"), "track_id", "left_semi")
+    selected = S.select_samples(own, criteria)
+    notes = errors.unionByName(unfit).unionByName(S.selection_facts(own, selected, criteria)[1])
+    if eager:
+        packets, told = decode_marked(S.mark_samples(own, criteria), good, most_packets)
+        return packets, notes.unionByName(told)
+    skipped = T.diagnostics(good, "video_decode.eager_decode_skipped", "info", F.lit("packets only, no pictures"), F.col("track_id"))
+    return encoded_tracks(selected, own, good)[0], notes.unionByName(skipped)
+
+
+def audio_decode(samples: DataFrame, tracks: DataFrame, start_seconds: object = 0, end_seconds: object = -1, track_id: str | None = None, nth: object = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packets in their order ``n``, ranges (track_id, start_us, end_us), notes) of one audio track of each source, as in :func:`video_decode`.
+
+    The range lies after the track's first sample; without an end it reaches to where the last sample ends. MP3 needs no configuration, and its samples
+    without a duration last until the next one; other samples without one have no part in a range that starts at or after them.
+    """
+    start, end = S.finite(start_seconds) or 0, S.finite(end_seconds)
+    criteria = S.Criteria(start_us=start * 1_000_000, end_us=-1 if end is None else end * 1_000_000, kind="audio")
+    picked, _, errors = S.select_tracks(tracks, samples, track_id, "audio", nth)
+    good, unfit = _decodable(picked, "audio", "audio_decode", F.col("family") == "mp3")
+    own = samples.join(good.select("track_id", F.col("family").eqNullSafe("mp3").alias("_mp3")), "track_id")
+    spans = S.selection_facts(own, own, criteria)[0]
+    begin = F.greatest(F.lit(0), F.floor("range_start")).cast("long")
+    ranges = spans.select("track_id", begin.alias("start_us"), F.greatest(begin, F.floor("range_end").cast("long")).alias("end_us"))
+    reach = F.col("pts_us") + F.coalesce("duration_us", F.lit(0))
+    plain = own.where("not _mp3").join(ranges, "track_id").where((reach > F.col("start_us")) & (F.col("pts_us") < F.col("end_us"))).drop("start_us", "end_us")
+    heard = plain.unionByName(S.select_samples(own.where("_mp3"), criteria).drop("position", "n")).drop("_mp3")
+    w = Window.partitionBy("track_id").orderBy(*presentation_order())
+    rate = W.positive(F.col("rate")) if "rate" in good.columns else F.lit(None).cast("long")
+    frame = good.select("track_id", F.floor(1024 * 1_000_000 / F.coalesce(rate, F.lit(48_000)) + 0.5).cast("long").alias("_frame"))
+    packets = encoded_packets(heard, good).withColumns({"n": F.row_number().over(w), "_step": F.lead("pts_us").over(w) - F.col("pts_us")}).join(frame, "track_id")
+    lasts = F.coalesce(W.positive(F.col("duration_us")), W.positive(F.col("_step")), F.col("_frame"))
+    packets = packets.withColumns({"duration_us": lasts, "is_key": (F.col("family") == "aac") | F.col("is_key")}).drop("_step", "_frame")
+    silent = heard.groupBy("track_id").agg(F.max(F.coalesce(F.length("data"), F.lit(0))).alias("longest")).where("longest = 0")
+    notes = errors.unionByName(unfit)
+    notes = notes.unionByName(T.diagnostics(ranges.where("end_us <= start_us"), "audio_request.empty_range", "warning", F.lit("the range is empty"), F.col("track_id")))
+    notes = notes.unionByName(T.diagnostics(silent, "audio_request.missing_packet_data", "error", F.lit("the samples have no bytes"), F.col("track_id")))
+    return packets, ranges, notes
+
+
 def g711_clips(packets: DataFrame, ranges: DataFrame, rate: int = 8000, channels: int = 1, law: str = "ulaw") -> DataFrame:
     """(track_id, planes array<array<double>>, pts_us) of G.711 packets (track_id, pts_us, data): side by side, as floats, cut to each track's range.
 
