@@ -195,14 +195,16 @@ def video_decode(samples: DataFrame, tracks: DataFrame, criteria: S.Criteria = F
     """
     picked, _, errors = S.select_tracks(tracks, samples, track_id, "video", nth)
     good, unfit = _decodable(picked, "video", "video_decode", F.lit(False))
-    own = samples.join(good.select("track_id"), "track_id", "left_semi")
-    selected = S.select_samples(own, criteria)
-    notes = errors.unionByName(unfit).unionByName(S.selection_facts(own, selected, criteria)[1])
+    marked = S.mark_samples(samples.join(good.select("track_id"), "track_id", "left_semi"), criteria)
+    empty = marked.groupBy("track_id").agg(F.max("is_target").alias("some")).where("not some")
+    notes = errors.unionByName(unfit).unionByName(T.diagnostics(empty, "selection.empty", "warning", F.lit("no sample matches"), F.col("track_id")))
     if eager:
-        packets, told = decode_marked(S.mark_samples(own, criteria), good, most_packets)
+        packets, told = decode_marked(marked, good, most_packets)
         return packets, notes.unionByName(told)
+    some = F.max("is_target").over(Window.partitionBy("track_id"))
+    packets = encoded_packets(marked.withColumn("_some", some).where("is_target or not _some"), good)
     skipped = T.diagnostics(good, "video_decode.eager_decode_skipped", "info", F.lit("packets only, no pictures"), F.col("track_id"))
-    return encoded_tracks(selected, own, good)[0], notes.unionByName(skipped)
+    return packets.withColumn("n", F.row_number().over(Window.partitionBy("track_id").orderBy(*feed_order()))), notes.unionByName(skipped)
 
 
 def audio_decode(samples: DataFrame, tracks: DataFrame, start_seconds: object = 0, end_seconds: object = -1, track_id: str | None = None, nth: object = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -216,7 +218,7 @@ def audio_decode(samples: DataFrame, tracks: DataFrame, start_seconds: object =
     picked, _, errors = S.select_tracks(tracks, samples, track_id, "audio", nth)
     good, unfit = _decodable(picked, "audio", "audio_decode", F.col("family") == "mp3")
     own = samples.join(good.select("track_id", F.col("family").eqNullSafe("mp3").alias("_mp3")), "track_id")
-    spans = S.selection_facts(own, own, criteria)[0]
+    spans = S.selection_ranges(own, criteria)
     begin = F.greatest(F.lit(0), F.floor("range_start")).cast("long")
     ranges = spans.select("track_id", begin.alias("start_us"), F.greatest(begin, F.floor("range_end").cast("long")).alias("end_us"))
     reach = F.col("pts_us") + F.coalesce("duration_us", F.lit(0))

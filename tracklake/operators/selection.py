@@ -162,17 +162,18 @@ def mark_samples(samples: DataFrame, c: Criteria) -> DataFrame:
     return rows.withColumn("is_target", F.col("is_target") & (count <= c.limit))
 
 
-def selection_facts(samples: DataFrame, selected: DataFrame, c: Criteria) -> tuple[DataFrame, DataFrame]:
-    """((track_id, n_selected, range_start, range_end), warnings of tracks of which nothing is selected).
-
-    A selection's range starts ``start_us`` after the track's first sample and ends ``end_us`` after it, or where the track's last sample ends. Two
-    aggregates with map-side combining; no window.
-    """
+def selection_ranges(samples: DataFrame, c: Criteria) -> DataFrame:
+    """(track_id, range_start, range_end): a selection's range starts ``start_us`` after the track's first sample and ends ``end_us`` after it, or where
+    the track's last sample ends. One aggregate with map-side combining; no window."""
     place, start = F.struct(*PRESENTATION), F.min_by("pts_us", F.struct(*PRESENTATION))
     end = start + c.end_us if c.end_us >= 0 else F.max_by(F.col("pts_us") + F.greatest(F.lit(0), F.coalesce("duration_us", F.lit(0))), place)
-    spans = samples.groupBy("track_id").agg((start + c.start_us).alias("range_start"), end.alias("range_end"))
+    return samples.groupBy("track_id").agg((start + c.start_us).alias("range_start"), end.alias("range_end"))
+
+
+def selection_facts(samples: DataFrame, selected: DataFrame, c: Criteria) -> tuple[DataFrame, DataFrame]:
+    """((track_id, n_selected, range_start, range_end), warnings of tracks of which nothing is selected)."""
     counts = selected.groupBy("track_id").agg(F.count("*").alias("n_selected"))
-    facts = spans.join(counts, "track_id", "left").fillna(0, ["n_selected"]).select("track_id", "n_selected", "range_start", "range_end")
+    facts = selection_ranges(samples, c).join(counts, "track_id", "left").fillna(0, ["n_selected"]).select("track_id", "n_selected", "range_start", "range_end")
     return facts, T.diagnostics(facts.where("n_selected = 0"), "selection.empty", "warning", F.lit("no sample matches"), F.col("track_id"))
 
 
