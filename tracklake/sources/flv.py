@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,24 +56,32 @@ def script_values(sources: DataFrame) -> DataFrame:
     return values_of(walk.files(sources, ("flv",)))
 
 
-def values_of(rows: DataFrame) -> DataFrame:
-    """The values of the script tags in rows of :func:`tracklake.sources.walk.files`."""
+def _values(bodies: pa.Array) -> pa.Array:
+    """The values of each script tag; of one that is cut, and of null, none."""
+    counts, found = [0], []
+    for body in bodies.to_pylist():
+        try:
+            if body is not None:
+                _, place = amf_values(body, 0)  # the event's name
+                found += amf_values(body, place)[0]
+        except _Cut:
+            pass
+        counts.append(len(found))
+    kinds = (pa.string(), pa.float64(), pa.string())
+    items = pa.StructArray.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["key", "number", "text"])
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), items)
+
+
+def told(body: Column) -> Column:
+    """array<struct<key, number, text>> of the values of script tags, in their order, to be exploded."""
+    return F.arrow_udf(_values, "array<struct<key:string,number:double,text:string>>", F.ArrowUDFType.SCALAR)(body)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for name, at, body in zip(*(batch.column(k).to_pylist() for k in ("source_id", "offset", "body")), strict=True):
-                try:
-                    _, place = amf_values(body, 0)  # the event's name
-                    out += [(name, key, number, text, at, n) for n, (key, number, text) in enumerate(amf_values(body, place)[0])]
-                except _Cut:
-                    pass
-            kinds = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["source_id", "key", "number", "text", "at", "n"])
 
+def values_of(rows: DataFrame) -> DataFrame:
+    """The values of the script tags in rows of :func:`tracklake.sources.walk.files`."""
     tags = rows.where("format = 'flv' and what = 'tag' and kind = 'script'").select("source_id", "offset", "body")
-    found = tags.mapInArrow(run, "source_id string, key string, number double, text string, at long, n long")
-    last = found.groupBy("source_id", "key").agg(F.max_by(F.struct("number", "text"), F.struct("at", "n")).alias("v"))
+    found = tags.select("source_id", "offset", F.posexplode(told(F.col("body"))).alias("n", "v"))
+    last = found.groupBy("source_id", F.col("v.key").alias("key")).agg(F.max_by(F.struct("v.number", "v.text"), F.struct("offset", "n")).alias("v"))
     return last.select("source_id", "key", F.col("v.number").alias("number"), F.col("v.text").alias("text"))
 
 
@@ -102,16 +109,18 @@ def audio_streams(sources: DataFrame) -> DataFrame:
 
 
 def sound_of(rows: DataFrame) -> DataFrame:
-    """:func:`audio_streams` by rows of :func:`tracklake.sources.walk.files`."""
-    tags = rows.where("format = 'flv' and what = 'tag' and kind = 'audio'")
-    first = tags.groupBy("source_id").agg(
-        F.min_by(F.col("number").cast("int"), "offset").alias("sound_format"),
-        F.min_by("body", F.when(F.col("config"), F.col("offset"))).alias("asc"),
-        F.min_by("body", F.when(~F.col("config"), F.col("offset"))).alias("mp3"),
-    ).withColumns({"asc": audio_config(F.col("asc")), "mp3": _mp3(F.col("mp3"))})
-    value = lambda k: F.max(F.when(F.lower(F.regexp_replace(F.col("key"), "_", "")) == k, F.coalesce("number", F.col("text").try_cast("double"))))
-    script = values_of(rows).groupBy("source_id").agg(value("audiosamplerate").alias("r"), value("stereo").alias("s"), value("audiochannels").alias("c"))
-    known = first.join(script, "source_id", "left")
+    """:func:`audio_streams` by rows of :func:`tracklake.sources.walk.files`, which are gone through once: tags of sound and values of scripts meet in one exchange."""
+    heard, at = F.col("kind") == "audio", F.when(F.col("kind") == "audio", F.col("offset"))
+    tags = rows.where("format = 'flv' and what = 'tag' and kind in ('audio', 'script')")
+    each = tags.select("source_id", "kind", "offset", "number", "config", F.when(heard, F.col("body")).alias("body"), F.posexplode_outer(told(F.when(~heard, F.col("body")))).alias("n", "v"))
+    last = each.groupBy("source_id", F.col("v.key").alias("key")).agg(
+        F.max(heard).alias("heard"), F.min_by(F.col("number").cast("int"), at).alias("sound_format"), F.min_by("body", F.when(F.col("config"), at)).alias("asc"), F.min_by("body", F.when(~F.col("config"), at)).alias("mp3"),
+        F.max_by(F.struct("v.number", "v.text"), F.when(~heard, F.struct("offset", "n"))).alias("v"),
+    )
+    value = lambda k: F.max(F.when(F.lower(F.regexp_replace(F.col("key"), "_", "")) == k, F.coalesce("v.number", F.col("v.text").try_cast("double"))))
+    one = lambda c: F.first(c, ignorenulls=True).alias(c)  # noqa: E731  only rows without a key have sound
+    known = last.groupBy("source_id").agg(F.max("heard").alias("heard"), one("sound_format"), one("asc"), one("mp3"), value("audiosamplerate").alias("r"), value("stereo").alias("s"), value("audiochannels").alias("c"))
+    known = known.where("heard").withColumns({"asc": audio_config(F.col("asc")), "mp3": _mp3(F.col("mp3"))})
     fmt = F.col("sound_format")
     told_rate = F.when(F.col("r") > 0, F.col("r").cast("long"))
     told_channels = F.when(F.col("r") > 0, F.when(F.col("s").isNotNull(), F.when(F.col("s") != 0, 2).otherwise(1)).otherwise(F.coalesce("c", F.lit(1)))).cast("long")

@@ -9,6 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a task where each row takes long.
+ROWS_A_TASK = 10_000
+
+
+def spread(df: DataFrame, per: int = ROWS_A_TASK) -> DataFrame:
+    """``df`` dealt over tasks by its number of rows, for work that is long for each row: a table of few bytes is read by few tasks, however many rows it has."""
+    tasks = -(-df.count() // per)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tracklake-")
