@@ -2,8 +2,10 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracklake import catalog, catalog_containers, tables
+from tracklake.operators import buckets
 from tracklake.sources import flv, walk
 
 from .test_sources import tag
@@ -51,3 +53,11 @@ def test_files_made_of_parts_are_dealt_out(spark, parts, few_rows):
     assert catalog.QUERIES["q_script_values"](spark, parts).count() == 240
 
 
+def test_ranges_are_more_than_tasks(spark):
+    rows = spark.range(3000).selectExpr("0L AS g", "id div 3 AS k", "id AS v")
+    cut = buckets.bucketed(rows, ["g"], ["k"], 10)
+    each = cut.groupBy("_bucket").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n")).orderBy("_bucket").collect()
+    assert len(cut.inputFiles()) == 1 and len(each) >= 250 and max(r.n for r in each) <= 13
+    assert all(a.high < b.low for a, b in zip(each, each[1:]))  # equal rows stay together
+
+

@@ -18,10 +18,20 @@ from tracklake.tables import written
 PER = 1_000_000
 
 
+#: Rows that one task sorts, of as many ranges as they make: ranges may be many, but tasks and the samples that divide them must not be.
+ROWS_A_TASK = 250_000
+
+
 def bucketed(rows: DataFrame, group: list[str], order: list[str], per: int = PER) -> DataFrame:
-    """``rows`` with ``_bucket``, which grows with (group, order) and holds about ``per`` rows; rows that are equal in both stay together."""
-    count = max(1, -(-rows.count() // per))
-    out, _ = written(rows.repartitionByRange(count, *group, *order).withColumn("_bucket", F.spark_partition_id()), "buckets")
+    """``rows`` with ``_bucket``, which grows with (group, order) and holds about ``per`` rows; rows that are equal in both stay together.
+
+    Tasks sort larger ranges and cut them by place, so what the driver is told of tasks does not grow with the number of buckets.
+    """
+    tasks, cluster = max(1, -(-rows.count() // max(per, ROWS_A_TASK))), [*group, *order]
+    placed = rows.repartitionByRange(tasks, *cluster).sortWithinPartitions(*cluster).withColumn("_bucket", F.monotonically_increasing_id())
+    first = F.min("_bucket").over(Window.partitionBy(*cluster))  # the ranges are already divided by what it is partitioned by
+    place = first.bitwiseAND((1 << 33) - 1)
+    out, _ = written(placed.withColumn("_bucket", first - place + F.floor(place / per)), "buckets")
     return out
 
 
