@@ -1,10 +1,13 @@
 """What grows with the input stays divided: small files share batches, tables of few bytes are dealt over tasks."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracklake import catalog, catalog_containers, tables
+from tracklake.functions import bits, bitstream
 from tracklake.operators import buckets
 from tracklake.sources import flv, walk
 
@@ -61,3 +64,28 @@ def test_ranges_are_more_than_tasks(spark):
     assert all(a.high < b.low for a, b in zip(each, each[1:]))  # equal rows stay together
 
 
+def test_slices_are_read_column_wise(monkeypatch):
+    """Conditions, units that end early, and units with what repeats, which alone are read one by one."""
+    rng = random.Random(3)
+    sps = {"pic_order_cnt_type": 0, "log2_max_frame_num_minus4": 4, "log2_max_pic_order_cnt_lsb_minus4": 2, "frame_mbs_only_flag": 0}
+    pps = {"entropy_coding_mode_flag": 1, "deblocking_filter_control_present_flag": 1, "bottom_field_pic_order_in_frame_present_flag": 1}
+    units = [bytes([rng.choice([0x21, 0x41, 0x65])]) + rng.randbytes(rng.randrange(12)) for _ in range(3000)] + [None, b""]
+    for steps in (bits.slice_steps(sps, pps), bits.slice_steps({}, {}), bits.hevc_slice_steps({"num_short_term_ref_pic_sets": 1}, {"cabac_init_present_flag": 1}), bits.SPS):
+        want = [bits.parse(u, steps) for u in units]
+        got = bits.read_columns(pa.array(units, pa.binary()), steps)
+        assert [list(x) for x in got.to_pylist()] == [list(x.items()) for x in want]
+    alone = []
+    monkeypatch.setattr(bits, "parse", lambda u, s, real=bits.parse: alone.append(u) or real(u, s))
+    simple = [b"\x21\xb0" + rng.randbytes(2) + b"\x40" for _ in range(500)]  # I slices without marking
+    bits.read_columns(pa.array(simple), bits.slice_steps(sps | {"frame_mbs_only_flag": 1}, {}))
+    assert len(alone) < 300
+
+
+def test_units_are_made_in_pieces(monkeypatch):
+    packets, made = pa.array([b"\0\0\0\1a" * 10, b"", None, b"\0\0\0\1b\0"] * 20, pa.binary()), []
+    monkeypatch.setattr(bitstream, "UNITS_AT_ONCE", 100)
+    monkeypatch.setattr(bitstream.pa, "array", lambda x, *a, real=pa.array: made.append(len(x)) or real(x, *a))
+    out = bitstream._in_pieces(packets, lambda data: bitstream._length_units(data, 4, True))
+    assert out.to_pylist() == [[b"a"] * 10, None, None, None] * 20 and max(made) <= 12
+
+
