@@ -89,3 +89,13 @@ def test_units_are_made_in_pieces(monkeypatch):
     assert out.to_pylist() == [[b"a"] * 10, None, None, None] * 20 and max(made) <= 12
 
 
+def test_sorts_are_divided_by_rows(spark, tmp_path, monkeypatch):
+    """A session with few shuffle partitions does not make tasks that grow with the table."""
+    monkeypatch.setitem(tables.dealt.__kwdefaults__, "per", 20)
+    spark.range(0, 200, 1, 1).selectExpr("id AS l_orderkey", *[f"cast(id AS long) AS {c}" for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")], "current_date() AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(0, 100, 1, 1).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = catalog.QUERIES["q_validation_union"](spark, str(tmp_path))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(track_id#" in text and ", 10), REPARTITION_BY_NUM" in text and plan.count() == 41
+
+

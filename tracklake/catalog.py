@@ -21,6 +21,7 @@ from .operators import timeline as T
 from .registry import EV, LINE, LINE_ORDER, QUERIES, SQL, chunks, ev, plain, query, table, vectors
 from .sources import media as M
 from .streaming import rings
+from .tables import dealt
 
 # --- selection
 
@@ -209,7 +210,7 @@ _PRICE = f"WITH s AS (SELECT l_orderkey AS track_id, l_shipdate, lag(l_shipdate)
 
 @query("q_non_monotonic", f"{_PRICE} SELECT * FROM v")
 def _(spark, d):
-    return T.non_monotonic(chunks(spark, d).withColumnRenamed("l_orderkey", "track_id"), LINE_ORDER, "l_shipdate")
+    return T.non_monotonic(dealt(chunks(spark, d).select("l_orderkey", *LINE_ORDER).withColumnRenamed("l_orderkey", "track_id"), "track_id"), LINE_ORDER, "l_shipdate")
 
 
 @query("q_one_track_monotonic", f"SELECT 0::BIGINT AS track_id, sum(bad)::BIGINT AS violations FROM (SELECT coalesce((l_shipdate <= lag(l_shipdate) OVER (ORDER BY {LINE}))::BIGINT, 0) AS bad FROM lineitem)")
@@ -228,8 +229,9 @@ def _(spark, d):
 UNION ALL SELECT o_orderkey::VARCHAR, 'error', 'asset.empty', 'no samples' FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40)""")
 def _(spark, d):
     rows = chunks(spark, d)
-    back = T.non_monotonic(rows.withColumnRenamed("l_orderkey", "track_id"), LINE_ORDER, "l_shipdate").where("violations > 0")
-    empty = table(spark, d, "orders").join(rows.where("l_quantity > 40"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    back = T.non_monotonic(dealt(rows.select("l_orderkey", *LINE_ORDER).withColumnRenamed("l_orderkey", "track_id"), "track_id"), LINE_ORDER, "l_shipdate").where("violations > 0")
+    full = dealt(rows.where("l_quantity > 40").select("l_orderkey"), "l_orderkey")
+    empty = dealt(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").join(full, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
     first = T.diagnostics(back, "track.non_monotonic", "warning", F.concat(F.col("violations").cast("string"), F.lit(" steps back")), F.col("track_id"))
     return first.unionByName(T.diagnostics(empty, "asset.empty", "error", F.lit("no samples"), F.col("o_orderkey")))
 

@@ -19,6 +19,16 @@ def spread(df: DataFrame, per: int = ROWS_A_TASK) -> DataFrame:
     return df.repartition(tasks) if tasks > 1 else df
 
 
+#: Rows that one task sorts for a window or a join.
+ROWS_A_SORT = 250_000
+
+
+def dealt(df: DataFrame, *keys: str, per: int = ROWS_A_SORT) -> DataFrame:
+    """``df`` dealt by keys over as many tasks as its rows need, where the session's shuffles have fewer; windows and joins by these keys take it as it is."""
+    tasks = -(-df.count() // per)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tracklake-")
