@@ -99,3 +99,8 @@ def test_sorts_are_divided_by_rows(spark, tmp_path, monkeypatch):
     assert "hashpartitioning(track_id#" in text and ", 10), REPARTITION_BY_NUM" in text and plan.count() == 41
 
 
+@pytest.mark.parametrize("name", ["q_adts_config", "q_hevc_sps_size", "q_sps_size", "q_asc_parse"])
+def test_long_work_on_parts_is_dealt_out(spark, parts, few_rows, name):
+    assert tasks_of(catalog.QUERIES[name](spark, parts)) == 3
+
+
