@@ -1,13 +1,14 @@
 """What grows with the input stays divided: small files share batches, tables of few bytes are dealt over tasks."""
 
 import random
+import struct
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracklake import catalog, catalog_containers, tables
-from tracklake.functions import bits, bitstream
+from tracklake.functions import bits, bitstream, writers
 from tracklake.operators import buckets
 from tracklake.sources import flv, walk
 
@@ -104,3 +105,20 @@ def test_long_work_on_parts_is_dealt_out(spark, parts, few_rows, name):
     assert tasks_of(catalog.QUERIES[name](spark, parts)) == 3
 
 
+
+
+def test_script_values_leave_python_once_and_alone(spark):
+    """Only values of scripts are handed on by the walk, and they are read in its pass."""
+    sources = spark.createDataFrame([(str(i), bytearray(flv_file(i))) for i in range(6)], "source_id string, data binary")
+    found = flv.script_values(sources)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, flv.values_of(walk.files(sources)).collect())) and found.count() == 12
+    few = walk.files(sources, ("flv",), columns=("source_id", "kind", "number"), kinds=("audio",))
+    assert few.columns == ["source_id", "number", "kind"] and {(r.source_id, r.kind) for r in few.collect()} == {(i, "audio") for i in "1245"}
+
+
+def test_numbers_of_all_sizes_are_written(spark):
+    numbers = [0.0, 1.5, -0.1, 2.0**-1022, 5e-324, -2.2e-310, 1.7976931348623157e308]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", writers.double_be(F.col("x")).alias("data")).collect()
+    assert [bytes(r.data) for r in rows] == [struct.pack(">d", r.x) for r in rows]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,10 @@ def headers(sources: DataFrame) -> DataFrame:
     return rows.select("source_id", B.uint_be(data, 3, 1).alias("version"), (flags.bitwiseAND(4) != 0).alias("has_audio"), (flags.bitwiseAND(1) != 0).alias("has_video"), B.uint_be(data, 5, 4).alias("data_offset"))
 
 
+#: Columns of a walk that script values are read from.
+TOLD = ("source_id", "format", "what", "kind", "offset", "body")
+
+
 class _Cut(Exception):
     """A value goes on past the end of its tag."""
 
@@ -53,7 +59,8 @@ def amf_values(data: bytes, at: int, path: str = "") -> tuple[list[tuple[str, fl
 
 def script_values(sources: DataFrame) -> DataFrame:
     """(source_id, key, number, text): the values of script tags; of a key that comes again the last counts."""
-    return values_of(walk.files(sources, ("flv",)))
+    files = sources.select(F.col("source_id").cast("string").alias("source_id"), "data")
+    return _last(files.mapInArrow(lambda batches: _told_rows(walk._run(batches, ("flv",), columns=TOLD, kinds=("script",))), "source_id string, offset long, n int, key string, number double, text string"))
 
 
 def _values(bodies: pa.Array) -> pa.Array:
@@ -72,6 +79,16 @@ def _values(bodies: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), items)
 
 
+def _told_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of script tags as rows, each with its tag's place and its own place in the tag."""
+    for batch in batches:
+        values = _values(batch.column("body"))
+        ends = np.asarray(values.offsets)
+        tags = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        places = [batch.column(k).take(pa.array(tags)) for k in ("source_id", "offset")]
+        yield pa.RecordBatch.from_arrays([*places, pa.array((np.arange(len(tags)) - ends[tags]).astype(np.int32)), *values.values.flatten()], names=["source_id", "offset", "n", "key", "number", "text"])
+
+
 def told(body: Column) -> Column:
     """array<struct<key, number, text>> of the values of script tags, in their order, to be exploded."""
     return F.arrow_udf(_values, "array<struct<key:string,number:double,text:string>>", F.ArrowUDFType.SCALAR)(body)
@@ -80,8 +97,12 @@ def told(body: Column) -> Column:
 def values_of(rows: DataFrame) -> DataFrame:
     """The values of the script tags in rows of :func:`tracklake.sources.walk.files`."""
     tags = rows.where("format = 'flv' and what = 'tag' and kind = 'script'").select("source_id", "offset", "body")
-    found = tags.select("source_id", "offset", F.posexplode(told(F.col("body"))).alias("n", "v"))
-    last = found.groupBy("source_id", F.col("v.key").alias("key")).agg(F.max_by(F.struct("v.number", "v.text"), F.struct("offset", "n")).alias("v"))
+    return _last(tags.select("source_id", "offset", F.posexplode(told(F.col("body"))).alias("n", "v")).select("source_id", "offset", "n", "v.*"))
+
+
+def _last(found: DataFrame) -> DataFrame:
+    """Of the values of a key the last, by tag and place in it."""
+    last = found.groupBy("source_id", "key").agg(F.max_by(F.struct("number", "text"), F.struct("offset", "n")).alias("v"))
     return last.select("source_id", "key", F.col("v.number").alias("number"), F.col("v.text").alias("text"))
 
 
@@ -105,7 +126,7 @@ def audio_streams(sources: DataFrame) -> DataFrame:
     Formats 2 and 14 are MP3, by its first frame; 7 and 8 are G.711, always 8,000 a second and mono; all others AAC, by its configuration. Where neither tells,
     script values do (``audiosamplerate``, ``stereo``, ``audiochannels``); ``scale`` is the time base.
     """
-    return sound_of(walk.files(sources, ("flv",)))
+    return sound_of(walk.files(sources, ("flv",), columns=(*TOLD, "number", "config"), kinds=("audio", "script")))
 
 
 def sound_of(rows: DataFrame) -> DataFrame:
