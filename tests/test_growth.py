@@ -143,3 +143,20 @@ def test_adts_headers_are_searched_once(spark, parts):
     for r in rows.collect():
         want = plain_adts(data[r.id]) if r.id >= 0 else None
         assert (r.h and tuple(r.h)) == want and (r.asc and bytes(r.asc)) == (want and (want[0] << 11 | want[1] << 7 | want[3] << 3).to_bytes(2, "big"))
+
+
+def test_parameter_sets_are_read_column_wise(spark, parts, monkeypatch):
+    """Whole units of a query are read without one of them alone; cut and changed ones as they are read one by one, all fields or some."""
+    made, rng, real = [], random.Random(9), bits.parse
+    monkeypatch.setattr(bits, "header", lambda unit, *a, real=bits.header: made.append(unit) or real(unit, *a))
+    for name in ("q_hevc_sps_size", "q_sps_size"):
+        catalog.QUERIES[name](spark, parts)
+    for unit, steps in zip(made, (bits.HEVC_SPS, bits.SPS), strict=True):
+        units = [bytes(r[0]) for r in spark.read.parquet(f"{parts}/part.parquet").select(unit).collect()]
+        alone = []
+        monkeypatch.setattr(bits, "parse", lambda u, s, alone=alone: alone.append(u) or real(u, s))
+        assert bits.read_columns(pa.array(units), steps).to_pylist() == [list(real(u, steps).items()) for u in units] and not alone
+        spoiled = [u[: rng.randrange(len(u) + 1)] for u in units] + [bytes(b ^ (rng.random() < 0.05) << rng.randrange(8) for b in u) for u in units * 5] + [None, b""]
+        for only in (None, frozenset(["width", "time_scale", "short_term_ref_pic_set[0].num_negative_pics"])):
+            want = [[x for x in real(u, steps).items() if only is None or x[0] in only] for u in spoiled]
+            assert bits.read_columns(pa.array(spoiled, pa.binary()), steps, only).to_pylist() == want
